@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brookmill.llm import mixing, sharding, url_filter
+from brookmill.llm._common import Scratch
 from brookmill.llm.exact_dedup import copy_groups
 
 
@@ -14,6 +16,85 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.score_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(regexp_extract(rest, '(?s)^[^/?#]*[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM u),
+rules(suffix, prefix, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (
+  SELECT page_id, arg_max({'rule': suffix || prefix, 'says': says}, length(suffix || prefix)) AS r
+  FROM (SELECT DISTINCT * FROM h) JOIN rules ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, prefix) GROUP BY page_id),
+t AS (
+  SELECT row_number() OVER () AS id, h.page_id, host, path, r.rule AS rule, r.says AS says,
+         list_concat([0, 0], list_transform(list_filter(string_split(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), lambda c: c <> ''),
+           lambda c: CASE WHEN strpos('abcdefghijklmnopqrstuvwxyz0123456789/.-_', c) > 0 THEN strpos('abcdefghijklmnopqrstuvwxyz0123456789/.-_', c) ELSE 41 END)) AS a
+  FROM h LEFT JOIN fit USING (page_id)),
+g AS (SELECT id, says, a[i - 1] * 1764 + a[i] * 42 + a[i + 1] AS code FROM (SELECT id, says, a, unnest(range(2, len(a))) AS i FROM t)),
+c2 AS (SELECT says, code, count(*) AS n FROM g WHERE says IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT says, code % 1764 AS x, sum(n) AS n FROM c2 GROUP BY ALL),
+c0 AS (SELECT says, x % 42 AS x, sum(n) AS n FROM c1 GROUP BY ALL),
+t2 AS (SELECT says, code // 42 AS ctx, sum(n) AS total, count(*) AS kinds FROM c2 GROUP BY ALL),
+t1 AS (SELECT says, x // 42 AS ctx, sum(n) AS total, count(*) AS kinds FROM c1 GROUP BY ALL),
+t0 AS (SELECT says, sum(n) AS total, count(*) AS kinds FROM c0 GROUP BY ALL),
+need AS (SELECT code, v.says FROM (SELECT DISTINCT code FROM g), (VALUES ('allow'), ('block')) v(says)),
+p AS (
+  SELECT need.code, need.says,
+    CASE WHEN t0.total > 0 THEN (coalesce(c0.n, 0) + t0.kinds * (1.0::DOUBLE / 42)) / (t0.total + t0.kinds) ELSE 1.0::DOUBLE / 42 END AS p0,
+    CASE WHEN t1.total > 0 THEN (coalesce(c1.n, 0) + t1.kinds * p0) / (t1.total + t1.kinds) ELSE p0 END AS p1,
+    CASE WHEN t2.total > 0 THEN (coalesce(c2.n, 0) + t2.kinds * p1) / (t2.total + t2.kinds) ELSE p1 END AS p2
+  FROM need LEFT JOIN t0 ON t0.says = need.says LEFT JOIN c0 ON c0.says = need.says AND c0.x = need.code % 42
+  LEFT JOIN t1 ON t1.says = need.says AND t1.ctx = need.code % 1764 // 42 LEFT JOIN c1 ON c1.says = need.says AND c1.x = need.code % 1764
+  LEFT JOIN t2 ON t2.says = need.says AND t2.ctx = need.code // 42 LEFT JOIN c2 ON c2.says = need.says AND c2.code = need.code),
+m AS (SELECT code, ln(max(CASE WHEN says = 'allow' THEN p2 END)) - ln(max(CASE WHEN says = 'block' THEN p2 END)) AS r FROM p GROUP BY code),
+sc AS (SELECT t.*, coalesce(s, 0) AS score FROM t LEFT JOIN (SELECT id, round(avg(r), 9) AS s FROM g JOIN m USING (code) GROUP BY id) USING (id)),
+hist AS (SELECT greatest(-400, least(400, floor(score * 100))) AS step, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad FROM sc WHERE says IS NOT NULL GROUP BY 1),
+cuts AS (
+  SELECT k AS step, round((SELECT coalesce(sum(good), 0) FROM hist WHERE hist.step >= k)::DOUBLE / greatest(1, (SELECT sum(good) FROM hist))
+    + (SELECT coalesce(sum(bad), 0) FROM hist WHERE hist.step < k)::DOUBLE / greatest(1, (SELECT sum(bad) FROM hist)), 9) AS gain
+  FROM range(-400, 401) x(k) WHERE (SELECT count(*) FROM hist) > 0),
+cut AS (SELECT coalesce((SELECT step / 100.0::DOUBLE FROM cuts ORDER BY gain DESC, abs(step), step LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM sc, cut
+"""
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH n AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''))), 1, 8))::BIGINT AS pos FROM documents),
+s AS (SELECT src, sum(size)::BIGINT AS source_size FROM n GROUP BY src),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS w FROM s),
+o AS (
+  SELECT *, (2 * source_size)::DOUBLE / w AS r, coalesce(sum(2 * source_size) OVER before, 0)::BIGINT AS "full",
+         (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::BIGINT AS w_left, (sum(source_size) OVER ())::BIGINT AS everything
+  FROM w WINDOW before AS (ORDER BY (2 * source_size)::DOUBLE / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (everything * 3 / 2 - "full") / w_left AS level FROM o),
+t AS (
+  SELECT src, source_size, least(source_size * 2.0::DOUBLE, coalesce((SELECT level FROM l WHERE level * w <= 2 * source_size ORDER BY r, src LIMIT 1) * w, source_size * 2.0::DOUBLE)) AS target FROM l),
+c AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY pos, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM n JOIN t USING (src))
+SELECT doc_id, size, source_size, target,
+       (least(size, greatest(0, round(target)::BIGINT - ahead)) + least(size, greatest(0, round(target)::BIGINT - source_size - ahead)))::BIGINT AS taken
+FROM c
+"""
+
+
+def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = Scratch(sharding.row_sizes(_table(spark, sf_dir, "documents")), "shard-sizes").df
+    cut = sharding.stratified_shards(sized, shards=40)
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__bm_shard").alias("shard"), F.col("__bm_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = copy_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
@@ -32,8 +113,8 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {"op2_url_char_lm": op2_url_char_lm, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op7_exact_dedup": op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op2_url_char_lm": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL}
