@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmill.llm import mixing, sharding, url_filter
+from brookmill.llm import mixing, packing, sharding, url_filter
 from brookmill.llm._common import Scratch
 from brookmill.llm.exact_dedup import copy_groups
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file or _vocabulary("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op2_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.score_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -113,7 +124,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_char_lm": op2_url_char_lm, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op7_exact_dedup": op7_exact_dedup}
+    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op7_exact_dedup": op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
