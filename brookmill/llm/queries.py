@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmill.llm import mixing, packing, sharding, url_filter
+from brookmill.llm import mixing, packing, sharding, toxicity, url_filter
 from brookmill.llm._common import Scratch
 from brookmill.llm.exact_dedup import copy_groups
 
@@ -74,6 +74,12 @@ SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= cut THEN 'al
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scores = toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -124,7 +130,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op7_exact_dedup": op7_exact_dedup}
+    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op3_toxicity": op3_toxicity, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op7_exact_dedup": op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
