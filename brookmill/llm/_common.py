@@ -72,6 +72,15 @@ def hash32(*cols: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+#: Rows up to which a table with one row per key is broadcast; the count is taken from the written table.
+BROADCAST_ROWS = 20_000
+
+
+def small_or_plain(table: Scratch) -> DataFrame:
+    """The table, marked for broadcast only if it has at most BROADCAST_ROWS rows; else joins on it are ordinary ones."""
+    return F.broadcast(table.df) if table.df.count() <= BROADCAST_ROWS else table.df
+
+
 def prefix_sums(
     df: DataFrame,
     keys: list[str],
@@ -94,6 +103,7 @@ def prefix_sums(
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), F.sum(weight).alias(total))
     sizes = sizes.withColumn("__bm_cells", F.ceil(F.col(count) / F.lit(rows_per_cell)).cast("long"))
+    sizes = small_or_plain(Scratch(sizes, "prefix-sizes"))
     # pos * cells stays below 2**63 for up to 2**31 cells, which is 2e12 rows of a key.
     celled = df.join(sizes, keys).withColumn("__bm_cell", F.shiftright(F.col(pos) * F.col("__bm_cells"), 32))
     cell_keys = [*keys, "__bm_cell"]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brookmill.llm._common import NON_WS_RUN, Scratch, hash32, prefix_sums, source_key
+from brookmill.llm._common import NON_WS_RUN, Scratch, hash32, prefix_sums, small_or_plain, source_key
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # the mix holds 150 % of all words
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
     goal = goal.withColumns({"blocks": F.when(total > 0, blocks).otherwise(F.lit(1)), "words": F.round("target").cast("long")})
     goal = Scratch(goal, "mix-goal").df
     quota = split_tree(goal.select("src", "blocks"), shards, seed).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("quota"))
-    goal = goal.join(quota, "src")
+    goal = small_or_plain(Scratch(goal.join(quota, "src"), "mix-quota"))
     placed = prefix_sums(narrow, ["src"], "pos", [F.col("doc_id"), F.col("size")], F.col("size"), "before", "src_words", "src_rows")
     d = placed.join(goal, "src")
     copies = F.transform(
