@@ -8,7 +8,8 @@ compared exactly, in double precision. The bound and the number of directions fo
 PER_VECTOR filters a vector (more once filters are rare), and about BACKGROUND vectors a filter by chance.
 
 Identical vectors are compared as one with a multiplicity. Vectors alone in a filter are dropped before any vector is
-moved. A filter with many vectors is cut into chunks, and pairs of chunks are compared as blocks by matrix products: a
+moved, and so are those that in a filter of few vectors differ from every other one in more than SIGNS_MOST of 64
+random signs: at a cosine of 0.95 about 6.5 of them differ, and more than SIGNS_MOST with a chance of under 1e-7. A filter with many vectors is cut into chunks, and pairs of chunks are compared as blocks by matrix products: a
 block gives a number of links and a root per vector, never a list of pairs. A pair that shares several filters is
 counted in the first. Components join the roots.
 
@@ -38,6 +39,8 @@ BACKGROUND = 1.0
 #: Directions get no rarer than this: the rarer, the less surely two near vectors share one.
 RAREST = 1e-6
 CHUNK = 1024
+FEW = 32
+SIGNS_MOST = 22
 WORDS_MOST = 256
 
 
@@ -139,7 +142,9 @@ def _block(a: dict, b: dict, same: bool, number: int, threshold: float) -> tuple
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a cosine of at least ``threshold``), component_id, kept."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     v = v.withColumn("ok", F.col("vec_id").isNotNull() & _usable(F.col("v")))
     key = F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)
     keyed = v.select("vec_id", F.when(F.col("ok"), key).alias("key"), F.when(F.col("ok"), F.col("v")).alias("v"))
@@ -163,13 +168,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     if dim not in made:
                         made[dim] = tuned(count, dim)
                     lists = [f.tolist() for f in made[dim].decode(x)]
-                    yield pa.RecordBatch.from_arrays([pa.array(reps_[at : at + 256][rows]), pa.array([dim] * len(rows), pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["rep", "dim", "filters"])
+                    plane = np.random.default_rng([13, dim]).standard_normal((dim, 64))
+                    signs = np.packbits(x @ plane > 0, axis=1).view(np.int64)[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(reps_[at : at + 256][rows]), pa.array([dim] * len(rows), pa.int32()), pa.array(signs), pa.array(lists, pa.list_(pa.int64()))], ["rep", "dim", "signs", "filters"])
 
-    lists = Scratch(reps.select("rep", "v").mapInArrow(listed, "rep bigint, dim int, filters array<bigint>"), "vector-filters").df
-    spots = lists.select("rep", "dim", F.explode("filters").alias("filter"))
+    lists = Scratch(reps.select("rep", "v").mapInArrow(listed, "rep bigint, dim int, signs bigint, filters array<bigint>"), "vector-filters").df
+    spots = lists.select("rep", "dim", "signs", F.explode("filters").alias("filter"))
     met = spots.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = Scratch(met.select("dim", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "vector-met").df
-    shared = Scratch(spots.join(met, ["dim", "filter"]), "vector-shared").df
+    met = Scratch(met.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "vector-met").df
+    shared = spots.join(met, ["dim", "filter"])
+    near = lambda x, y: (x["rep"] != y["rep"]) & (F.bit_count(x["signs"].bitwiseXOR(y["signs"])) <= SIGNS_MOST)
+    few = shared.where(F.col("n") <= FEW).groupBy("dim", "filter", "chunks").agg(F.collect_list(F.struct("rep", "signs")).alias("all"))
+    few = few.select("dim", "filter", "chunks", F.explode(F.filter("all", lambda x: F.exists("all", lambda y: near(x, y)))).alias("x"))
+    shared = few.select("x.rep", "dim", "filter", "chunks").unionByName(shared.where(F.col("n") > FEW).select("rep", "dim", "filter", "chunks"))
+    shared = Scratch(shared, "vector-shared").df
     # The filters that a vector shares with another one; of these the first two have in common counts their link.
     own = shared.groupBy("rep").agg(F.sort_array(F.collect_list("filter")).alias("fs"))
     full = Scratch(reps.select("rep", "m", "v").join(own, "rep"), "vector-full").df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brookmill.llm import chat, mixing, packing, sharding, toxicity, url_filter
 from brookmill.llm._common import Scratch
+from brookmill.llm.embedding_dedup import near_duplicates as near_duplicate_vectors
 from brookmill.llm.exact_dedup import copy_groups
 
 
@@ -152,9 +153,27 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS
 """
 
 
+def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE ok),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(deg.n, 0) AS n_links, least(vec_id, coalesce(comp.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(comp.b, vec_id)) AS kept
+FROM v LEFT JOIN deg ON deg.a = vec_id LEFT JOIN comp ON comp.a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op3_toxicity": op3_toxicity, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op6_event_sourced_chat": op6_event_sourced_chat, "op7_exact_dedup": op7_exact_dedup}
+    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op3_toxicity": op3_toxicity, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op6_event_sourced_chat": op6_event_sourced_chat, "op7_exact_dedup": op7_exact_dedup, "op8_spherical_caps": op8_spherical_caps}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_char_lm": OP2_SQL, "op4_source_mixing": OP4_SQL, "op6_event_sourced_chat": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_url_char_lm": OP2_SQL, "op4_source_mixing": OP4_SQL, "op6_event_sourced_chat": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_spherical_caps": OP8_SQL}
