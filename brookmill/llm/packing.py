@@ -51,15 +51,18 @@ class ChunkTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.cache: dict[str, bytes] = {}
+        # Two generations: a full young one becomes the old one, and what is still in use moves back.
+        self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.cache_most = cache_most
         self.bytes_as_chars = _byte_alphabet()
 
     def _word(self, word: str) -> bytes:
-        got = self.cache.get(word)
+        got = self.cache.get(word) or self.old.get(word)
         if got is None:
             chars = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as_chars)
-            got = self.cache[word] = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+            got = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+        self.cache[word] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -74,13 +77,12 @@ class ChunkTokenizer:
             chunks = re.split(r"[ \t\n\r\x0b\x0c]+", text)
         else:
             chunks = text.split()
-        cache = self.cache
-        if len(cache) > self.cache_most:
-            cache.clear()
+        if len(self.cache) > self.cache_most:
+            self.cache, self.old = {"": b""}, self.cache
+        cache, old = self.cache, self.old
         for chunk in set(chunks).difference(cache):
-            if chunk:
-                cache[chunk] = self._chunk(chunk)
-        cache.setdefault("", b"")
+            got = old.get(chunk)
+            cache[chunk] = self._chunk(chunk) if got is None else got
         return b"".join(map(cache.__getitem__, chunks))
 
 
