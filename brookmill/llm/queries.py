@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmill.llm import chat, mixing, packing, sharding, toxicity, url_filter
+from brookmill.llm import chat, mixing, order_minhash, packing, paragraph_dedup, sharding, toxicity, url_filter
 from brookmill.llm._common import Scratch
 from brookmill.llm.embedding_dedup import near_duplicates as near_duplicate_vectors
 from brookmill.llm.exact_dedup import copy_groups
@@ -17,14 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file or _vocabulary("word_bpe_49k.json"))
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file or vocabulary("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -157,6 +157,14 @@ def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e, vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -172,7 +180,7 @@ FROM v LEFT JOIN deg ON deg.a = vec_id LEFT JOIN comp ON comp.a = vec_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op3_toxicity": op3_toxicity, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op6_event_sourced_chat": op6_event_sourced_chat, "op7_exact_dedup": op7_exact_dedup, "op8_spherical_caps": op8_spherical_caps}
+    return {"op1_sum_of_squares_packing": op1_sum_of_squares_packing, "op2_url_char_lm": op2_url_char_lm, "op3_toxicity": op3_toxicity, "op4_source_mixing": op4_source_mixing, "op5_stratified_shards": op5_stratified_shards, "op6_event_sourced_chat": op6_event_sourced_chat, "op7_exact_dedup": op7_exact_dedup, "op8_spherical_caps": op8_spherical_caps, "op9_paragraph_minhash": op9_paragraph_minhash, "op10_order_minhash": op10_order_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
