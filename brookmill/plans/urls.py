@@ -1 +1,147 @@
-"""Queries."""
+"""Queries over URLs: parts, canonical form, scope, traps, classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from brookmill.functions import page as G
+from brookmill.functions import url as U
+from brookmill.functions.sqltext import lit, values
+from brookmill.plans.pages import HOST, ORIGIN, pages
+from brookmill.plans.registry import query
+from brookmill.sources.tables import literal
+
+C = F.col
+PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
+PAIRS = f"list_transform(list_filter(string_split({QUERY}, '&'), lambda p: p <> ''), lambda p: {{'key': split_part(p, '=', 1), 'value': CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END}})"
+TOKEN = lambda k: f"trim(regexp_replace(lower({k}), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query("url_parts", f"SELECT page_id, {HOST} AS host, {PATH} AS path, {QUERY} AS query, lower({ORIGIN}) || '/robots.txt' AS robots_url, array_to_string(string_split({HOST}, '.')[-2:], '.') AS domain_cluster FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = C("url")
+    return pages(spark, sf_dir).select("page_id", G.host(u).alias("host"), U.path(u).alias("path"), U.query(u).alias("query"), F.concat(U.origin(u), F.lit("/robots.txt")).alias("robots_url"), U.domain_cluster(G.host(u)).alias("domain_cluster"))
+
+
+@query("url_query_pairs", f"SELECT page_id, p.key AS key, p.value AS value, {TOKEN('p.key')} AS token FROM (SELECT page_id, unnest({PAIRS}) AS p FROM pages)")
+def url_query_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).select("page_id", F.explode(U.query_pairs(C("url"))).alias("p"))
+    return p.select("page_id", "p.key", "p.value", U.key_token(C("p.key")).alias("token"))
+
+
+CANON = f"""lower(regexp_extract(url, '^(https?)', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^([^:]*):(?:80|443)$', '\\1') || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || {QUERY} END"""
+
+
+@query("url_canonical", f"SELECT page_id, {CANON} AS canonical FROM pages")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical URLs: the Column form where it applies, the exact UDF for the rest."""
+    p = pages(spark, sf_dir).select("page_id", "url", U.canonical_plain(C("url")).alias("plain"))
+    rest = p.where("plain IS NULL").select("page_id", U.canonicalize_exact(C("url"))["canonical"].alias("canonical"))
+    return p.where("plain IS NOT NULL").select("page_id", C("plain").alias("canonical")).unionByName(rest)
+
+
+@query("canonical_dedupe", f"SELECT canonical, min(page_id) AS first_page, count(*) - 1 AS n_duplicates FROM (SELECT page_id, {CANON} AS canonical FROM pages) GROUP BY canonical")
+def canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_canonical(spark, sf_dir).groupBy("canonical").agg(F.min("page_id").alias("first_page"), (F.count("*") - 1).alias("n_duplicates"))
+
+
+@query("stable_partition", f"SELECT {HOST} AS host, (('0x' || substr(sha256({HOST}), 1, 16))::UHUGEINT % 16)::INTEGER AS part, (('0x' || substr(sha256('split:' || {HOST}), 1, 16))::UHUGEINT % 4)::INTEGER AS bucket FROM pages GROUP BY ALL")
+def stable_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable shard of each host, and its bucket in a salted split."""
+    hosts = pages(spark, sf_dir).select(G.host(C("url")).alias("host")).distinct()
+    return hosts.select("host", U.partition_of(C("host"), 16).alias("part"), U.partition_of(F.concat(F.lit("split:"), C("host")), 4).alias("bucket"))
+
+
+@query("scope_filter", f"""SELECT page_id, {HOST} IN ('example.org', 'example.net') OR ends_with({HOST}, '.example.org') OR ends_with({HOST}, '.example.net') AS in_scope,
+  {HOST} <> '' AND ({HOST} = 'www.example.com' OR ends_with({HOST}, '.www.example.com') OR 'www.' || {HOST} = 'www.example.com') AS same_site FROM pages""")
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = G.host(C("url"))
+    return pages(spark, sf_dir).select("page_id", U.in_scope(h, ["example.org", "example.net"], True).alias("in_scope"), U.same_site(F.lit("www.example.com"), h).alias("same_site"))
+
+
+TRAP_CASES = [
+    (1, "https://a.example/x/x/x/x/y"), (2, "https://a.example/p;jsessionid=1"), (3, "https://a.example/p?PHPSESSID=abc"), (4, "https://a.example/p?sid=0123456789abcdef0"), (5, "https://a.example/p?sid=short"),
+    (6, "https://a.example/p?" + "&".join(f"k{i}={i}" for i in range(25))), (7, "https://a.example/p?" + "&".join("k=1" for _ in range(7))), (8, "https://a.example/p?" + "&".join(f"{k}=1" for k in U.FACET_PARTS[:9])),
+    (9, "https://a.example/calendar/1850/01"), (10, "https://a.example/calendar/2024/01"), (11, "https://a.example/p?date=2199-01-01"), (12, "https://a.example/" + "/".join(f"s{i}" for i in range(97))), (13, "https://a.example/plain?x=1"), (14, "https://a.example/a/A/a/b"),
+]
+URL_CASES = values(TRAP_CASES, "case_id, url")
+SEGMENTS = f"list_transform(list_filter(string_split({PATH}, '/'), lambda s: s <> ''), lambda s: lower(s))"
+REPEATS = lambda a: f"coalesce(list_max(list_transform(list_distinct({a}), lambda x: len(list_filter({a}, lambda y: y = x)))), 0)"
+KEYS = f"list_transform({PAIRS}, lambda p: {TOKEN('p.key')})"
+INS = lambda e, ws: f"{e} IN ({', '.join(map(lit, ws))})"
+IS_CAL = f"(len(list_filter({PAIRS}, lambda p: {INS(TOKEN('p.key'), U.CALENDAR_KEYS)})) > 0 OR regexp_matches({PATH}, {lit(U.CALENDAR_PATH)}))"
+YEAR_TEXT = f"' ' || {PATH} || ' ' || array_to_string(list_transform(list_filter({PAIRS}, lambda p: {INS(TOKEN('p.key'), U.CALENDAR_KEYS)}), lambda p: p.value), ' ') || ' '"
+
+
+@query("trap_reasons", f"""
+SELECT case_id, CASE WHEN len({SEGMENTS}) > 96 THEN 'path_too_deep' WHEN {REPEATS(SEGMENTS)} > 3 THEN 'trap_repeated_path'
+  WHEN regexp_matches({PATH}, {lit(U.PATH_SESSION)}) OR regexp_matches({QUERY}, {lit(U.QUERY_SESSION)}) THEN 'trap_session' WHEN len({PAIRS}) > 24 THEN 'trap_query_parameters'
+  WHEN len(list_filter({PAIRS}, lambda p: {INS(TOKEN('p.key'), U.SESSION_KEYS)} OR ({INS(TOKEN('p.key'), U.MAYBE_SESSION_KEYS)} AND regexp_matches(p.value, {lit(U.SESSION_VALUE)})))) > 0 THEN 'trap_session'
+  WHEN {REPEATS(KEYS)} > 6 THEN 'trap_query_parameters'
+  WHEN len(list_filter({KEYS}, lambda k: list_has_any(string_split(k, '_'), [{', '.join(map(lit, U.FACET_PARTS))}]))) > 8 THEN 'trap_facets'
+  WHEN {IS_CAL} AND len(list_filter(regexp_extract_all({YEAR_TEXT}, '[^0-9]([0-9]{{4}})[^0-9]', 1), lambda y: y::INT < 1990 OR y::INT > 2100)) > 0 THEN 'trap_calendar' END AS reason
+FROM ({URL_CASES})""")
+def trap_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, URL_CASES).select("case_id", U.trap(C("url")).alias("reason"))
+
+
+@query("query_variant_budget", f"""
+WITH p AS (SELECT page_id, {HOST} AS host, CASE WHEN regexp_matches({PATH}, '^/(en|de|fr|es)/') THEN substr({PATH}, 1, 3) ELSE {PATH} END AS place, {QUERY} AS q FROM pages WHERE {QUERY} <> ''),
+f AS (SELECT host, place, q, min(page_id) AS first FROM p GROUP BY ALL),
+r AS (SELECT host, place, q, row_number() OVER (PARTITION BY host, place ORDER BY first) AS nth FROM f)
+SELECT page_id, nth > 1 AS over_budget FROM p JOIN r USING (host, place, q)""")
+def query_variant_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query variants per place in order of first sight; here one is allowed, so that some are over the budget."""
+    u = C("url")
+    place = F.when(U.path(u).rlike("^/(en|de|fr|es)/"), F.substring(U.path(u), 1, 3)).otherwise(U.path(u))
+    p = pages(spark, sf_dir).select("page_id", G.host(u).alias("host"), place.alias("place"), U.query(u).alias("q")).where("q <> ''")
+    f = p.groupBy("host", "place", "q").agg(F.min("page_id").alias("first"))
+    r = f.withColumn("nth", F.row_number().over(Window.partitionBy("host", "place").orderBy("first"))).drop("first")
+    return p.join(r, ["host", "place", "q"]).select("page_id", (C("nth") > 1).alias("over_budget"))
+
+
+CALENDAR_CASES = values([(1, "https://a.example/events/2024/05/x1"), (2, "https://a.example/p?date=2024-01-01&v=7"), (3, "https://a.example/plain/12"), (4, "https://a.example/Archive/9")], "case_id, url")
+
+
+@query("calendar_signatures", f"""SELECT case_id, CASE case_id WHEN 1 THEN '/events/{{n}}/{{n}}/x1?' WHEN 2 THEN '/p?date={{calendar}}&v=7' WHEN 4 THEN '/archive/{{n}}?' END AS signature FROM ({CALENDAR_CASES})""")
+def calendar_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, CALENDAR_CASES).select("case_id", U.calendar_signature(C("url")).alias("signature"))
+
+
+GITHUB_CASES = [
+    (1, "https://github.com/o/r"), (2, "https://github.com/o/r.git"), (3, "https://github.com/o/r/issues/12"), (4, "https://github.com/o/r/pull/3/files"), (5, "https://github.com/o/r/tree/main/x"), (6, "https://github.com/settings/x"), (7, "https://github.com"),
+    (8, "https://evilgithub.com/o/r"), (9, "https://raw.githubusercontent.com/o/r/main/a.py"), (10, "https://raw.githubusercontent.com/o/r"), (11, "https://github.com/o/r/wiki"), (12, "https://github.com/-o/r/issues"), (13, "https://www.github.com/o/r/releases/tag/v1"),
+]
+GITHUB_SQL = values(GITHUB_CASES, "case_id, url")
+
+
+@query("github_routes", f"""
+WITH p AS (SELECT case_id, {HOST} AS host, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM ({GITHUB_SQL})),
+q AS (SELECT *, coalesce(parts[1], '') AS o, regexp_replace(coalesce(parts[2], ''), '\\.git$', '') AS r, lower(coalesce(parts[3], '')) AS route, coalesce(parts[4], '') AS nr FROM p WHERE host IN ('github.com', 'www.github.com', 'raw.githubusercontent.com')),
+k AS (SELECT *, regexp_full_match(o, '[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?') AND regexp_full_match(r, '[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?') AND length(o) <= 39 AND length(r) <= 100 AS named FROM q),
+t AS (SELECT *, CASE WHEN host = 'raw.githubusercontent.com' THEN CASE WHEN len(parts) >= 4 AND named THEN 'raw' ELSE 'other' END WHEN len(parts) < 2 OR {INS('lower(o)', U.GITHUB_RESERVED)} THEN 'root' WHEN NOT named THEN 'other' WHEN len(parts) = 2 THEN 'repo' WHEN {INS('route', U.GITHUB_ROUTES)} THEN route ELSE 'other' END AS kind FROM k),
+w AS (SELECT *, kind NOT IN ('root', 'other') OR (kind = 'other' AND named AND len(parts) > 2 AND host <> 'raw.githubusercontent.com') AS whole FROM t)
+SELECT case_id, kind, CASE WHEN whole THEN o ELSE '' END AS owner, CASE WHEN whole THEN r ELSE '' END AS repo, CASE WHEN kind IN ('issues', 'pull', 'discussions') THEN try_cast(nr AS BIGINT) END AS number FROM w""")
+def github_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, GITHUB_SQL).select("case_id", U.github_route(C("url")).alias("g")).where("g IS NOT NULL").select("case_id", "g.*")
+
+
+ACADEMIC_CASES = values([(1, "https://arxiv.org/abs/2401.01234v2"), (2, "https://pubmed.ncbi.nlm.nih.gov/12345/"), (3, "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC77/"), (4, "https://doi.org/10.1000/x.y"), (5, "https://github.com/o/r"), (6, "https://www.nature.com/articles/x"), (7, "https://notarxiv.org/abs/2401.01234"), (8, "https://ieeexplore.ieee.org/document/99"), (9, "https://dl.acm.org/doi/abs/10.1145/1.2"), (10, "https://www.sciencedirect.com/science/article/pii/S0123456789012345X"[:-1])], "case_id, url")
+
+
+@query("academic_ids", f"""
+SELECT case_id, ['arxiv', 'pubmed', 'pmc', 'doi', 'github', 'journal', NULL, 'journal', 'journal', 'journal'][case_id] AS source,
+  [NULL, NULL, NULL, 'crossref', NULL, NULL, NULL, 'ieee', 'crossref', 'elsevier'][case_id] AS provider, [NULL, NULL, NULL, '10.1000/x.y', NULL, NULL, NULL, '99', '10.1145/1.2', 'S0123456789012345'][case_id] AS target FROM ({ACADEMIC_CASES})""")
+def academic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = literal(spark, ACADEMIC_CASES).select("case_id", U.academic_source(C("url")).alias("source"), U.publisher_target(C("url")).alias("t"))
+    return t.select("case_id", "source", C("t.provider").alias("provider"), C("t.id").alias("target"))
+
+
+@query("sorted_query_identity", f"SELECT page_id, 'https://' || {HOST} || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split({QUERY}, '&')), '&') END AS identity FROM pages")
+def sorted_query_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = C("url")
+    q = F.array_join(F.array_sort(F.split(U.query(u), "&")), "&")
+    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://"), G.host(u), F.when(U.path(u) == "", "/").otherwise(U.path(u)), F.when(U.query(u) == "", "").otherwise(F.concat(F.lit("?"), q))).alias("identity"))
