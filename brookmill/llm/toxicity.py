@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, hash32
+from brookmill.llm._common import Scratch, hash32, small_or_plain
 
 POSITIVES_MOST, NEGATIVES_MOST = 3000, 6000
 FEATURES_MOST = 2048
@@ -150,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit([], [], [], shares)
     keep = F.when(F.col("y") == 1, F.lit(POSITIVES_MOST / shares[1])).otherwise(F.lit(NEGATIVES_MOST / shares[0]))
     drawn = known.where(hash32(F.col("doc_id"), seed="toxicity") < keep * F.lit(float(2**32)))
+    # The draw is about POSITIVES_MOST + NEGATIVES_MOST rows for any input; it is counted before it is broadcast.
+    drawn = small_or_plain(Scratch(drawn, "toxic-drawn"))
     texts = docs.select("doc_id", "text").join(drawn, "doc_id").select("y", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
