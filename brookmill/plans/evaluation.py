@@ -27,10 +27,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("r", C("l") % n.scalar()).join(b, "r")
 
 
-def _scored(spark: SparkSession, sf_dir: str, items) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, items, prepare=lambda text: text) -> DataFrame:
     p = pairs(spark, sf_dir)
-    left, right = S.bag(p, ["l"], items(C("lt"))), S.bag(p.select("r", "rt").distinct(), ["r"], items(C("rt")))
-    return S.overlap(p.select("l", "r", "source", "lang"), left, right)
+    side = lambda key, text: S.bag(p.select(key, C(text)).distinct().select(key, prepare(C(text)).alias("prepared")), [key], items(C("prepared")))
+    return S.overlap(p.select("l", "r", "source", "lang"), side("l", "lt"), side("r", "rt"))
 
 
 def _sql(left: str, right: str) -> str:
@@ -48,10 +48,6 @@ F1 = "CASE WHEN nl + nr > 0 THEN 2 * hit::DOUBLE / (nl + nr) ELSE 0 END"
 TOKEN_F1_SQL = _sql(TOKENS("lt"), TOKENS("rt"))
 
 
-def _shingles(text):
-    return S.word_shingles(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}\p{N}_]+)")))
-
-
 @query("token_f1", TOKEN_F1_SQL + f" SELECT l AS doc_id, r AS item_id, hit::DOUBLE / greatest(nl, 1) AS p, hit::DOUBLE / greatest(nr, 1) AS r, {F1} AS f1 FROM s")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir, G.quality_tokens)
@@ -62,14 +58,14 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gram5_dice", _sql(GRAMS("substr(lt, 1, 4000)"), GRAMS("substr(rt, 1, 4000)")) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS dice FROM s")
 def gram5_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-character multiset Dice; the bound of 4000 characters is the kernel's own input limit."""
-    s = _scored(spark, sf_dir, lambda t: S.char_grams(F.substring(t, 1, 4000)))
+    s = _scored(spark, sf_dir, S.char_grams, lambda t: S.characters(F.substring(t, 1, 4000)))
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("dice"))
 
 
-def _positional(text):
-    t = F.substring(text, 1, 4000)
-    n = F.length(t) - 4
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.floor((i - 1) * 64 / n).cast("bigint").cast("string"), F.lit(":"), F.substr(t, i, F.lit(5))))).otherwise(F.array().cast("array<string>"))
+def _positional(chars):
+    n = F.size(chars) - 4
+    tagged = F.transform(S.char_grams(chars), lambda g, i: F.concat(F.floor(i * 64 / n).cast("bigint").cast("string"), F.lit(":"), g))
+    return tagged
 
 
 POSITIONAL = lambda t: f"CASE WHEN length({t}) >= 5 THEN list_transform(range(1, length({t}) - 3), lambda i: ((i - 1) * 64 // (length({t}) - 4)) || ':' || substr({t}, i, 5)) ELSE [] END"
@@ -78,7 +74,7 @@ POSITIONAL = lambda t: f"CASE WHEN length({t}) >= 5 THEN list_transform(range(1,
 @query("positional_f1", _sql(POSITIONAL("substr(lt, 1, 4000)"), POSITIONAL("substr(rt, 1, 4000)")) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS f1 FROM s")
 def positional_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-character F1 within 64 position buckets."""
-    s = _scored(spark, sf_dir, _positional)
+    s = _scored(spark, sf_dir, _positional, lambda t: S.characters(F.substring(t, 1, 4000)))
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("f1"))
 
 
@@ -86,7 +82,7 @@ SHINGLE_SQL = _sql(SHINGLES("lt"), SHINGLES("rt"))
 
 
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir, _shingles)
+    s = _scored(spark, sf_dir, S.word_shingles, lambda t: F.regexp_extract_all(t, F.lit(r"([\p{L}\p{M}\p{N}_]+)")))
     return s.select("l", "source", "lang", C("hit").alias("tp"), (C("nl") - C("hit")).alias("fp"), (C("nr") - C("hit")).alias("fn"))
 
 
