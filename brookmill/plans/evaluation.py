@@ -33,17 +33,17 @@ def _scored(spark: SparkSession, sf_dir: str, items, prepare=lambda text: text)
     return S.overlap(p.select("l", "r", "source", "lang"), side("l", "lt"), side("r", "rt"))
 
 
-def _sql(left: str, right: str) -> str:
+def _sql(left: str, right: str, prepare: str = "{}") -> str:
     return f"""WITH p AS ({PAIRS}),
-lb AS (SELECT l, item, count(*) AS n FROM (SELECT l, unnest({left}) AS item FROM p) GROUP BY ALL),
-rb AS (SELECT r, item, count(*) AS m FROM (SELECT r, unnest({right}) AS item FROM (SELECT DISTINCT r, rt FROM p)) GROUP BY ALL),
+lb AS (SELECT l, item, count(*) AS n FROM (SELECT l, unnest({left}) AS item FROM (SELECT DISTINCT l, {prepare.format('lt')} AS lt FROM p)) GROUP BY ALL),
+rb AS (SELECT r, item, count(*) AS m FROM (SELECT r, unnest({right}) AS item FROM (SELECT DISTINCT r, {prepare.format('rt')} AS rt FROM p)) GROUP BY ALL),
 h AS (SELECT l, r, sum(least(n, m)) AS hit FROM p JOIN lb USING (l) JOIN rb USING (r, item) GROUP BY ALL),
 s AS (SELECT p.l, p.r, p.source, p.lang, coalesce(hit, 0) AS hit, coalesce((SELECT sum(n) FROM lb WHERE lb.l = p.l), 0) AS nl, coalesce((SELECT sum(m) FROM rb WHERE rb.r = p.r), 0) AS nr FROM p LEFT JOIN h USING (l, r))"""
 
 
 GRAMS = lambda t: f"CASE WHEN length({t}) >= 5 THEN list_transform(range(1, length({t}) - 3), lambda i: substr({t}, i, 5)) ELSE [] END"
-SHINGLE_WORDS = lambda t: f"regexp_extract_all({t}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
-SHINGLES = lambda t: f"CASE WHEN len({SHINGLE_WORDS(t)}) > 0 THEN list_transform(range(1, greatest(1, len({SHINGLE_WORDS(t)}) - 3) + 1), lambda i: array_to_string({SHINGLE_WORDS(t)}[i:i + 3], ' ')) ELSE [] END"
+SHINGLE_WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+SHINGLES = lambda t: f"CASE WHEN len({t}) > 0 THEN list_transform(range(1, greatest(1, len({t}) - 3) + 1), lambda i: array_to_string({t}[i:i + 3], ' ')) ELSE [] END"
 F1 = "CASE WHEN nl + nr > 0 THEN 2 * hit::DOUBLE / (nl + nr) ELSE 0 END"
 TOKEN_F1_SQL = _sql(TOKENS("lt"), TOKENS("rt"))
 
@@ -78,7 +78,7 @@ def positional_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("f1"))
 
 
-SHINGLE_SQL = _sql(SHINGLES("lt"), SHINGLES("rt"))
+SHINGLE_SQL = _sql(SHINGLES("lt"), SHINGLES("rt"), SHINGLE_WORDS)
 
 
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
