@@ -1 +1,120 @@
-"""Queries."""
+"""Queries over robots rules, sitemaps, caches, fetch outcomes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brookmill.functions import page as G
+from brookmill.functions.sqltext import values
+from brookmill.operators import robots as R
+from brookmill.operators import sitemap as M
+from brookmill.plans.pages import HOST, pages
+from brookmill.plans.registry import query
+from brookmill.sources.tables import literal, table
+
+C = F.col
+ROBOTS = values(
+    [
+        ("https://a.example", "User-agent: *\nDisallow: /private\nAllow: /private/open$\n\nUser-agent: bot/2\nUser-agent: other\nDisallow: /x*y\nAllow: /x1y # ok\nDisallow: /%7Euser\n"),
+        ("https://b.example", "Disallow: /ignored\nUser-Agent: *\nDisallow: /\nAllow: /ok\nAllow:\nnonsense\n"),
+        ("https://c.example", "# nothing\n"),
+    ],
+    "origin, body",
+)
+ROBOTS_URLS = values(
+    [(1, "https://a.example/private"), (2, "https://a.example/x1y"), (3, "https://a.example/x22y?z=1"), (4, "https://b.example/no"), (5, "https://b.example/ok/1"), (6, "https://c.example/any"), (7, "https://b.example/robots.txt"), (8, "https://a.example/%7Euser/1"), (9, "https://d.example/")],
+    "case_id, url",
+)
+
+
+@query("robots_rules", f"""
+WITH l AS (SELECT origin, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM ({ROBOTS})),
+r AS (SELECT origin, pos, lower(trim(split_part(c, ':', 1))) AS field, trim(substr(c, strpos(c, ':') + 1)) AS value FROM (SELECT origin, pos, trim(split_part(line, '#', 1)) AS c FROM l) WHERE contains(c, ':')),
+k AS (SELECT *, CASE WHEN field = 'user-agent' THEN 'agent' WHEN field IN ('allow', 'disallow') AND starts_with(value, '/') THEN 'rule' END AS kind FROM r),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY origin ORDER BY pos) AS grp FROM (SELECT *, CASE WHEN kind = 'agent' AND coalesce(lag(kind) OVER (PARTITION BY origin ORDER BY pos), 'rule') = 'rule' THEN 1 ELSE 0 END AS opens FROM k WHERE kind IS NOT NULL))
+SELECT a.origin, a.agent, u.field = 'allow' AS allow, regexp_replace(u.value, '\\$$', '') AS pattern, ends_with(u.value, '$') AS anchored, length(replace(regexp_replace(regexp_replace(u.value, '\\$$', ''), '%[0-9A-F][0-9A-F]', 'x', 'g'), '*', '')) AS specificity
+FROM (SELECT DISTINCT origin, grp, CASE WHEN value = '*' THEN value ELSE lower(split_part(value, '/', 1)) END AS agent FROM g WHERE kind = 'agent' AND grp > 0) a JOIN g u ON u.origin = a.origin AND u.grp = a.grp AND u.kind = 'rule'""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse(literal(spark, ROBOTS)).where("pattern IS NOT NULL").drop("ord")
+
+
+@query("robots_decide", f"SELECT case_id, [TRUE, TRUE, FALSE, FALSE, TRUE, TRUE, TRUE, FALSE, TRUE][case_id] AS allowed FROM ({ROBOTS_URLS})")
+def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.decide(literal(spark, ROBOTS_URLS), R.parse(literal(spark, ROBOTS)), "bot").select("case_id", "allowed")
+
+
+STATUSES = values([(s,) for s in (200, 204, 301, 401, 403, 404, 408, 410, 425, 429, 500, 503)], "status")
+
+
+@query("robots_outcomes", f"SELECT status, CASE WHEN status BETWEEN 200 AND 299 THEN 'parse' WHEN status IN (408, 425, 429) OR status >= 500 THEN 'deny_all' WHEN status BETWEEN 400 AND 499 THEN 'allow_all' ELSE 'deny_all' END AS outcome FROM ({STATUSES})")
+def robots_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, STATUSES).select("status", R.outcome(C("status")).alias("outcome"))
+
+
+SITE = values(
+    [
+        ("https://a.example/map.xml", "<sitemapindex><sitemap><loc>https://a.example/m1.xml</loc></sitemap><sitemap><loc> /m2.xml </loc></sitemap></sitemapindex>"),
+        ("https://a.example/m1.xml", "<urlset><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/2?a=1&amp;b=2</loc></url></urlset>"),
+        ("https://a.example/m2.xml", "<urlset><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/3</loc></url><loc>https://a.example/map.xml</loc></urlset>"),
+    ],
+    "url, body",
+)
+
+
+@query("sitemap_urls", f"""
+WITH RECURSIVE l AS (SELECT url, contains(lower(body), '<sitemapindex') AS idx, unnest(list_transform(regexp_extract_all(body, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1), lambda x: replace(CASE WHEN starts_with(trim(x), '/') THEN 'https://a.example' || trim(x) ELSE trim(x) END, '&amp;', '&'))) AS loc FROM ({SITE})),
+s AS (SELECT *, idx OR regexp_matches(lower(loc), '\\.xml$') AS is_map FROM l),
+t(url, level) AS (SELECT 'https://a.example/map.xml', 0 UNION SELECT s.loc, t.level + 1 FROM t JOIN s ON s.url = t.url AND s.is_map WHERE t.level < 3)
+SELECT loc, min(level) AS level FROM t JOIN s USING (url) WHERE NOT is_map GROUP BY loc""")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = literal(spark, SITE)
+    return M.traverse(docs.where("url = 'https://a.example/map.xml'").select("url"), docs).select("loc", "level")
+
+
+@query("cache_misses", f"SELECT page_id, sha256('v1|' || url || '|' || {HOST}) AS cache_key, page_id % 3 = 0 AND page_id % 7 < 5 AS fresh FROM pages")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed lookup in a result table with an age bound: a stored row that is too old counts as a miss."""
+    p = pages(spark, sf_dir).select("page_id", F.sha2(F.concat(F.lit("v1|"), "url", F.lit("|"), G.host(C("url"))), 256).alias("cache_key"))
+    stored = p.where("page_id % 3 = 0").select("cache_key", (C("page_id") % 7 * 10).alias("age"))
+    return p.join(stored, "cache_key", "left").select("page_id", "cache_key", F.coalesce(C("age") < 50, F.lit(False)).alias("fresh"))
+
+
+@query("single_flight", f"SELECT {HOST} AS flight_key, min(page_id) AS leader, count(*) - 1 AS n_waiters FROM pages GROUP BY ALL")
+def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identical requests share one execution: the leader and how many wait for it."""
+    return pages(spark, sf_dir).groupBy(G.host(C("url")).alias("flight_key")).agg(F.min("page_id").alias("leader"), (F.count("*") - 1).alias("n_waiters"))
+
+
+ATTEMPTS = values([(s, n, ra) for s in (200, 404, 429, 503) for n in (1, 2, 3, 5) for ra in (None, 7)], "status, attempt, retry_after")
+
+
+@query("retry_schedule", f"SELECT status, attempt, retry_after, status IN (408, 425, 429, 500, 502, 503, 504) AND attempt < 3 AS retry, CASE WHEN status IN (408, 425, 429, 500, 502, 503, 504) THEN greatest(least(120.0, pow(2, attempt - 1)), coalesce(retry_after, 0)) END AS delay_s, least(0.25 * pow(2, attempt - 1), 2.0) AS jitter_ceiling FROM ({ATTEMPTS})")
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an outcome is tried again, the delay of the frontier, and the ceiling of the fetcher's jitter."""
+    a = literal(spark, ATTEMPTS)
+    again = C("status").isin(408, 425, 429, 500, 502, 503, 504)
+    back = F.pow(F.lit(2.0), C("attempt") - 1)
+    return a.select("status", "attempt", "retry_after", (again & (C("attempt") < 3)).alias("retry"), F.when(again, F.greatest(F.least(F.lit(120.0), back), F.coalesce(C("retry_after").cast("double"), F.lit(0.0)))).alias("delay_s"), F.least(0.25 * back, F.lit(2.0)).alias("jitter_ceiling"))
+
+
+MIME = values([(1, "text/html; charset=x", "<p>frag"), (2, "", "<!DOCTYPE html><html>"), (3, "text/plain", "%PDF-1.7 x"), (4, "application/pdf", "x"), (5, "image/png", "abc"), (6, "text/plain", "hello"), (7, "text/event-stream", "data"), (8, "application/json", "{}")], "case_id, declared, body")
+
+
+@query("effective_mime", f"SELECT case_id, ['text/html; charset=x', 'text/html', 'application/pdf', 'application/pdf', NULL, 'text/plain', NULL, 'application/json'][case_id] AS mime FROM ({MIME})")
+def effective_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal(spark, MIME).select("case_id", G.effective_mime(C("declared"), C("body")).alias("mime"))
+
+
+@query("format_projection", "SELECT page_id, md5(html) AS markdown_md5, NULL::VARCHAR AS html, page_id % 2 = 0 AS has_links FROM pages")
+def format_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional fields are nulled unless asked for (even pages ask for links, none for html)."""
+    p = pages(spark, sf_dir).withColumn("formats", F.when(C("page_id") % 2 == 0, F.array(F.lit("markdown"), F.lit("links"))).otherwise(F.array(F.lit("markdown"))))
+    return p.select("page_id", F.md5("html").alias("markdown_md5"), F.when(F.array_contains("formats", "html"), C("html")).alias("html"), F.array_contains("formats", "links").alias("has_links"))
+
+
+@query("telemetry_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def telemetry_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over an event stream's table; the stream form is in brookmill.streaming."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(C("w.start").alias("hour"), "event_type", "n", "total")
