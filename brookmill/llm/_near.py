@@ -56,8 +56,8 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     out = np.zeros(n - size + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
-            out = mix64(out * np.uint64(31) + words[j : n - size + 1 + j])
-    return out
+            out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : n - size + 1 + j]
+    return mix64(out)
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:

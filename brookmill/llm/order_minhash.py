@@ -37,16 +37,17 @@ def sketch(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and signature of a document's labelled shingles (empty without shingles)."""
     if not len(labels):
         return np.zeros(0, np.int64), np.zeros(SKETCHES, np.int32)
-    keys, signature = np.empty(SKETCHES, np.uint64), np.empty(SKETCHES, np.uint64)
+    rows = []
     with np.errstate(over="ignore"):
-        for k in range(SKETCHES):
-            h = mix64(labels ^ SEEDS[k])
-            at = np.argpartition(h, PICKS)[:PICKS] if len(h) > PICKS else np.arange(len(h))
-            signature[k] = h[at].min()
-            key = SEEDS[k]
-            for x in labels[np.sort(at)]:
-                key = mix64(np.array([key * np.uint64(0x2545F4914F6CDD1D) + x]))[0]
-            keys[k] = key
+        # All hash functions at once for ordinary documents, one by one for very long ones.
+        for seeds in np.split(SEEDS, SKETCHES if len(labels) > 50_000 else 1):
+            h = mix64(labels[None, :] ^ seeds[:, None])
+            at = np.argpartition(h, PICKS, axis=1)[:, :PICKS] if h.shape[1] > PICKS else np.broadcast_to(np.arange(h.shape[1]), h.shape)
+            key = seeds
+            for x in labels[np.sort(at, axis=1)].T:
+                key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + x)
+            rows.append((key, np.take_along_axis(h, at, axis=1).min(1)))
+    keys, signature = (np.concatenate(c) for c in zip(*rows, strict=True))
     return keys.view(np.int64), (signature >> np.uint64(33)).astype(np.int32)
 
 

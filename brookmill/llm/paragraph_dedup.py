@@ -19,7 +19,6 @@ repeated under one doc_id count as one document; an empty table gives an empty r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +36,35 @@ BANDS, ROWS = 8, 3
 #: Of 24 places that many at least must agree; at a similarity of 0.8 fewer do with a chance of under 1e-4.
 MATCHES_LEAST = 11
 SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(33))
-WORD = re.compile(r"\S+")
+
+
+#: An odd multiplier and its inverse modulo 2**64, for hashes of all windows from one running sum.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+#: Which of the first code points str.split() takes as white space; there are none beyond.
+SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each run of WINDOW words, from differences of one polynomial running sum."""
+    n = len(words) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, len(words)))])
+        return mix64((total[WINDOW:] - total[:-WINDOW]) * powers(INVERSE, n))
 
 
 def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the passage windows: those of the smallest hash among LEAST_WORDS - WINDOW + 1 neighbours."""
-    grams = shingles(words, WINDOW) if len(words) >= WINDOW else np.zeros(0, np.uint64)
+    grams = window_hashes(words)
     n, reach = len(grams), LEAST_WORDS - WINDOW + 1
     if not n:
         return np.zeros(0, np.int64), grams
@@ -54,13 +76,24 @@ def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (code points) of the words that str.split() gives."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.concatenate([[False], ~SPACES[np.minimum(points, len(SPACES) - 1)], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
 def bands(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and signature of a set of shingles."""
-    low = np.array([mix64(grams ^ s).min() for s in SEEDS])
-    keys = np.empty(BANDS, np.uint64)
-    for b in range(BANDS):
-        keys[b] = shingles(low[b * ROWS : (b + 1) * ROWS] ^ SEEDS[b], ROWS)[0]
-    return keys.view(np.int64), (low >> np.uint64(33)).astype(np.int32)
+    # Seeds in one step for ordinary paragraphs, one by one for very long ones.
+    parts = np.split(SEEDS, len(SEEDS) if len(grams) > 50_000 else 1)
+    low = np.concatenate([mix64(grams[None, :] ^ s[:, None]).min(1) for s in parts])
+    key = SEEDS[:BANDS]
+    with np.errstate(over="ignore"):
+        for x in low.reshape(BANDS, ROWS).T:
+            key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + x)
+    return key.view(np.int64), (low >> np.uint64(33)).astype(np.int32)
 
 
 def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -98,11 +131,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, hashes = windows(word_hashes(words))
             if not len(at):
                 continue
-            spans = np.array([m.span() for m in WORD.finditer(text)])
+            begin, end = word_spans(text)
             docs.append(np.full(len(at), doc, np.int64))
             keys.append(hashes.view(np.int64))
-            starts.append(spans[at, 0])
-            ends.append(spans[at + WINDOW - 1, 1])
+            starts.append(begin[at])
+            ends.append(end[at + WINDOW - 1])
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays([cat(docs), cat(keys), cat(starts), cat(ends)], ["doc_id", "key", "start", "end"])
 

@@ -92,7 +92,7 @@ def test_counterfactual_penalty_evens_out_group_terms():
     rows, pairs = [], []
     for _ in range(400):
         toxic = rng.random() < 0.5
-        x = [0] if toxic else [3]
+        x = [0 if toxic else 3] if rng.random() < 0.6 else []
         if rng.random() < (0.6 if toxic else 0.1):
             x = sorted({*x, 1})
             pairs.append((x, sorted({*x, 2} - {1})))
