@@ -321,7 +321,7 @@ def markdown(n: Node, keep_images: bool = False) -> str:
         for item in list_items(n):
             body = markdown(item["node"], keep_images).strip()
             mark = f"{item['ordinal']}." if item["ordinal"] is not None else "-"
-            lines.append(f"{mark} " + "\n".join(("  " if i else "") + x for i, x in enumerate(body.split("\n"))))
+            lines.append(f"{mark} " + "\n".join(("  " if i and x else "") + x for i, x in enumerate(body.split("\n"))))
         return "\n".join(lines)
     out, was_block = "", False
     for c in n.children:

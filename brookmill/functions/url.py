@@ -230,9 +230,10 @@ def canonicalize_exact(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def canonical_plain(url: Column) -> Column:
     """The canonical form of a URL that matches PLAIN and has no dot segments, in Column form; null for all others."""
     port = F.regexp_extract(authority(url), r":([0-9]+)$", 1)
-    default = ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443"))
+    number = F.nullif(port, F.lit("")).cast("int")
+    default = F.coalesce(number == F.when(scheme(url) == "http", 80).otherwise(443), F.lit(False))
     host = F.lower(F.regexp_extract(authority(url), r"^([^:]*)", 1))
-    shown = F.when((port == "") | default, host).otherwise(F.concat(host, F.lit(":"), port.cast("int").cast("string")))
+    shown = F.when((port == "") | default, host).otherwise(F.concat(host, F.lit(":"), number.cast("string")))
     p, q = path(url), query(url)
     good = url.rlike(PLAIN) & ~url.rlike(DOTS) & ~host.rlike(r"\.\.|-\.|\.-|^\d") & (F.length(url) <= MAX_LENGTH) & ~host.rlike(r"[^.]{64}")
     return F.when(good, F.concat(scheme(url), F.lit("://"), shown, F.when(p == "", "/").otherwise(p), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))

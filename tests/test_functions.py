@@ -81,7 +81,7 @@ def test_grid_spans_and_lists():
 
 def test_markdown():
     html = "<h2>A <em>b</em></h2><p>x*y <b>z</b></p><ul><li>i<ul><li>j</ul><li>k</ul><pre><code class=language-py>a```\nb</code></pre><table><tr><th>p<th>q<tr><td>1<td>2</table><math><annotation encoding=application/x-tex>x^2</annotation></math>"
-    assert dom.markdown(dom.parse(html)).strip() == "## A *b*\n\nx\\*y **z**\n\n- i\n\n  - j\n- k\n\n````py\na```\nb\n````\n\n| p | q |\n| --- | --- |\n| 1 | 2 |\n\n\\(x^2\\)".replace("| --- | --- |", "| --- | --- |")
+    assert dom.markdown(dom.parse(html)).strip() == "## A *b*\n\nx\\*y **z**\n\n- i\n\n  - j\n- k\n\n````py\na```\nb\n````\n\n| p | q |\n| --- | --- |\n| 1 | 2 |\n\n\\(x^2\\)"
 
 
 def test_lattice_equals_brute_force():
