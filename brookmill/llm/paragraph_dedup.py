@@ -162,7 +162,8 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     shared = placed.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     near = placed.join(shared, "cls").select("doc_id", "start", "end", "first_doc")
 
-    rows = texts.mapInArrow(_window_rows, "doc_id bigint, key bigint, start bigint, end bigint")
+    # Read twice: to find keys of more than one document, then their places.
+    rows = Scratch(texts.mapInArrow(_window_rows, "doc_id bigint, key bigint, start bigint, end bigint"), "window-rows").df
     twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     twice = Scratch(twice, "window-keys").df
     return near.unionByName(rows.join(twice, "key").select("doc_id", "start", "end", "first_doc"))
