@@ -9,13 +9,17 @@ from brookmill.functions.sqltext import values
 from brookmill.operators import extract as E
 from brookmill.operators import lattice as L
 from brookmill.operators import similarity as S
-from brookmill.plans.pages import pages
+from brookmill.plans.pages import pages as scan
 from brookmill.plans.registry import query
-from brookmill.sources.tables import literal
+from brookmill.sources.tables import literal, spread
 
 C = F.col
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(scan(spark, sf_dir))
+
+
 @query("ir_block_tags", r"""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(list_concat(list_transform(regexp_extract_all(html, '<h1>'), lambda x: 'h1'), list_transform(regexp_extract_all(html, '<nav>'), lambda x: 'nav'), list_transform(regexp_extract_all(html, '<article>'), lambda x: 'article'), list_transform(regexp_extract_all(html, '<li>'), lambda x: 'li'))) AS tag FROM pages) GROUP BY ALL""")
 def ir_block_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks by tag, for the tags that every page's skeleton has."""

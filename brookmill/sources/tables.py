@@ -32,3 +32,10 @@ def bodies(spark: SparkSession, path: str, most_bytes: int = 10_485_760) -> Data
     """Files as fetched bodies, without those over the byte bound."""
     files = spark.read.format("binaryFile").load(path)
     return files.where(f"length <= {most_bytes}").selectExpr("path AS url", "length AS n_bytes", "content AS body")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain table scan dealt to all cores where its files give fewer tasks than that: one small file with one row
+    group is one task, too few for a parser. Larger tables stay as they are, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
