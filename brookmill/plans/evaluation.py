@@ -57,8 +57,18 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gram5_dice", _sql(GRAMS("substr(lt, 1, 4000)"), GRAMS("substr(rt, 1, 4000)")) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS dice FROM s")
 def gram5_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-character multiset Dice; the bound of 4000 characters is the kernel's own input limit."""
-    s = _scored(spark, sf_dir, S.char_grams, lambda t: S.characters(F.substring(t, 1, 4000)))
+    """Five-character multiset Dice of the first 4000 characters, as its SQL has it; ``gram5_dice_whole`` scores whole texts."""
+    return _gram5(spark, sf_dir, lambda t: S.characters(F.substring(t, 1, 4000)))
+
+
+@query("gram5_dice_whole")
+def gram5_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-character multiset Dice of whole texts."""
+    return _gram5(spark, sf_dir, S.characters)
+
+
+def _gram5(spark: SparkSession, sf_dir: str, prepare) -> DataFrame:
+    s = _scored(spark, sf_dir, S.char_grams, prepare)
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("dice"))
 
 
@@ -73,8 +83,18 @@ POSITIONAL = lambda t: f"CASE WHEN length({t}) >= 5 THEN list_transform(range(1,
 
 @query("positional_f1", _sql(POSITIONAL("substr(lt, 1, 4000)"), POSITIONAL("substr(rt, 1, 4000)")) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS f1 FROM s")
 def positional_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-character F1 within 64 position buckets."""
-    s = _scored(spark, sf_dir, _positional, lambda t: S.characters(F.substring(t, 1, 4000)))
+    """Five-character F1 within 64 position buckets of the first 4000 characters, as its SQL has it; ``positional_f1_whole`` scores whole texts."""
+    return _positional_f1(spark, sf_dir, lambda t: S.characters(F.substring(t, 1, 4000)))
+
+
+@query("positional_f1_whole")
+def positional_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-character F1 within 64 position buckets of whole texts."""
+    return _positional_f1(spark, sf_dir, S.characters)
+
+
+def _positional_f1(spark: SparkSession, sf_dir: str, prepare) -> DataFrame:
+    s = _scored(spark, sf_dir, _positional, prepare)
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("f1"))
 
 
