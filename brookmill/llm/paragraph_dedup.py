@@ -7,8 +7,9 @@ shingle sets, and clustered by components. Passages that are set into a paragrap
 windows: of WINDOW words each, begun at words picked by their content so that any shared run of LEAST_WORDS words holds
 at least one equal window; for these, a single band over the whole window is exact.
 
-Units that stand in more than one document are repeats. In each document they are merged into spans; a span is kept in
-the smallest doc_id of its units' classes and removed elsewhere.
+Units that stand in more than one document are repeats. The smallest doc_id of a unit's class keeps it, the others remove
+it; only then are a document's removed units merged into spans, without the text of units that it keeps, and its kept
+units into others.
 
 Words are runs of non-white space; paragraphs are compared lower-cased. Whole texts count.
 
@@ -19,13 +20,14 @@ repeated under one doc_id count as one document; an empty table gives an empty r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from brookmill.llm._common import Scratch, small_or_plain
 from brookmill.llm._near import SIMILARITY, digest, mix64, near_classes, shingles, word_hashes
@@ -140,6 +142,50 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([cat(docs), cat(keys), cat(starts), cat(ends)], ["doc_id", "key", "start", "end"])
 
 
+def doc_spans(doc: int, units: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """Disjoint spans (start, end, first_doc, removed) of one document from its units (start, end, first_doc).
+
+    Text of a unit first held here is kept, whatever removed units lie over it. Pieces that meet leave the white space
+    between them to neither, so removal joins no words.
+    """
+    events: dict[int, list[tuple[int, int]]] = {}
+    for start, end, first in units:
+        events.setdefault(start, []).append((1, first))
+        events.setdefault(end, []).append((-1, first))
+    active: Counter[int] = Counter()
+    out: list[list] = []
+    for at, stop in pairwise(sorted(events)):
+        for step, first in events[at]:
+            active[first] += step
+        active = +active
+        if not active:
+            continue
+        first = doc if doc in active else min(active)
+        removed = first != doc
+        if out and out[-1][3] == removed and at <= out[-1][1] + 1:
+            out[-1][1], out[-1][2] = stop, min(out[-1][2], first)
+            continue
+        begin = at
+        if out and out[-1][1] == at:
+            # A unit that ends here has white space after it, one that begins here has it before.
+            if any(step < 0 for step, _ in events[at]):
+                begin += 1
+            else:
+                out[-1][1] -= 1
+        out.append([begin, stop, first, removed])
+    return [(a, b, first, removed) for a, b, first, removed in out if a < b]
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    for batch in batches:
+        rows = []
+        for doc, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows += [(doc, *span) for span in doc_spans(doc, [tuple(u.values()) for u in units.as_py()])]
+        cols = zip(*rows, strict=True) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "start", "end", "first_doc", "removed"])
+
+
 def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [np.unique(shingles(word_hashes((t.as_py() or "").lower().split()))).view(np.int64) for t in batch.column(1)]
@@ -172,12 +218,8 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per repeated span: doc_id, start, end, first_doc, removed.
 
-    Overlapping or touching units of a document are one span, whose first_doc is the smallest of theirs; the span is
-    removed where that is another document.
+    A unit is removed where its first_doc is another document. Overlapping or touching removed units are one span, whose
+    first_doc is the smallest of theirs; units first held by the document itself are kept whole, in spans of their own.
     """
-    units = Scratch(repeated_units(docs, similarity).distinct(), "repeat-units").df
-    w = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.sum(F.when(F.col("start") <= F.coalesce(reach, F.lit(-2)) + 1, 0).otherwise(1)).over(w)
-    spans = units.withColumn("span", opened).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
-    return spans.select("doc_id", "start", "end", "first_doc", (F.col("doc_id") != F.col("first_doc")).alias("removed"))
+    units = repeated_units(docs, similarity).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc")).alias("units"))
+    return units.mapInArrow(_span_rows, "doc_id bigint, start bigint, end bigint, first_doc bigint, removed boolean")

@@ -169,3 +169,34 @@ def test_filters_share_at_the_threshold():
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
     shared = [len(np.intersect1d(x, y)) for x, y in zip(f.decode(a), f.decode(b), strict=True)]
     assert np.mean(np.array(shared) > 0) >= 0.99
+
+
+def without_removed(texts, spans):
+    out = {i: list(t or "") for i, t in texts.items()}
+    for r in spans:
+        if r.removed:
+            out[r.doc_id][r.start : r.end] = "\0" * (r.end - r.start)
+    return {i: "".join(t).replace("\0", "") for i, t in out.items()}
+
+
+def test_every_repeated_paragraph_stays_in_its_first_document(spark):
+    rng = random.Random(12)
+    p, q = words(rng, 55), words(rng, 60)
+    texts = {1: words(rng, 20) + "\n" + p, 2: p + "\n" + q, 3: q + "\n" + words(rng, 20)}
+    got = paragraph_dedup.repeated_spans(docs(spark, list(texts.items()))).collect()
+    left = without_removed(texts, got)
+    assert [[x in left[i] for i in texts] for x in (p, q)] == [[True, False, False], [False, True, False]]
+    assert all(r.removed == (r.doc_id != r.first_doc) for r in got)
+
+
+def test_spans_of_units_by_loop():
+    rng = random.Random(13)
+    for _ in range(300):
+        # Words of one letter: they begin at even places and end at odd ones.
+        units = [(2 * a, 2 * (a + rng.randint(2, 9)) - 1, rng.choice([1, 2, 5])) for a in (rng.randint(0, 30) for _ in range(rng.randint(1, 6)))]
+        kept = {i for a, b, first in units if first == 5 for i in range(a, b, 2)}
+        gone = {i for a, b, first in units if first != 5 for i in range(a, b, 2)} - kept
+        spans = paragraph_dedup.doc_spans(5, units)
+        for want, removed in ((kept, False), (gone, True)):
+            assert {i for a, b, _, r in spans if r == removed for i in range(a, b) if i % 2 == 0} == want
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False)) and all((f != 5) == r for _, _, f, r in spans)
