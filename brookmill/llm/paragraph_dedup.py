@@ -7,9 +7,15 @@ shingle sets, and clustered by components. Passages that are set into a paragrap
 windows: of WINDOW words each, begun at words picked by their content so that any shared run of LEAST_WORDS words holds
 at least one equal window; for these, a single band over the whole window is exact.
 
+A window that stands in more than one document is extended word by word to the ends of the run that its documents share.
+Only the windows near the ends of a chain of them need that; a run of LEAST_WORDS words has a window within REACH words
+of either end. The holders of a window are walked like a trie: all are compared with the smallest doc_id's, those that
+part from it after the same words and go on alike are a group that is compared again, until no group has two documents.
+
 Units that stand in more than one document are repeats. The smallest doc_id of a unit's class keeps it, the others remove
 it; only then are a document's removed units merged into spans, without the text of units that it keeps, and its kept
-units into others.
+units into others. Of exact runs only the windows themselves are kept against other exact runs: the words around them that a
+smaller doc_id holds too are removed, and stand there.
 
 Words are runs of non-white space; paragraphs are compared lower-cased. Whole texts count.
 
@@ -28,12 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brookmill.llm._common import Scratch, small_or_plain
 from brookmill.llm._near import SIMILARITY, digest, mix64, near_classes, shingles, word_hashes
 
 LEAST_WORDS = 50
 WINDOW = 36
+#: Words by which a shared run of LEAST_WORDS words can go on beyond its first or last window.
+REACH = LEAST_WORDS - WINDOW
 BANDS, ROWS = 8, 3
 #: Of 24 places that many at least must agree; at a similarity of 0.8 fewer do with a chance of under 1e-4.
 MATCHES_LEAST = 11
@@ -126,7 +135,7 @@ def _para_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, keys, starts, ends = [], [], [], []
+        docs, keys, places, starts, ends = [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py() or ""
             words = text.split()
@@ -136,31 +145,114 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end = word_spans(text)
             docs.append(np.full(len(at), doc, np.int64))
             keys.append(hashes.view(np.int64))
+            places.append(at)
             starts.append(begin[at])
             ends.append(end[at + WINDOW - 1])
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([cat(docs), cat(keys), cat(starts), cat(ends)], ["doc_id", "key", "start", "end"])
+        yield pa.RecordBatch.from_arrays([cat(docs), cat(keys), cat(places), cat(starts), cat(ends)], ["doc_id", "key", "at", "start", "end"])
 
 
-def doc_spans(doc: int, units: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
-    """Disjoint spans (start, end, first_doc, removed) of one document from its units (start, end, first_doc).
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the wanted windows of each document, what stands beside them: up to REACH words outward, and where each ends."""
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for batch in batches:
+        rows = []
+        for doc, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            text = text.as_py() or ""
+            begin, end = word_spans(text)
+            hashes = word_hashes(text.split())
+            for hit in hits:
+                key, a, b = hit["key"], hit["at"], hit["at"] + WINDOW
+                # Another text under the same doc_id has other windows.
+                if b > len(hashes) or window_hashes(hashes[a:b]).view(np.int64)[0] != key:
+                    continue
+                place = (int(begin[a]), int(end[b - 1]))
+                if hit["left"]:
+                    low = max(0, a - REACH)
+                    rows.append((doc, key, True, *place, np.flip(hashes[low:a]).copy().view(np.int64), np.flip(begin[low:a]).copy()))
+                if hit["right"]:
+                    rows.append((doc, key, False, *place, hashes[b : b + REACH].view(np.int64), end[b : b + REACH]))
+        cols = zip(*rows, strict=True) if rows else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "key", "left", "start", "end", "words", "edges"])
+
+
+def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Windows ``hits`` (doc_id, key, at) with the words beside them that other documents share: doc_id, start, end, first_doc.
 
-    Text of a unit first held here is kept, whatever removed units lie over it. Pieces that meet leave the white space
-    between them to neither, so removal joins no words.
+    The first document of a group gets a row too, with the most that it shares with one of the others.
     """
-    events: dict[int, list[tuple[int, int]]] = {}
-    for start, end, first in units:
-        events.setdefault(start, []).append((1, first))
-        events.setdefault(end, []).append((-1, first))
-    active: Counter[int] = Counter()
+    w = Window.partitionBy("doc_id").orderBy("at")
+    # Where another window overlaps this one and reaches REACH words further, the two cover all that this one can gain.
+    ends = hits.select("key", F.max("at").over(w.rangeBetween(-WINDOW, -REACH)).isNull().alias("left"), F.max("at").over(w.rangeBetween(REACH, WINDOW)).isNull().alias("right"))
+    wanted = ends.groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")).where("left OR right")
+    wanted = Scratch(wanted, "window-ends").df
+    by_doc = hits.join(wanted, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("hits"))
+    rows = texts.join(by_doc, "doc_id").select("doc_id", "text", "hits").mapInArrow(_context_rows, "doc_id bigint, key bigint, left boolean, start bigint, end bigint, words array<bigint>, edges array<bigint>")
+    now = Scratch(rows.withColumn("step", F.lit(0)), "window-contexts").df
+    out = None
+    # The step of a row grows each round and ends at REACH.
+    for _ in range(REACH + 1):
+        group = ["key", "left", "step", "beside"]
+        beside = F.when(F.col("step") > 0, F.xxhash64(F.slice("words", 1, F.col("step")))).otherwise(F.lit(0))
+        rows = now.withColumn("beside", beside.cast("bigint"))
+        head = F.min(F.struct("doc_id", "start", "end", "words", "edges")).alias("head")
+        heads = rows.groupBy(*group).agg(head, F.max("doc_id").alias("last")).where("head.doc_id <> last").drop("last")
+        heads = Scratch(heads, "window-heads").df
+        same = F.array_position(F.zip_with("words", "head.words", lambda x, y: x.eqNullSafe(y)), False)
+        met = rows.join(heads, group).withColumn("same", F.when(same > 0, same - 1).otherwise(F.size("words")).cast("int"))
+        met = Scratch(met.where("doc_id <> head.doc_id OR start <> head.start"), "window-met").df
+        unit = lambda start, end, edges, n: (F.when((n > 0) & F.col("left"), F.get(edges, n - 1)).otherwise(start).alias("start"), F.when((n > 0) & ~F.col("left"), F.get(edges, n - 1)).otherwise(end).alias("end"))
+        others = met.where("doc_id <> head.doc_id AND same > 0")
+        gained = others.select("doc_id", *unit(F.col("start"), F.col("end"), F.col("edges"), F.col("same")), F.col("head.doc_id").alias("first_doc"))
+        most = others.groupBy(*group).agg(F.max("same").alias("most")).join(heads, group)
+        held = most.select(F.col("head.doc_id").alias("doc_id"), *unit(F.col("head.start"), F.col("head.end"), F.col("head.edges"), F.col("most")), F.col("head.doc_id").alias("first_doc"))
+        found = gained.unionByName(held)
+        out = found if out is None else out.unionByName(found)
+        now = Scratch(met.where("same < size(words)").select(*now.columns[:-1], (F.col("same") + 1).alias("step")), "window-contexts").df
+        if now.isEmpty():
+            break
+    return out
+
+
+#: Kinds of units: near-equal paragraphs, windows, and windows extended to the run that is shared.
+NEAR, EXACT, RUN = 0, 1, 2
+
+
+def doc_spans(doc: int, units: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """Disjoint spans (start, end, first_doc, removed) of one document from its units (start, end, first_doc, kind).
+
+    Text of a unit first held here is kept, whatever removed units lie over it. Only a run gives way beyond its windows
+    to exact copies of smaller documents, and so does a window inside one such copy: its document holds the window too,
+    but picked others there. Pieces that meet leave the white space between them to neither, so removal
+    joins no words.
+    """
+    copied: dict[int, list[list[int]]] = {}
+    for start, end, first, kind in sorted(units):
+        if first != doc and kind != NEAR:
+            own = copied.setdefault(first, [])
+            if own and start < own[-1][1]:
+                own[-1][1] = max(own[-1][1], end)
+            else:
+                own.append([start, end])
+    events: dict[int, list[tuple[int, int, int]]] = {}
+    for start, end, first, kind in units:
+        if first == doc and kind == EXACT and any(a <= start and end <= b for own in copied.values() for a, b in own):
+            kind = RUN
+        events.setdefault(start, []).append((1, first, kind))
+        events.setdefault(end, []).append((-1, first, kind))
+    active: Counter[tuple[int, int]] = Counter()
     out: list[list] = []
     for at, stop in pairwise(sorted(events)):
-        for step, first in events[at]:
-            active[first] += step
+        for step, first, kind in events[at]:
+            active[first, kind] += step
         active = +active
         if not active:
             continue
-        first = doc if doc in active else min(active)
+        copies = [first for first, kind in active if first != doc and kind != NEAR]
+        if (doc, NEAR) in active or (doc, EXACT) in active or ((doc, RUN) in active and not copies):
+            first = doc
+        else:
+            first = min(first for first, _ in active if first != doc)
         removed = first != doc
         if out and out[-1][3] == removed and at <= out[-1][1] + 1:
             out[-1][1], out[-1][2] = stop, min(out[-1][2], first)
@@ -168,7 +260,7 @@ def doc_spans(doc: int, units: list[tuple[int, int, int]]) -> list[tuple[int, in
         begin = at
         if out and out[-1][1] == at:
             # A unit that ends here has white space after it, one that begins here has it before.
-            if any(step < 0 for step, _ in events[at]):
+            if any(step < 0 for step, _, _ in events[at]):
                 begin += 1
             else:
                 out[-1][1] -= 1
@@ -193,7 +285,7 @@ def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_units(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Units that stand in more than one document: doc_id, start, end (code points), first_doc (the smallest doc_id of the class)."""
+    """Units that stand in more than one document: doc_id, start, end (code points), first_doc (the smallest doc_id of the class), kind."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     paras = texts.mapInArrow(_para_rows, "doc_id bigint, start bigint, end bigint, digest binary, n int, keys array<bigint>, signature array<int>")
     paras = Scratch(paras.withColumn("id", F.monotonically_increasing_id()), "para-sketches").df
@@ -206,13 +298,16 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     classes = near_classes(paras.select("id", "digest", "n", "keys", "signature"), labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
     placed = Scratch(classes.select("id", "cls").join(paras.select("id", "doc_id", "start", "end"), "id"), "para-classes").df
     shared = placed.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
-    near = placed.join(shared, "cls").select("doc_id", "start", "end", "first_doc")
+    near = placed.join(shared, "cls").select("doc_id", "start", "end", "first_doc", F.lit(NEAR).alias("kind"))
 
     # Read twice: to find keys of more than one document, then their places.
-    rows = Scratch(texts.mapInArrow(_window_rows, "doc_id bigint, key bigint, start bigint, end bigint"), "window-rows").df
+    rows = Scratch(texts.mapInArrow(_window_rows, "doc_id bigint, key bigint, at bigint, start bigint, end bigint"), "window-rows").df
     twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     twice = Scratch(twice, "window-keys").df
-    return near.unionByName(rows.join(twice, "key").select("doc_id", "start", "end", "first_doc"))
+    hits = Scratch(rows.join(twice, "key"), "window-hits").df
+    exact = hits.select("doc_id", "start", "end", "first_doc", F.lit(EXACT).alias("kind"))
+    runs = extended(texts, hits.select("doc_id", "key", "at").distinct()).withColumn("kind", F.lit(RUN))
+    return near.unionByName(exact).unionByName(runs)
 
 
 def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -221,5 +316,5 @@ def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     A unit is removed where its first_doc is another document. Overlapping or touching removed units are one span, whose
     first_doc is the smallest of theirs; units first held by the document itself are kept whole, in spans of their own.
     """
-    units = repeated_units(docs, similarity).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc")).alias("units"))
+    units = repeated_units(docs, similarity).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc", "kind")).alias("units"))
     return units.mapInArrow(_span_rows, "doc_id bigint, start bigint, end bigint, first_doc bigint, removed boolean")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pytest
@@ -193,10 +194,59 @@ def test_spans_of_units_by_loop():
     rng = random.Random(13)
     for _ in range(300):
         # Words of one letter: they begin at even places and end at odd ones.
-        units = [(2 * a, 2 * (a + rng.randint(2, 9)) - 1, rng.choice([1, 2, 5])) for a in (rng.randint(0, 30) for _ in range(rng.randint(1, 6)))]
-        kept = {i for a, b, first in units if first == 5 for i in range(a, b, 2)}
-        gone = {i for a, b, first in units if first != 5 for i in range(a, b, 2)} - kept
+        units = [(2 * a, 2 * (a + rng.randint(2, 9)) - 1, rng.choice([1, 2, 5]), paragraph_dedup.NEAR) for a in (rng.randint(0, 30) for _ in range(rng.randint(1, 6)))]
+        kept = {i for a, b, first, _ in units if first == 5 for i in range(a, b, 2)}
+        gone = {i for a, b, first, _ in units if first != 5 for i in range(a, b, 2)} - kept
         spans = paragraph_dedup.doc_spans(5, units)
         for want, removed in ((kept, False), (gone, True)):
             assert {i for a, b, _, r in spans if r == removed for i in range(a, b) if i % 2 == 0} == want
         assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False)) and all((f != 5) == r for _, _, f, r in spans)
+
+
+def test_spans_reach_the_ends_of_shared_runs(spark):
+    rng = random.Random(14)
+    number = count()
+    fresh = lambda n: [f"w{next(number)}" for _ in range(n)]
+    lists = [fresh(n) for n in (50, 51, 58, 70, 90)]
+    texts = {}
+    for i in range(1, 25):
+        own = lambda: fresh(rng.randint(0, 60))
+        w = own()
+        for p in rng.sample(lists, 2):
+            # Some copies stop short, so that a run's ends differ from document to document.
+            w += (p[rng.randint(0, 15) :] if rng.random() < 0.4 else p[: len(p) - rng.randint(0, 15)] if rng.random() < 0.4 else p) + own()
+        texts[i] = w
+    got = paragraph_dedup.repeated_spans(docs(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()
+    seen, gone = ({i: [False] * len(w) for i, w in texts.items()} for _ in range(2))
+    for r in got:
+        text = " ".join(texts[r.doc_id])
+        a, n = len(text[: r.start].split()), len(text[r.start : r.end].split())
+        assert text[r.start : r.end] == " ".join(texts[r.doc_id][a : a + n])
+        for k in range(a, a + n):
+            seen[r.doc_id][k], gone[r.doc_id][k] = True, r.removed
+    runs = {i: [False] * len(w) for i, w in texts.items()}
+    short = {i: [False] * len(w) for i, w in texts.items()}
+    for i, x in texts.items():
+        for j, y in texts.items():
+            where = {w: k for k, w in enumerate(y)}
+            a = 0
+            while i != j and a < len(x):
+                n = 0
+                while a + n < len(x) and where.get(x[a + n], -n - 9) == where.get(x[a], -9) + n:
+                    n += 1
+                for k in range(a, a + n):
+                    runs[i][k] |= n >= paragraph_dedup.LEAST_WORDS
+                    short[i][k] |= n >= paragraph_dedup.WINDOW
+                a += max(n, 1)
+    for i in texts:
+        assert all(s or not r for s, r in zip(seen[i], runs[i], strict=True)) and all(r or not s for s, r in zip(seen[i], short[i], strict=True))
+    left = {w for i, x in texts.items() for k, w in enumerate(x) if not gone[i][k]}
+    assert left == {w for x in texts.values() for w in x}
+
+
+def test_a_passage_of_51_words_is_reported_whole(spark):
+    rng = random.Random(15)
+    passage = words(rng, 51)
+    texts = {i: words(rng, rng.randint(1, 90)) + " " + passage + " " + words(rng, rng.randint(1, 90)) for i in range(1, 7)}
+    got = paragraph_dedup.repeated_spans(docs(spark, list(texts.items()))).collect()
+    assert [(r.doc_id, texts[r.doc_id][r.start : r.end], r.first_doc) for r in sorted(got)] == [(i, passage, 1) for i in texts]
