@@ -7,9 +7,13 @@ names in ``spark.checkpoint.dir``, so any executor can read them after another o
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +27,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for scratch tables: below ``spark.checkpoint.dir``, or an own folder where that is unset (tests)."""
+    """Folder for scratch tables: below ``spark.checkpoint.dir``; an own folder where that is unset and all of Spark is one process (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if sc.applicationId not in _own_dirs:
             _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="brookmill-")
         base = "file://" + _own_dirs[sc.applicationId]
@@ -61,6 +67,45 @@ class Scratch:
         drop_scratch(self.spark, self.path)
 
 
+#: Bytes and rows of the batches that a Python worker gets, where the session keeps Spark's defaults (64 MB, 10 000).
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+SPARK_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS)}
+
+#: Called in a worker when a task's rows are through, to empty what a module caches.
+_caches: list[Callable[[], None]] = []
+
+
+def cache_of_task(empty: Callable[[], None]) -> Callable[[], None]:
+    """Has ``empty`` called at the end of every task: workers live on and would hold the cache beside the executor's heap."""
+    _caches.append(empty)
+    return empty
+
+
+def _release() -> None:
+    for empty in _caches:
+        empty()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` in small batches, whose worker gives back its memory at the end of a task."""
+    conf = df.sparkSession.conf
+    for name, (default, own) in SPARK_BATCH.items():
+        if conf.get(name) == default:
+            conf.set(name, str(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
 def source_key(col: Column) -> Column:
     """A never-null key that sorts by code point with null last: '0' + source, or '1' for null."""
     return F.when(col.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col.cast("string")))

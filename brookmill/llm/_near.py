@@ -6,8 +6,11 @@
 3. Within each candidate component all representatives are compared exactly, in blocks; components of these links are
    the classes.
 
-A key or component with many members is cut into chunks, and each pair of chunks is one block: a block yields one root
-per member that it links, never a list of pairs, so the rows that leave a block are at most those that enter it.
+A key or component with more members than a chunk is first compared with one of them, its hub: members that link with the
+hub are settled, and only the open ones are compared with all others, as two settled ones are of one class already. So a
+group of copies of one text costs as many comparisons as it has members, however large it is, and no link is left out.
+The open members, and those that they are compared with, are cut into chunks, and each pair of chunks is one block: a block
+yields one root per member that it links, never a list of pairs, so the rows that leave a block are at most those that enter it.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, connected_components, small_or_plain
+from brookmill.llm._common import Scratch, cache_of_task, connected_components, map_arrow, small_or_plain
 
 SHINGLE = 5
 SIMILARITY = 0.8
-WORDS_KEPT = 300_000
+WORDS_KEPT, WORD_KEPT = 120_000, 64
 
 _words: dict[str, int] = {}
+cache_of_task(_words.clear)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,10 +45,15 @@ def word_hashes(words: list[str]) -> np.ndarray:
     """One 64-bit hash per word, through a bounded cache."""
     if len(_words) > WORDS_KEPT:
         _words.clear()
-    known = _words
+    known, long = _words, []
     for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w.encode())
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        if len(w) > WORD_KEPT:
+            long.append(w)
+    out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    for w in long:
+        del known[w]
+    return out
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -131,17 +140,65 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list, list, bool], Iterator[tuple[int, int]]], chunk: int, name: str) -> Scratch:
-    """Links (a, b) within the groups of ``rows`` (grp bigint, id bigint, *payload); ids of a group are distinct.
+def _lists(column: pa.Array) -> list:
+    """Values of an Arrow column; lists as arrays without a copy."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column]
+
+
+def _hub_links(big: DataFrame, payload: list[str], kernel: Callable, name: str) -> DataFrame:
+    """(grp, id, hub, settled) for the rows of large groups (grp, id, hub, *payload)."""
+    heads = big.where("id = hub").select("grp", *[F.col(c).alias(f"hub_{c}") for c in payload])
+    faced = big.where("id <> hub").join(heads, "grp").select("grp", "id", "hub", *payload, *[f"hub_{c}" for c in payload])
+    k = len(payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [_lists(c) for c in batch.columns]
+            rows = list(zip(*cols, strict=True))
+            hit = [False] * len(rows)
+            at = 0
+            while at < len(rows):
+                # Rows of one group that stand together are compared with their hub in one call.
+                end = at + 1
+                while end < len(rows) and rows[end][0] == rows[at][0] and end - at < 256:
+                    end += 1
+                for y in (y for _, y in kernel([(rows[at][2], *rows[at][3 + k :])], [(r[1], *r[3 : 3 + k]) for r in rows[at:end]], False)):
+                    hit[at + y] = True
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hit, pa.bool_())], ["grp", "id", "hub", "settled"])
+
+    return Scratch(map_arrow(faced, run, "grp bigint, id bigint, hub bigint, settled boolean"), name).df
+
+
+def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list, list, bool], Iterator[tuple[int, int]]], chunk: int, name: str) -> DataFrame:
+    """Links (a, b) within the groups of ``rows`` (grp bigint, id bigint, *payload; a written table); ids of a group are distinct.
 
     kernel(left, right, same) gets two lists of rows (id, *payload) in the order of id, or one list twice, and yields
-    numbered links between them; the links of a block are reduced to one root per row.
+    numbered links between them; the links of a block are reduced to one root per row. Facing a single row on the left,
+    it must yield every link.
     """
-    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    cells = rows.join(size, "grp").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    size = Scratch(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"), f"{name}-sizes")
+    large = Scratch(size.df.where(F.col("n") > chunk).select("grp", "hub"), f"{name}-large")
+    few = rows.join(small_or_plain(size).where(F.col("n") <= chunk).select("grp"), "grp", "left_semi")
+    few = few.select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("c"), "id", *payload)
+    cells, found = few, None
+    if not large.df.isEmpty():
+        big = rows.join(small_or_plain(large), "grp")
+        faced = _hub_links(big, payload, kernel, f"{name}-hub")
+        found = faced.where("settled").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        state = faced.select("grp", "id", "settled").unionByName(large.df.select("grp", F.col("hub").alias("id"), F.lit(True).alias("settled")))
+        is_open = F.when(F.col("settled"), 0).otherwise(1)
+        left = faced.groupBy("grp").agg(F.sum(is_open).alias("open"), F.sum(1 - is_open).alias("n")).where("open > 0")
+        chunks = Scratch(left.select("grp", F.ceil(F.col("open") / chunk).cast("int").alias("co"), F.ceil((F.col("n") + 1) / chunk).cast("int").alias("cs")), f"{name}-open")
+        part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        still = state.join(small_or_plain(chunks), "grp").select("grp", "id", F.when(F.col("settled"), F.col("co") + part(F.col("cs"))).otherwise(part(F.col("co"))).alias("c"), "settled", "co", "cs")
+        # Open chunks come first; each faces all chunks, a chunk of settled members only the open ones.
+        still = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("settled"), F.col("co")).otherwise(F.col("co") + F.col("cs")) - 1)))
+        still = still.select("grp", "id", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c")
+        cells = few.unionByName(still.join(rows, ["grp", "id"]).select("grp", "i", "j", "c", "id", *payload))
     names = ["grp", "i", "j", "c", "id", *payload]
-    cells = cells.select("grp", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "id", *payload)
     cells = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id")
 
     def block(held: list, i: int, j: int) -> list[tuple[int, int]]:
@@ -170,8 +227,7 @@ def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list,
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() if not pa.types.is_list(batch.column(k).type) else [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in batch.column(k)] for k in range(len(names))]
-            for row in zip(*cols, strict=True):
+            for row in zip(*(_lists(batch.column(k)) for k in range(len(names))), strict=True):
                 if row[:3] != cell:
                     if len(held) > 1:
                         out += block(held, cell[1], cell[2])
@@ -184,7 +240,8 @@ def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list,
         if out:
             yield flush()
 
-    return Scratch(cells.mapInArrow(run, "a bigint, b bigint"), name)
+    links = Scratch(map_arrow(cells, run, "a bigint, b bigint"), name).df
+    return links if found is None else links.unionByName(found)
 
 
 def by_signature(matches_least: int, similarity: float) -> Callable:
@@ -255,22 +312,32 @@ def by_labels(similarity: float, close: Callable[[np.ndarray, np.ndarray], bool]
 
 
 def near_classes(sketches: DataFrame, labels_of: Callable[[DataFrame], DataFrame], close: Callable[[np.ndarray, np.ndarray], bool], matches_least: int, name: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, rep, cls) for each row of ``sketches`` (id, digest, n, keys, signature; a written table, ids not null).
+    """(id, cls) for each row of ``sketches`` (id, digest, n, keys, signature; a written table, ids not null and distinct).
 
-    labels_of(ids) gives (id, labels) for a table of ids. cls is the smallest id of the class.
+    labels_of(ids) gives (id, labels) for a written table of ids. cls is the id of one row of the class.
     """
-    reps = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = Scratch(sketches.select("id", "digest").join(reps, "digest").select("id", "rep"), f"{name}-reps").df
-    firsts = sketches.join(reps.where("id = rep").select("id").distinct(), "id", "left_semi")
-    spots = firsts.select("id", F.explode(F.array_distinct("keys")).alias("grp"))
+    copies = Scratch(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), f"{name}-copies")
+    reps = Scratch(sketches.select("id", "digest").join(small_or_plain(copies), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")), f"{name}-reps").df
+    others = Scratch(reps.where("id <> rep").select("id"), f"{name}-others")
+    spots = sketches.join(small_or_plain(others), "id", "left_anti").select("id", F.explode(F.array_distinct("keys")).alias("grp"))
     met = spots.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    shared = Scratch(spots.join(met, "grp", "left_semi").distinct(), f"{name}-spots").df
-    holders = small_or_plain(Scratch(shared.select("id").distinct(), f"{name}-holders"))
-    facts = Scratch(sketches.join(holders, "id", "left_semi").select("id", "n", "signature").dropDuplicates(["id"]), f"{name}-facts").df
-    loose = compare_groups(shared.join(facts, "id"), ["n", "signature"], by_signature(matches_least, similarity), 1024, f"{name}-loose")
-    candidates = connected_components(loose.df, f"{name}-cand").df
-    labels = labels_of(candidates.select(F.col("node").alias("id")))
-    rows = candidates.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(labels, "id")
-    tight = compare_groups(Scratch(rows, f"{name}-labels").df, ["labels"], by_labels(similarity, close), 256, f"{name}-tight")
-    classes = connected_components(tight.df, f"{name}-cls").df.select(F.col("node").alias("rep"), F.col("component").alias("cls"))
-    return reps.join(classes, "rep", "left").select("id", "rep", F.coalesce("cls", "rep").alias("cls"))
+    shared = Scratch(spots.join(met, "grp", "left_semi"), f"{name}-spots")
+    holders = Scratch(shared.df.select("id").distinct(), f"{name}-holders")
+    facts = sketches.join(small_or_plain(holders), "id", "left_semi").select("id", "n", "signature")
+    held = Scratch(shared.df.join(facts, "id"), f"{name}-facts")
+    loose = compare_groups(held.df, ["n", "signature"], by_signature(matches_least, similarity), 1024, f"{name}-loose")
+    candidates = connected_components(loose, f"{name}-cand")
+    labels = labels_of(Scratch(candidates.df.select(F.col("node").alias("id")), f"{name}-wanted").df)
+    rows = Scratch(candidates.df.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(labels, "id"), f"{name}-labels")
+    tight = compare_groups(rows.df, ["labels"], by_labels(similarity, close), 256, f"{name}-tight")
+    classes = connected_components(tight, f"{name}-cls").df.select(F.col("node").alias("rep"), F.col("component").alias("cls"))
+    for table in (shared, holders, held, rows, others):
+        table.drop()
+    return reps.join(classes, "rep", "left").select("id", F.coalesce("cls", "rep").alias("cls"))
+
+
+def named_classes(classes: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, doc_id, class_id): class_id is the smallest doc_id of each class of ``classes`` (id, cls); ``names`` has (id, doc_id)."""
+    own = classes.join(names, "id").select("id", "cls", "doc_id")
+    many = Scratch(own.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "class-names")
+    return own.join(small_or_plain(many), "cls", "left").select("id", "doc_id", F.coalesce("first", "doc_id").alias("class_id"))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookmill.llm._common import map_arrow
+
 TURN, END = "<|turn|>", "<|end|>"
 ESCAPE = "\u241b"
 #: The first character of a control string, then the rest of it: <| of this and like templates, <s>, </s>, [INST], <<SYS>>.
@@ -131,7 +133,7 @@ def format_log(events: DataFrame) -> DataFrame:
             now, at = conv, at + 1 if conv == now else 0
             yield conv, at, *render(role, text)
 
-    return log.mapInArrow(lambda batches: _batches(turns(batches), schema), RENDERED)
+    return map_arrow(log, lambda batches: _batches(turns(batches), schema), RENDERED)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
         if n:
             yield now, n, turns.hexdigest(), chars, loss.hexdigest(), size
 
-    return rendered.mapInArrow(lambda batches: _batches(digests(batches), schema), READ_BACK)
+    return map_arrow(rendered, lambda batches: _batches(digests(batches), schema), READ_BACK)
 
 
 def log_of_turns(conversations: DataFrame) -> DataFrame:

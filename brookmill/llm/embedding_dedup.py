@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, connected_components
+from brookmill.llm._common import Scratch, connected_components, map_arrow
 
 THRESHOLD = 0.95
 #: Many rotations with few directions each even out how a vector's length falls to the blocks.
@@ -172,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     signs = np.packbits(x @ plane > 0, axis=1).view(np.int64)[:, 0]
                     yield pa.RecordBatch.from_arrays([pa.array(reps_[at : at + 256][rows]), pa.array([dim] * len(rows), pa.int32()), pa.array(signs), pa.array(lists, pa.list_(pa.int64()))], ["rep", "dim", "signs", "filters"])
 
-    lists = Scratch(reps.select("rep", "v").mapInArrow(listed, "rep bigint, dim int, signs bigint, filters array<bigint>"), "vector-filters").df
+    lists = Scratch(map_arrow(reps.select("rep", "v"), listed, "rep bigint, dim int, signs bigint, filters array<bigint>"), "vector-filters").df
     spots = lists.select("rep", "dim", "signs", F.explode("filters").alias("filter"))
     met = spots.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = Scratch(met.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "vector-met").df
@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         if len(held) > 1:
             yield result(cell, held)
 
-    found = Scratch(rows.mapInArrow(compared, "rep bigint, links bigint, root bigint"), "vector-links").df
+    found = Scratch(map_arrow(rows, compared, "rep bigint, links bigint, root bigint"), "vector-links").df
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-cc").df.withColumnRenamed("node", "rep")
     facts = reps.select("key", "rep", "m").join(links, "rep", "left").join(parts, "rep", "left")

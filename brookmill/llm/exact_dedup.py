@@ -73,4 +73,4 @@ def exact_dedup(docs: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     twice = F.col("doc_id").eqNullSafe(F.col("__bm_id"))
     once = out.join(repeats, twice, "left_anti")
     many = out.join(repeats, twice, "left_semi").groupBy(F.col("doc_id").alias("__bm_id"), F.length(F.coalesce("text", F.lit(""))).alias("__bm_n"), text_digest(F.col("text")).alias("__bm_sha"))
-    return once.unionByName(many.agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("r")).select("r.*"))
+    return once.unionByName(many.agg(F.any_value(F.struct(*[F.col(c) for c in docs.columns])).alias("__bm_row")).select("__bm_row.*"))

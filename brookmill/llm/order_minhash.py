@@ -11,9 +11,10 @@ such links, directly or through others, are a class.
 Words are runs of non-white space, lower-cased. Whole texts count.
 
 Defined cases: null and empty texts, and texts of white space, are equal to each other and to nothing else; a text of
-under five words is one shingle; equal texts are one class without further comparison; rows repeated under a doc_id
-share its class, as do different texts under one doc_id; rows without doc_id are left alone (class null, kept); an
-empty table gives an empty result; other columns are not looked at.
+under five words is one shingle; equal texts are one class without further comparison; different texts under one doc_id
+are each judged by their own text, and the row that stays of a class is the first of its smallest doc_id's; rows repeated
+with doc_id and text are copies, of which one stays; rows without doc_id are left alone (class null, kept); an empty table
+gives an empty result; other columns are not looked at, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, small_or_plain
-from brookmill.llm._near import SIMILARITY, aligned_similarity, digest, labelled, mix64, near_classes, shingles, word_hashes
+from brookmill.llm._common import Scratch, map_arrow, small_or_plain
+from brookmill.llm._near import SIMILARITY, aligned_similarity, digest, labelled, mix64, named_classes, near_classes, shingles, word_hashes
 
 SKETCHES, PICKS = 16, 3
 MATCHES_LEAST = 5
@@ -57,16 +58,15 @@ def text_labels(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "digest", "n", "keys", "signature"]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", "text_hash", "digest", "n", "keys", "signature"]
+    types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for text in batch.column(2):
             words, labels = text_labels(text.as_py())
-            keys, signature = sketch(labels)
-            rows.append((doc, digest(words), len(labels), keys, signature))
-        cols = zip(*rows, strict=True) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
+            rows.append((digest(words), len(labels), *sketch(labels)))
+        cols = zip(*rows, strict=True) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names)
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,26 +75,47 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["id", "labels"])
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (doc_id is class_id)."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    known = texts.where("id IS NOT NULL")
-    sketches = Scratch(known.mapInArrow(_sketches, "id bigint, digest binary, n int, keys array<bigint>, signature array<int>"), "omh-sketches").df
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """(id, doc_id, text_hash, class_id, first) for every row with a doc_id; ``first`` tells the row that stays of each class.
+
+    A text is known by its doc_id and a 64-bit hash, so that it can be read again.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id IS NOT NULL")
+    sketches = map_arrow(texts, _sketches, "doc_id bigint, text_hash bigint, digest binary, n int, keys array<bigint>, signature array<int>")
+    sketches = Scratch(sketches.withColumn("id", F.monotonically_increasing_id()), "omh-sketches").df
+    names = sketches.select("id", "doc_id", "text_hash")
 
     def labels_of(ids: DataFrame) -> DataFrame:
-        wanted = small_or_plain(Scratch(ids, "omh-wanted"))
-        return known.join(wanted, "id", "left_semi").mapInArrow(_labels, "id bigint, labels array<bigint>").dropDuplicates(["id"])
+        wanted = small_or_plain(Scratch(names.join(ids, "id"), "omh-wanted"))
+        return map_arrow(texts.join(wanted, ["doc_id", "text_hash"]).select("id", "text"), _labels, "id bigint, labels array<bigint>").dropDuplicates(["id"])
 
     classes = near_classes(sketches, labels_of, lambda a, b: aligned_similarity(a, b, similarity) >= similarity, MATCHES_LEAST, "omh", similarity)
-    # Different texts under one id: the id is in the class of each, so the classes are one; the smallest names it.
-    one = classes.groupBy("id").agg(F.min("cls").alias("cls"))
-    found = classes.select("id").join(one, "id").select(F.col("id").alias("doc_id"), F.col("cls").alias("class_id"), (F.col("id") == F.col("cls")).alias("kept"))
-    lost = texts.where("id IS NULL").select(F.col("id").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept"))
+    return Scratch(named_classes(classes, names), "omh-classes").df.join(names.select("id", "text_hash"), "id")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (doc_id is class_id)."""
+    found = _classes(docs, similarity).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    lost = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept"))
     return found.unionByName(lost)
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay, one per class, with all their columns."""
-    gone = near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias("__bm_id")).distinct()
-    gone = small_or_plain(Scratch(gone, "omh-gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__bm_id"), "left_anti")
+    all_ = Scratch(_classes(docs, similarity), "omh-all").df
+    # Of a class's rows with its smallest doc_id, one text stays.
+    heads = all_.where("doc_id = class_id").groupBy("class_id").agg(F.min("text_hash").alias("head"), F.count(F.lit(1)).alias("k"))
+    twice = Scratch(heads.where("k > 1").drop("k"), "omh-twice")
+    gone = all_.join(small_or_plain(twice), "class_id", "left").where("doc_id <> class_id OR text_hash <> head")
+    gone = small_or_plain(Scratch(gone.select(F.col("doc_id").alias("__bm_id"), F.col("text_hash").alias("__bm_hash")).distinct(), "omh-gone"))
+    same = (F.col("doc_id") == F.col("__bm_id")) & (F.xxhash64("text") == F.col("__bm_hash"))
+    out = docs.join(gone, same, "left_anti")
+    again = all_.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    again = Scratch(again.select(F.col("doc_id").alias("__bm_id"), F.col("text_hash").alias("__bm_hash")), "omh-again")
+    if again.df.isEmpty():
+        return out
+    # Rows that repeat a doc_id with its text: any one of them stays.
+    again = small_or_plain(again)
+    once = out.join(again, same, "left_anti")
+    many = out.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("__bm_id"), F.xxhash64("text").alias("__bm_hash"))
+    return once.unionByName(many.agg(F.any_value(F.struct(*[F.col(c) for c in docs.columns])).alias("__bm_row")).select("__bm_row.*"))

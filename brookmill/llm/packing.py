@@ -12,8 +12,10 @@ A task tokenises and packs what it reads: nothing is shuffled, a lost task is ru
 a group of copies or of a source makes no difference. A task holds its open windows and one Arrow batch.
 
 Token ids come from the `tokenizers` library. Words recur, so the ids of white-space separated chunks are kept in a
-bounded cache; chunks of plain Latin letters, with or without punctuation after them, go straight to the library's BPE
-model, everything else through its whole pipeline.
+bounded cache that a task empties when it ends; chunks of plain Latin letters, with or without punctuation after them, go
+straight to the library's BPE model, everything else through its whole pipeline. Chunks of more than CHUNK_KEPT characters are not kept.
+Both short cuts hold for byte-level BPE that lower-cases and splits at white space; where the tokenizer's file says otherwise, every
+text goes through the whole pipeline at once.
 
 Defined cases: a null text counts as empty, and an empty document is its closing id alone; repeated rows are packed
 each on its own; a null doc_id is kept as null; an empty table gives an empty result; other columns are not looked at.
@@ -21,6 +23,7 @@ each on its own; a null doc_id is kept as null; an empty table gives an empty re
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -28,11 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from brookmill.llm._common import cache_of_task, map_arrow
+
 WINDOW = 4096
 CLOSING_ID = 2
 OPEN_MOST = 2048
-CACHE_MOST = 400_000
-ROWS_OUT = 2000
+CACHE_MOST = 60_000
+CHUNK_KEPT = 64
+BYTES_OUT, ROWS_OUT = 4 << 20, 500
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
@@ -41,6 +47,15 @@ ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_t
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Python splits at these, the tokenizer's patterns do not.
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
+# The steps before the model for which chunks between white space can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class ChunkTokenizer:
@@ -50,40 +65,52 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        self.by_chunk = stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == PRE_TOKENIZER and stated["post_processor"] is None and stated["model"]["dropout"] is None
         self.model = self.whole.model
+        self.cache_most = cache_most
+        self.bytes_as_chars = _byte_alphabet()
+        self.empty()
+
+    def empty(self) -> None:
         # Two generations: a full young one becomes the old one, and what is still in use moves back.
         self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.cache_most = cache_most
-        self.bytes_as_chars = _byte_alphabet()
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = self.cache.get(word) or self.old.get(word)
-        if got is None:
-            chars = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as_chars)
-            got = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
-        self.cache[word] = got
-        return got
+        chars = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as_chars)
+        return np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         m = PLAIN.fullmatch(chunk)
         if m is None:
-            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._encode(chunk)
         word, mark = m.groups()
         return self._word(word.lower()) + (self._word(mark) if mark else b"")
 
     def ids(self, text: str) -> bytes:
+        if not self.by_chunk:
+            return self._encode(text)
         if SEPARATORS.search(text):
             chunks = re.split(r"[ \t\n\r\x0b\x0c]+", text)
         else:
             chunks = text.split()
         if len(self.cache) > self.cache_most:
             self.cache, self.old = {"": b""}, self.cache
-        cache, old = self.cache, self.old
+        cache, old, long = self.cache, self.old, []
         for chunk in set(chunks).difference(cache):
             got = old.get(chunk)
             cache[chunk] = self._chunk(chunk) if got is None else got
-        return b"".join(map(cache.__getitem__, chunks))
+            if len(chunk) > CHUNK_KEPT:
+                long.append(chunk)
+        found = b"".join(map(cache.__getitem__, chunks))
+        for chunk in long:
+            del cache[chunk]
+        return found
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -178,6 +205,12 @@ class SumOfSquares:
 _loaded: dict[str, ChunkTokenizer] = {}
 
 
+@cache_of_task
+def _empty_loaded() -> None:
+    for tok in _loaded.values():
+        tok.empty()
+
+
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, closing_id: int = CLOSING_ID) -> DataFrame:
     """Pieces of the packed sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian
     unsigned 32-bit ids). A sequence is its pieces in the order of offset.
@@ -191,21 +224,23 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, closing_id:
 
         tok = _loaded.get(tokenizer_file) or _loaded.setdefault(tokenizer_file, ChunkTokenizer(tokenizer_file))
         rows: list[tuple] = []
-        number = TaskContext.get().partitionId() << 32
+        number, size = TaskContext.get().partitionId() << 32, 0
 
         def emit(box: list) -> None:
-            nonlocal number
+            nonlocal number, size
             offset = 0
             for doc, start, total, ids in box:
                 n = len(ids) // 4
                 rows.append((doc, start, n, total, number, offset, ids))
                 offset += n
-            number += 1
+            number, size = number + 1, size + 4 * offset
 
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for at in range(0, len(rows), ROWS_OUT):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + ROWS_OUT], strict=True), ARROW, strict=True)], schema=ARROW)
             rows.clear()
-            return got
+            size = 0
 
         windows = SumOfSquares(window, emit)
         for batch in batches:
@@ -214,10 +249,9 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, closing_id:
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     windows.place([doc, start, total, ids[4 * start : 4 * (start + window)]])
-                if len(rows) >= ROWS_OUT:
-                    yield out()
+                if size >= BYTES_OUT:
+                    yield from out()
         windows.close()
-        if rows:
-            yield out()
+        yield from out()
 
-    return docs.select(docs["doc_id"].cast("bigint"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(docs["doc_id"].cast("bigint"), "text"), run, SCHEMA)

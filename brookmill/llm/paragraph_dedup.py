@@ -12,32 +12,35 @@ Only the windows near the ends of a chain of them need that; a run of LEAST_WORD
 of either end. The holders of a window are walked like a trie: all are compared with the smallest doc_id's, those that
 part from it after the same words and go on alike are a group that is compared again, until no group has two documents.
 
+Chains of overlapping windows and runs of fewer than LEAST_WORDS words are not reported: short phrases recur in unrelated texts.
 Units that stand in more than one document are repeats. The smallest doc_id of a unit's class keeps it, the others remove
 it; only then are a document's removed units merged into spans, without the text of units that it keeps, and its kept
 units into others. Of exact runs only the windows themselves are kept against other exact runs: the words around them that a
 smaller doc_id holds too are removed, and stand there.
 
-Words are runs of non-white space; paragraphs are compared lower-cased. Whole texts count.
+Words are runs of non-white space, compared lower-cased. Whole texts count. The bound for paragraphs is a parameter and may be
+as small as one shingle.
 
 Defined cases: null and empty texts have no units; a paragraph of fewer words is compared by windows only, as part of
 the document's words; repeats within one document alone are not reported; rows without doc_id are not compared; rows
-repeated under one doc_id count as one document; an empty table gives an empty result; other columns are not looked at.
+under one doc_id count as one document, and each of its texts has spans of its own (text_hash tells them apart); an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brookmill.llm._common import Scratch, small_or_plain
-from brookmill.llm._near import SIMILARITY, digest, mix64, near_classes, shingles, word_hashes
+from brookmill.llm._common import Scratch, map_arrow, small_or_plain
+from brookmill.llm._near import SHINGLE, SIMILARITY, digest, mix64, near_classes, shingles, word_hashes
 
 LEAST_WORDS = 50
 WINDOW = 36
@@ -107,87 +110,85 @@ def bands(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), (low >> np.uint64(33)).astype(np.int32)
 
 
-def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    for line in text.split("\n"):
-        if line.strip():
-            yield at, at + len(line)
-        at += len(line) + 1
+UNIT_ROWS = "doc_id bigint, text_hash bigint, start bigint, end bigint, at bigint, words bigint, key bigint, digest binary, n int, keys array<bigint>, signature array<int>"
 
 
-def _para_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "end", "digest", "n", "keys", "signature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            for a, b in _paragraphs(text):
-                own = text[a:b].lower().split()
-                if len(own) < LEAST_WORDS:
-                    continue
-                words = word_hashes(own)
-                grams = np.unique(shingles(words))
-                rows.append((doc, a, b, digest(words), len(grams), *bands(grams)))
-        cols = zip(*rows, strict=True) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, keys, places, starts, ends = [], [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            words = text.split()
-            at, hashes = windows(word_hashes(words))
-            if not len(at):
-                continue
-            begin, end = word_spans(text)
-            docs.append(np.full(len(at), doc, np.int64))
-            keys.append(hashes.view(np.int64))
-            places.append(at)
-            starts.append(begin[at])
-            ends.append(end[at + WINDOW - 1])
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([cat(docs), cat(keys), cat(places), cat(starts), cat(ends)], ["doc_id", "key", "at", "start", "end"])
+def paragraphs(text: str, begin: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of the first word, and of the word after the last, of each line with at least so many words."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    line = np.searchsorted(np.flatnonzero(points == 10), begin)
+    cuts = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(begin)]]) if len(begin) else np.zeros(1, int)
+    pairs_ = np.stack([cuts[:-1], cuts[1:]], axis=1)
+    return pairs_[pairs_[:, 1] - pairs_[:, 0] >= least]
+
+
+def _unit_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of passage windows (with a key) and of paragraphs (with a digest and a sketch) from one reading of each text."""
+    int_names = ["doc_id", "text_hash", "start", "end", "at", "words"]
+    sketch_types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, keys, sketches = [], [], []
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+            for doc, text_hash, text in ids:
+                text = text.as_py() or ""
+                begin, end = word_spans(text)
+                hashes = word_hashes(text.lower().split())
+                at, windowed = windows(hashes)
+                n = len(at)
+                found.append(np.stack([np.full(n, doc), np.full(n, text_hash), begin[at], end[at + WINDOW - 1] if n else at, at, np.full(n, WINDOW)]).astype(np.int64))
+                keys += windowed.view(np.int64).tolist()
+                sketches += [None] * n
+                for a, b in paragraphs(text, begin, least).tolist():
+                    grams = np.unique(shingles(hashes[a:b]))
+                    found.append(np.array([[doc], [text_hash], [begin[a]], [end[b - 1]], [a], [b - a]], np.int64))
+                    keys.append(None)
+                    sketches.append((digest(hashes[a:b]), len(grams), *bands(grams)))
+            whole = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
+            parts = [pa.array([x and x[k] for x in sketches] if k < 2 else [None if x is None else x[k] for x in sketches], t) for k, t in enumerate(sketch_types)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(keys, pa.int64()), *parts], [*int_names, "key", "digest", "n", "keys", "signature"])
+
+    return run
+
+
+CONTEXT_ROWS = "doc_id bigint, text_hash bigint, key bigint, left boolean, at bigint, start bigint, end bigint, words array<bigint>, edges array<bigint>"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the wanted windows of each document, what stands beside them: up to REACH words outward, and where each ends."""
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for batch in batches:
         rows = []
-        for doc, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for doc, text_hash, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             text = text.as_py() or ""
             begin, end = word_spans(text)
-            hashes = word_hashes(text.split())
+            hashes = word_hashes(text.lower().split())
             for hit in hits:
-                key, a, b = hit["key"], hit["at"], hit["at"] + WINDOW
-                # Another text under the same doc_id has other windows.
-                if b > len(hashes) or window_hashes(hashes[a:b]).view(np.int64)[0] != key:
-                    continue
-                place = (int(begin[a]), int(end[b - 1]))
+                a, b = hit["at"], hit["at"] + WINDOW
+                place = (a, int(begin[a]), int(end[b - 1]))
                 if hit["left"]:
                     low = max(0, a - REACH)
-                    rows.append((doc, key, True, *place, np.flip(hashes[low:a]).copy().view(np.int64), np.flip(begin[low:a]).copy()))
+                    rows.append((doc, text_hash, hit["key"], True, *place, np.flip(hashes[low:a]).copy().view(np.int64), np.flip(begin[low:a]).copy()))
                 if hit["right"]:
-                    rows.append((doc, key, False, *place, hashes[b : b + REACH].view(np.int64), end[b : b + REACH]))
-        cols = zip(*rows, strict=True) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "key", "left", "start", "end", "words", "edges"])
+                    rows.append((doc, text_hash, hit["key"], False, *place, hashes[b : b + REACH].view(np.int64), end[b : b + REACH]))
+        cols = zip(*rows, strict=True) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "text_hash", "key", "left", "at", "start", "end", "words", "edges"])
 
 
 def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Windows ``hits`` (doc_id, key, at) with the words beside them that other documents share: doc_id, start, end, first_doc.
+    """Windows ``hits`` (doc_id, text_hash, key, at) with the words beside them that other documents share: the columns UNIT.
 
     The first document of a group gets a row too, with the most that it shares with one of the others.
     """
-    w = Window.partitionBy("doc_id").orderBy("at")
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("at")
     # Where another window overlaps this one and reaches REACH words further, the two cover all that this one can gain.
     ends = hits.select("key", F.max("at").over(w.rangeBetween(-WINDOW, -REACH)).isNull().alias("left"), F.max("at").over(w.rangeBetween(REACH, WINDOW)).isNull().alias("right"))
     wanted = ends.groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")).where("left OR right")
-    wanted = Scratch(wanted, "window-ends").df
-    by_doc = hits.join(wanted, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("hits"))
-    rows = texts.join(by_doc, "doc_id").select("doc_id", "text", "hits").mapInArrow(_context_rows, "doc_id bigint, key bigint, left boolean, start bigint, end bigint, words array<bigint>, edges array<bigint>")
+    wanted = small_or_plain(Scratch(wanted, "window-ends"))
+    by_doc = hits.join(wanted, "key").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("hits"))
+    by_doc = small_or_plain(Scratch(by_doc, "window-wanted"))
+    rows = map_arrow(texts.join(by_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "hits"), _context_rows, CONTEXT_ROWS)
     now = Scratch(rows.withColumn("step", F.lit(0)), "window-contexts").df
     out = None
     # The step of a row grows each round and ends at REACH.
@@ -195,18 +196,23 @@ def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
         group = ["key", "left", "step", "beside"]
         beside = F.when(F.col("step") > 0, F.xxhash64(F.slice("words", 1, F.col("step")))).otherwise(F.lit(0))
         rows = now.withColumn("beside", beside.cast("bigint"))
-        head = F.min(F.struct("doc_id", "start", "end", "words", "edges")).alias("head")
+        head = F.min(F.struct("doc_id", "text_hash", "at", "start", "end", "words", "edges")).alias("head")
         heads = rows.groupBy(*group).agg(head, F.max("doc_id").alias("last")).where("head.doc_id <> last").drop("last")
         heads = Scratch(heads, "window-heads").df
         same = F.array_position(F.zip_with("words", "head.words", lambda x, y: x.eqNullSafe(y)), False)
         met = rows.join(heads, group).withColumn("same", F.when(same > 0, same - 1).otherwise(F.size("words")).cast("int"))
-        met = Scratch(met.where("doc_id <> head.doc_id OR start <> head.start"), "window-met").df
-        unit = lambda start, end, edges, n: (F.when((n > 0) & F.col("left"), F.get(edges, n - 1)).otherwise(start).alias("start"), F.when((n > 0) & ~F.col("left"), F.get(edges, n - 1)).otherwise(end).alias("end"))
+        met = Scratch(met.where("doc_id <> head.doc_id OR text_hash <> head.text_hash OR start <> head.start"), "window-met").df
+
+        def unit(p: str, n: Column) -> list[Column]:
+            of = lambda c: F.col(p + c)
+            start = F.when((n > 0) & F.col("left"), F.get(of("edges"), n - 1)).otherwise(of("start"))
+            end = F.when((n > 0) & ~F.col("left"), F.get(of("edges"), n - 1)).otherwise(of("end"))
+            at = F.when(F.col("left"), of("at") - n).otherwise(of("at"))
+            return [of("doc_id").alias("doc_id"), of("text_hash").alias("text_hash"), start.alias("start"), end.alias("end"), at.alias("at"), (n + WINDOW).cast("bigint").alias("words"), F.col("head.doc_id").alias("first_doc")]
+
         others = met.where("doc_id <> head.doc_id AND same > 0")
-        gained = others.select("doc_id", *unit(F.col("start"), F.col("end"), F.col("edges"), F.col("same")), F.col("head.doc_id").alias("first_doc"))
         most = others.groupBy(*group).agg(F.max("same").alias("most")).join(heads, group)
-        held = most.select(F.col("head.doc_id").alias("doc_id"), *unit(F.col("head.start"), F.col("head.end"), F.col("head.edges"), F.col("most")), F.col("head.doc_id").alias("first_doc"))
-        found = gained.unionByName(held)
+        found = others.select(*unit("", F.col("same"))).unionByName(most.select(*unit("head.", F.col("most"))))
         out = found if out is None else out.unionByName(found)
         now = Scratch(met.where("same < size(words)").select(*now.columns[:-1], (F.col("same") + 1).alias("step")), "window-contexts").df
         if now.isEmpty():
@@ -268,53 +274,78 @@ def doc_spans(doc: int, units: list[tuple[int, int, int, int]]) -> list[tuple[in
     return [(a, b, first, removed) for a, b, first, removed in out if a < b]
 
 
+def long_enough(units: list[tuple], least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    """(start, end, first_doc, kind) of the units (start, end, first_doc, kind, at, words) of one text, without those windows and
+    runs whose chain of overlapping ones has fewer than ``least`` words."""
+    out = [u[:4] for u in units if u[3] == NEAR]
+    chain, reach = [], -1
+    for u in [*sorted((u for u in units if u[3] != NEAR), key=lambda u: u[4]), None]:
+        if u is None or u[4] > reach:
+            if chain and reach - chain[0][4] >= least:
+                out += [x[:4] for x in chain]
+            chain, reach = [], -1
+        if u is not None:
+            chain.append(u)
+            reach = max(reach, u[4] + u[5])
+    return out
+
+
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for batch in batches:
         rows = []
-        for doc, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows += [(doc, *span) for span in doc_spans(doc, [tuple(u.values()) for u in units.as_py()])]
-        cols = zip(*rows, strict=True) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "start", "end", "first_doc", "removed"])
+        for doc, text_hash, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            rows += [(doc, text_hash, *span) for span in doc_spans(doc, long_enough([tuple(u.values()) for u in units.as_py()]))]
+        cols = zip(*rows, strict=True) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "text_hash", "start", "end", "first_doc", "removed"])
 
 
 def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [np.unique(shingles(word_hashes((t.as_py() or "").lower().split()))).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["id", "labels"])
-
-
-def repeated_units(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Units that stand in more than one document: doc_id, start, end (code points), first_doc (the smallest doc_id of the class), kind."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    paras = texts.mapInArrow(_para_rows, "doc_id bigint, start bigint, end bigint, digest binary, n int, keys array<bigint>, signature array<int>")
-    paras = Scratch(paras.withColumn("id", F.monotonically_increasing_id()), "para-sketches").df
+        ids, lists = [], []
+        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            hashes = word_hashes((text.as_py() or "").lower().split())
+            for w in wanted:
+                ids.append(w["id"])
+                lists.append(np.unique(shingles(hashes[w["at"] : w["at"] + w["words"]])).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "labels"])
+
+
+def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Units that stand in more than one document: doc_id, text_hash, start, end (code points), at, words (their place and number
+    in words), first_doc (the smallest doc_id of the class) and kind."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id IS NOT NULL")
+    units = map_arrow(texts, _unit_rows(max(SHINGLE, least_words)), UNIT_ROWS)
+    units = Scratch(units.withColumn("id", F.monotonically_increasing_id()), "units").df
+    paras = units.where("digest IS NOT NULL")
+    place = ["doc_id", "text_hash", "start", "end", "at", "words"]
 
     def labels_of(ids: DataFrame) -> DataFrame:
-        spots = Scratch(paras.select("id", "doc_id", "start", "end").join(ids, "id", "left_semi"), "para-wanted")
-        cut = texts.dropDuplicates(["doc_id"]).join(small_or_plain(spots), "doc_id").select("id", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
-        return cut.mapInArrow(_label_rows, "id bigint, labels array<bigint>")
+        spots = paras.select("id", *place).join(ids, "id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "at", "words")).alias("wanted"))
+        spots = small_or_plain(Scratch(spots, "para-wanted"))
+        return map_arrow(texts.join(spots, ["doc_id", "text_hash"]).select("text", "wanted"), _label_rows, "id bigint, labels array<bigint>").dropDuplicates(["id"])
 
-    classes = near_classes(paras.select("id", "digest", "n", "keys", "signature"), labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
-    placed = Scratch(classes.select("id", "cls").join(paras.select("id", "doc_id", "start", "end"), "id"), "para-classes").df
+    sketches = Scratch(paras.select("id", "digest", "n", "keys", "signature"), "para-sketches").df
+    classes = near_classes(sketches, labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
+    placed = Scratch(classes.join(paras.select("id", *place), "id"), "para-classes").df
     shared = placed.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
-    near = placed.join(shared, "cls").select("doc_id", "start", "end", "first_doc", F.lit(NEAR).alias("kind"))
+    near = placed.join(small_or_plain(Scratch(shared, "para-shared")), "cls").select(*place, "first_doc", F.lit(NEAR).alias("kind"))
 
     # Read twice: to find keys of more than one document, then their places.
-    rows = Scratch(texts.mapInArrow(_window_rows, "doc_id bigint, key bigint, at bigint, start bigint, end bigint"), "window-rows").df
+    rows = units.where("key IS NOT NULL").select(*place, "key")
     twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
-    twice = Scratch(twice, "window-keys").df
-    hits = Scratch(rows.join(twice, "key"), "window-hits").df
-    exact = hits.select("doc_id", "start", "end", "first_doc", F.lit(EXACT).alias("kind"))
-    runs = extended(texts, hits.select("doc_id", "key", "at").distinct()).withColumn("kind", F.lit(RUN))
+    hits = Scratch(rows.join(small_or_plain(Scratch(twice, "window-keys")), "key"), "window-hits").df
+    exact = hits.select(*place, "first_doc", F.lit(EXACT).alias("kind"))
+    runs = extended(texts, hits.select("doc_id", "text_hash", "key", "at").distinct()).withColumn("kind", F.lit(RUN))
     return near.unionByName(exact).unionByName(runs)
 
 
-def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per repeated span: doc_id, start, end, first_doc, removed.
+def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per repeated span: doc_id, text_hash, start, end, first_doc, removed. Paragraphs of at least ``least_words`` words are compared.
 
     A unit is removed where its first_doc is another document. Overlapping or touching removed units are one span, whose
     first_doc is the smallest of theirs; units first held by the document itself are kept whole, in spans of their own.
     """
-    units = repeated_units(docs, similarity).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc", "kind")).alias("units"))
-    return units.mapInArrow(_span_rows, "doc_id bigint, start bigint, end bigint, first_doc bigint, removed boolean")
+    units = repeated_units(docs, similarity, least_words).distinct().groupBy("doc_id", "text_hash")
+    units = units.agg(F.collect_list(F.struct("start", "end", "first_doc", "kind", "at", "words")).alias("units"))
+    return map_arrow(units, _span_rows, "doc_id bigint, text_hash bigint, start bigint, end bigint, first_doc bigint, removed boolean")

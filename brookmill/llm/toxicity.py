@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, hash32, small_or_plain
+from brookmill.llm._common import Scratch, hash32, map_arrow, small_or_plain
 
 POSITIVES_MOST, NEGATIVES_MOST = 3000, 6000
 FEATURES_MOST = 2048
 SCREEN_LEAST = 4  # labelled rows that must have a feature
 GRAMS = (4, 5, 6)
-CACHE_MOST = 400_000
+CACHE_MOST = 100_000
+WORD_KEPT = 64
 WORD = re.compile(r"[^\W_]+")
 
 # Terms that name groups, by kind; a term is swapped only for another one of its kind.
@@ -84,9 +85,11 @@ class Model:
     def hits(self, word: str) -> tuple[tuple[str, float], ...]:
         got = self.cache.get(word)
         if got is None:
+            got = tuple((g, self.weights[g]) for g in grams_of(word) if g in self.weights)
             if len(self.cache) > CACHE_MOST:
                 self.cache.clear()
-            got = self.cache[word] = tuple((g, self.weights[g]) for g in grams_of(word) if g in self.weights)
+            if len(word) <= WORD_KEPT:
+                self.cache[word] = got
         return got
 
     def score(self, text: str | None) -> float:
@@ -158,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words_of(x.as_py())) for x in b.column(1)], pa.list_(pa.string()))], ["y", "words"])
 
-    sample = Scratch(texts.mapInArrow(bags, "y int, words array<string>"), "toxic-sample")
+    sample = Scratch(map_arrow(texts, bags, "y int, words array<string>"), "toxic-sample")
     by_label = [F.sum(F.when(F.col("y") == v, 1).otherwise(0)).alias(f"n{v}") for v in (0, 1)]
     seen = sample.df.agg(*by_label).first()
     words = sample.df.select("y", F.explode("words").alias("word")).groupBy("word").agg(*by_label)
@@ -192,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["y", "x", "swapped"])
 
-    got = sample.df.mapInArrow(lists, "y int, x array<int>, swapped array<int>").collect()
+    got = map_arrow(sample.df, lists, "y int, x array<int>, swapped array<int>").collect()
     sample.drop()
     rows = sorted((r["y"], r["x"]) for r in got if r["swapped"] is None)
     pairs = sorted((r["x"], r["swapped"]) for r in got if r["swapped"] is not None)
@@ -209,7 +212,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(x.as_py()) for x in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -222,4 +225,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
         for b in batches:
             yield b.filter(pa.array([m.score(x.as_py()) < threshold for x in b.column(position)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
