@@ -119,11 +119,13 @@ def hash32(*cols: Column, seed: str) -> Column:
 
 #: Rows up to which a table with one row per key is broadcast; the count is taken from the written table.
 BROADCAST_ROWS = 20_000
+#: The same for tables of a few numbers a row, 10 MB at most.
+IDS_MOST = 200_000
 
 
-def small_or_plain(table: Scratch) -> DataFrame:
-    """The table, marked for broadcast only if it has at most BROADCAST_ROWS rows; else joins on it are ordinary ones."""
-    return F.broadcast(table.df) if table.df.count() <= BROADCAST_ROWS else table.df
+def small_or_plain(table: Scratch, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast only if it has at most ``most`` rows; else joins on it are ordinary ones."""
+    return F.broadcast(table.df) if table.df.count() <= most else table.df
 
 
 def prefix_sums(

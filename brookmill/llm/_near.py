@@ -20,13 +20,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, cache_of_task, connected_components, map_arrow, small_or_plain
+from brookmill.llm._common import IDS_MOST, Scratch, cache_of_task, connected_components, map_arrow, small_or_plain
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: A block compares at most about twice so many signatures, or labels (a row counts as ROW_LABELS more).
+SIGNATURES, LABELS, ROW_LABELS = 1024, 512_000, 1000
 WORDS_KEPT, WORD_KEPT = 120_000, 64
 
 _words: dict[str, int] = {}
@@ -147,10 +149,10 @@ def _lists(column: pa.Array) -> list:
     return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column]
 
 
-def _hub_links(big: DataFrame, payload: list[str], kernel: Callable, name: str) -> DataFrame:
-    """(grp, id, hub, settled) for the rows of large groups (grp, id, hub, *payload)."""
+def _hub_links(big: DataFrame, payload: list[str], kernel: Callable, weight: Column, name: str) -> DataFrame:
+    """(grp, id, hub, w, settled) for the rows of large groups (grp, id, hub, *payload)."""
     heads = big.where("id = hub").select("grp", *[F.col(c).alias(f"hub_{c}") for c in payload])
-    faced = big.where("id <> hub").join(heads, "grp").select("grp", "id", "hub", *payload, *[f"hub_{c}" for c in payload])
+    faced = big.where("id <> hub").join(heads, "grp").select("grp", "id", "hub", weight.cast("bigint").alias("w"), *payload, *[f"hub_{c}" for c in payload])
     k = len(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,34 +166,36 @@ def _hub_links(big: DataFrame, payload: list[str], kernel: Callable, name: str)
                 end = at + 1
                 while end < len(rows) and rows[end][0] == rows[at][0] and end - at < 256:
                     end += 1
-                for y in (y for _, y in kernel([(rows[at][2], *rows[at][3 + k :])], [(r[1], *r[3 : 3 + k]) for r in rows[at:end]], False)):
+                for y in (y for _, y in kernel([(rows[at][2], *rows[at][4 + k :])], [(r[1], *r[4 : 4 + k]) for r in rows[at:end]], False)):
                     hit[at + y] = True
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hit, pa.bool_())], ["grp", "id", "hub", "settled"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hit, pa.bool_())], ["grp", "id", "hub", "w", "settled"])
 
-    return Scratch(map_arrow(faced, run, "grp bigint, id bigint, hub bigint, settled boolean"), name).df
+    return Scratch(map_arrow(faced, run, "grp bigint, id bigint, hub bigint, w bigint, settled boolean"), name).df
 
 
-def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list, list, bool], Iterator[tuple[int, int]]], chunk: int, name: str) -> DataFrame:
+def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list, list, bool], Iterator[tuple[int, int]]], weight: Column, chunk: int, name: str) -> DataFrame:
     """Links (a, b) within the groups of ``rows`` (grp bigint, id bigint, *payload; a written table); ids of a group are distinct.
 
+    ``weight`` tells what a row takes in a task's memory; a chunk has rows of about ``chunk`` together.
+
     kernel(left, right, same) gets two lists of rows (id, *payload) in the order of id, or one list twice, and yields
     numbered links between them; the links of a block are reduced to one root per row. Facing a single row on the left,
     it must yield every link.
     """
-    size = Scratch(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"), f"{name}-sizes")
-    large = Scratch(size.df.where(F.col("n") > chunk).select("grp", "hub"), f"{name}-large")
-    few = rows.join(small_or_plain(size).where(F.col("n") <= chunk).select("grp"), "grp", "left_semi")
+    size = Scratch(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"), F.min("id").alias("hub")).where("n > 1"), f"{name}-sizes")
+    large = Scratch(size.df.where(F.col("w") > chunk).select("grp", "hub"), f"{name}-large")
+    few = rows.join(small_or_plain(size, IDS_MOST).where(F.col("w") <= chunk).select("grp"), "grp", "left_semi")
     few = few.select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("c"), "id", *payload)
     cells, found = few, None
     if not large.df.isEmpty():
-        big = rows.join(small_or_plain(large), "grp")
-        faced = _hub_links(big, payload, kernel, f"{name}-hub")
+        big = rows.join(small_or_plain(large, IDS_MOST), "grp")
+        faced = _hub_links(big, payload, kernel, weight, f"{name}-hub")
         found = faced.where("settled").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        state = faced.select("grp", "id", "settled").unionByName(large.df.select("grp", F.col("hub").alias("id"), F.lit(True).alias("settled")))
-        is_open = F.when(F.col("settled"), 0).otherwise(1)
-        left = faced.groupBy("grp").agg(F.sum(is_open).alias("open"), F.sum(1 - is_open).alias("n")).where("open > 0")
-        chunks = Scratch(left.select("grp", F.ceil(F.col("open") / chunk).cast("int").alias("co"), F.ceil((F.col("n") + 1) / chunk).cast("int").alias("cs")), f"{name}-open")
+        state = faced.select("grp", "id", "settled", "w").unionByName(big.where("id = hub").select("grp", "id", F.lit(True).alias("settled"), weight.cast("bigint").alias("w")))
+        state = Scratch(state, f"{name}-state").df
+        of = lambda open_: F.ceil(F.sum(F.when(F.col("settled") != open_, F.col("w")).otherwise(0)) / chunk).cast("int")
+        chunks = Scratch(state.groupBy("grp").agg(of(True).alias("co"), of(False).alias("cs")).where("co > 0"), f"{name}-open")
         part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
         still = state.join(small_or_plain(chunks), "grp").select("grp", "id", F.when(F.col("settled"), F.col("co") + part(F.col("cs"))).otherwise(part(F.col("co"))).alias("c"), "settled", "co", "cs")
         # Open chunks come first; each faces all chunks, a chunk of settled members only the open ones.
@@ -276,6 +280,13 @@ def by_labels(similarity: float, close: Callable[[np.ndarray, np.ndarray], bool]
         rows = [r[1].astype(np.int64) for r in (left if same else left + right)]
         if len(rows) < 2:
             return
+        if len(left) == 1:
+            hub = np.sort(rows[0])
+            for y, x in enumerate(rows[1:]):
+                shared = int((hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] == x).sum()) if len(hub) else 0
+                if shared >= similarity * (len(hub) + len(x) - shared) - 1e-4 and close(rows[0], x):
+                    yield 0, y
+            return
         n = np.array([len(x) for x in rows], float)
         flat = np.concatenate(rows)
         owner = np.repeat(np.arange(len(rows)), n.astype(int))
@@ -317,19 +328,19 @@ def near_classes(sketches: DataFrame, labels_of: Callable[[DataFrame], DataFrame
     labels_of(ids) gives (id, labels) for a written table of ids. cls is the id of one row of the class.
     """
     copies = Scratch(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), f"{name}-copies")
-    reps = Scratch(sketches.select("id", "digest").join(small_or_plain(copies), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")), f"{name}-reps").df
+    reps = Scratch(sketches.select("id", "digest").join(small_or_plain(copies, IDS_MOST), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")), f"{name}-reps").df
     others = Scratch(reps.where("id <> rep").select("id"), f"{name}-others")
-    spots = sketches.join(small_or_plain(others), "id", "left_anti").select("id", F.explode(F.array_distinct("keys")).alias("grp"))
+    spots = sketches.join(small_or_plain(others, IDS_MOST), "id", "left_anti").select("id", F.explode(F.array_distinct("keys")).alias("grp"))
     met = spots.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     shared = Scratch(spots.join(met, "grp", "left_semi"), f"{name}-spots")
     holders = Scratch(shared.df.select("id").distinct(), f"{name}-holders")
-    facts = sketches.join(small_or_plain(holders), "id", "left_semi").select("id", "n", "signature")
+    facts = sketches.join(small_or_plain(holders, IDS_MOST), "id", "left_semi").select("id", "n", "signature")
     held = Scratch(shared.df.join(facts, "id"), f"{name}-facts")
-    loose = compare_groups(held.df, ["n", "signature"], by_signature(matches_least, similarity), 1024, f"{name}-loose")
+    loose = compare_groups(held.df, ["n", "signature"], by_signature(matches_least, similarity), F.lit(1), SIGNATURES, f"{name}-loose")
     candidates = connected_components(loose, f"{name}-cand")
     labels = labels_of(Scratch(candidates.df.select(F.col("node").alias("id")), f"{name}-wanted").df)
     rows = Scratch(candidates.df.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(labels, "id"), f"{name}-labels")
-    tight = compare_groups(rows.df, ["labels"], by_labels(similarity, close), 256, f"{name}-tight")
+    tight = compare_groups(rows.df, ["labels"], by_labels(similarity, close), F.size("labels") + ROW_LABELS, LABELS, f"{name}-tight")
     classes = connected_components(tight, f"{name}-cls").df.select(F.col("node").alias("rep"), F.col("component").alias("cls"))
     for table in (shared, holders, held, rows, others):
         table.drop()
@@ -337,7 +348,7 @@ def near_classes(sketches: DataFrame, labels_of: Callable[[DataFrame], DataFrame
 
 
 def named_classes(classes: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, doc_id, class_id): class_id is the smallest doc_id of each class of ``classes`` (id, cls); ``names`` has (id, doc_id)."""
+    """(id, cls, doc_id, class_id): class_id is the smallest doc_id of each class of ``classes`` (id, cls); ``names`` has (id, doc_id)."""
     own = classes.join(names, "id").select("id", "cls", "doc_id")
     many = Scratch(own.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "class-names")
-    return own.join(small_or_plain(many), "cls", "left").select("id", "doc_id", F.coalesce("first", "doc_id").alias("class_id"))
+    return own.join(small_or_plain(many, IDS_MOST), "cls", "left").select("id", "cls", "doc_id", F.coalesce("first", "doc_id").alias("class_id"))

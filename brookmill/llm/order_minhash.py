@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm._common import Scratch, map_arrow, small_or_plain
+from brookmill.llm._common import IDS_MOST, Scratch, map_arrow, small_or_plain
 from brookmill.llm._near import SIMILARITY, aligned_similarity, digest, labelled, mix64, named_classes, near_classes, shingles, word_hashes
 
 SKETCHES, PICKS = 16, 3
@@ -76,7 +76,7 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
-    """(id, doc_id, text_hash, class_id, first) for every row with a doc_id; ``first`` tells the row that stays of each class.
+    """(id, cls, doc_id, class_id, text_hash) for every row with a doc_id.
 
     A text is known by its doc_id and a 64-bit hash, so that it can be read again.
     """
@@ -86,7 +86,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     names = sketches.select("id", "doc_id", "text_hash")
 
     def labels_of(ids: DataFrame) -> DataFrame:
-        wanted = small_or_plain(Scratch(names.join(ids, "id"), "omh-wanted"))
+        wanted = small_or_plain(Scratch(names.join(ids, "id"), "omh-wanted"), IDS_MOST)
         return map_arrow(texts.join(wanted, ["doc_id", "text_hash"]).select("id", "text"), _labels, "id bigint, labels array<bigint>").dropDuplicates(["id"])
 
     classes = near_classes(sketches, labels_of, lambda a, b: aligned_similarity(a, b, similarity) >= similarity, MATCHES_LEAST, "omh", similarity)
@@ -104,10 +104,10 @@ def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) ->
     """The documents that stay, one per class, with all their columns."""
     all_ = Scratch(_classes(docs, similarity), "omh-all").df
     # Of a class's rows with its smallest doc_id, one text stays.
-    heads = all_.where("doc_id = class_id").groupBy("class_id").agg(F.min("text_hash").alias("head"), F.count(F.lit(1)).alias("k"))
-    twice = Scratch(heads.where("k > 1").drop("k"), "omh-twice")
-    gone = all_.join(small_or_plain(twice), "class_id", "left").where("doc_id <> class_id OR text_hash <> head")
-    gone = small_or_plain(Scratch(gone.select(F.col("doc_id").alias("__bm_id"), F.col("text_hash").alias("__bm_hash")).distinct(), "omh-gone"))
+    heads = all_.where("doc_id = class_id").groupBy("cls").agg(F.min("text_hash").alias("head"), F.max("text_hash").alias("last"))
+    twice = Scratch(heads.where("head <> last").drop("last"), "omh-twice")
+    gone = all_.join(small_or_plain(twice, IDS_MOST), "cls", "left").where("doc_id <> class_id OR text_hash <> head")
+    gone = small_or_plain(Scratch(gone.select(F.col("doc_id").alias("__bm_id"), F.col("text_hash").alias("__bm_hash")).distinct(), "omh-gone"), IDS_MOST)
     same = (F.col("doc_id") == F.col("__bm_id")) & (F.xxhash64("text") == F.col("__bm_hash"))
     out = docs.join(gone, same, "left_anti")
     again = all_.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brookmill.llm._common import Scratch, map_arrow, small_or_plain
+from brookmill.llm._common import IDS_MOST, Scratch, map_arrow, small_or_plain
 from brookmill.llm._near import SHINGLE, SIMILARITY, digest, mix64, near_classes, shingles, word_hashes
 
 LEAST_WORDS = 50
@@ -185,7 +185,7 @@ def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     # Where another window overlaps this one and reaches REACH words further, the two cover all that this one can gain.
     ends = hits.select("key", F.max("at").over(w.rangeBetween(-WINDOW, -REACH)).isNull().alias("left"), F.max("at").over(w.rangeBetween(REACH, WINDOW)).isNull().alias("right"))
     wanted = ends.groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")).where("left OR right")
-    wanted = small_or_plain(Scratch(wanted, "window-ends"))
+    wanted = small_or_plain(Scratch(wanted, "window-ends"), IDS_MOST)
     by_doc = hits.join(wanted, "key").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("hits"))
     by_doc = small_or_plain(Scratch(by_doc, "window-wanted"))
     rows = map_arrow(texts.join(by_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "hits"), _context_rows, CONTEXT_ROWS)
@@ -329,12 +329,12 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, least_words:
     classes = near_classes(sketches, labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
     placed = Scratch(classes.join(paras.select("id", *place), "id"), "para-classes").df
     shared = placed.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
-    near = placed.join(small_or_plain(Scratch(shared, "para-shared")), "cls").select(*place, "first_doc", F.lit(NEAR).alias("kind"))
+    near = placed.join(small_or_plain(Scratch(shared, "para-shared"), IDS_MOST), "cls").select(*place, "first_doc", F.lit(NEAR).alias("kind"))
 
     # Read twice: to find keys of more than one document, then their places.
     rows = units.where("key IS NOT NULL").select(*place, "key")
     twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
-    hits = Scratch(rows.join(small_or_plain(Scratch(twice, "window-keys")), "key"), "window-hits").df
+    hits = Scratch(rows.join(small_or_plain(Scratch(twice, "window-keys"), IDS_MOST), "key"), "window-hits").df
     exact = hits.select(*place, "first_doc", F.lit(EXACT).alias("kind"))
     runs = extended(texts, hits.select("doc_id", "text_hash", "key", "at").distinct()).withColumn("kind", F.lit(RUN))
     return near.unionByName(exact).unionByName(runs)

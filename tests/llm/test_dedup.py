@@ -8,7 +8,9 @@ from itertools import count
 import numpy as np
 import pytest
 
-from brookmill.llm import _near, embedding_dedup, exact_dedup, order_minhash, paragraph_dedup
+from pyspark.sql import functions as F
+
+from brookmill.llm import _common, _near, embedding_dedup, exact_dedup, order_minhash, paragraph_dedup
 
 DOCS = "doc_id long, text string, source string, rid string, digest string, __x int"
 
@@ -250,3 +252,63 @@ def test_a_passage_of_51_words_is_reported_whole(spark):
     texts = {i: words(rng, rng.randint(1, 90)) + " " + passage + " " + words(rng, rng.randint(1, 90)) for i in range(1, 7)}
     got = paragraph_dedup.repeated_spans(docs(spark, list(texts.items()))).collect()
     assert [(r.doc_id, texts[r.doc_id][r.start : r.end], r.first_doc) for r in sorted(got)] == [(i, passage, 1) for i in texts]
+
+
+def test_groups_of_any_size_lose_no_link(spark):
+    """Chains, copies of a hub and strangers in one group that is far larger than a chunk, against all pairs."""
+    rng = random.Random(21)
+    base = [rng.getrandbits(60) for _ in range(40)]
+    rows = [(1, 1, base)]
+    for i in range(2, 60):
+        own = list(rng.choice([r for _, _, r in rows])) if i % 3 else [rng.getrandbits(60) for _ in range(40)]
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(40)] = rng.getrandbits(60)
+        rows.append((1, i, own))
+    rows += [(2, 100, base), (2, 101, base[:-1]), (3, 102, base)]
+    df = _common.Scratch(spark.createDataFrame(rows, "grp long, id long, labels array<long>"), "t").df
+    got = _near.compare_groups(df, ["labels"], _near.by_labels(0.8, lambda a, b: True), F.size("labels"), 200, "t")
+    links = _near.connected_components(got, "t").df.collect()
+    up = {i: i for _, i, _ in rows}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for g, i, a in rows:
+        for h, j, b in rows:
+            shared = len(set(a) & set(b))
+            if g == h and i < j and shared >= 0.8 * (len(set(a)) + len(set(b)) - shared):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    assert {r.node: r.component for r in links} == {i: find(i) for i in up if sum(find(j) == find(i) for j in up) > 1}
+    assert got.count() <= 4 * len(rows)
+
+
+def test_different_texts_under_one_doc_id(spark):
+    rng = random.Random(22)
+    a, b = words(rng, 90), words(rng, 70)
+    near = " ".join(["other", *a.split()[1:]])
+    rows = [(5, a), (5, b), (1, near), (5, a), (7, b), (9, words(rng, 50)), (9, words(rng, 50))]
+    kept = order_minhash.without_near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, near), (5, b), *rows[-2:]])
+    spans = paragraph_dedup.repeated_spans(docs(spark, [(1, words(rng, 60)), (1, a), (2, near)])).collect()
+    assert {(r.doc_id, r.first_doc, r.removed) for r in spans} == {(1, 1, False), (2, 1, True)}
+
+
+def test_letter_case_and_short_paragraphs(spark):
+    rng = random.Random(23)
+    passage = words(rng, 55)
+    rows = [(i, words(rng, 20) + " " + (passage if i % 2 else passage.upper()) + " " + words(rng, 20)) for i in range(1, 5)]
+    got = paragraph_dedup.repeated_spans(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.first_doc) for r in got} == {(i, 1) for i in range(1, 5)}
+    short = words(rng, 45).split()
+    rows = [(1, " ".join(short) + "\n" + words(rng, 9)), (2, words(rng, 7) + "\n" + " ".join(["x", *short[1:]])), (3, words(rng, 45))]
+    assert paragraph_dedup.repeated_spans(docs(spark, rows)).count() == 0
+    assert {(r.doc_id, r.first_doc) for r in paragraph_dedup.repeated_spans(docs(spark, rows), least_words=5).collect()} == {(1, 1), (2, 1)}
+
+
+def test_runs_of_under_fifty_words_are_left_alone(spark):
+    rng = random.Random(24)
+    for n, found in ((49, 0), (50, 2)):
+        run = words(rng, n)
+        rows = [(i, words(rng, 60) + " " + run + " " + words(rng, 60)) for i in (1, 2)]
+        assert paragraph_dedup.repeated_spans(docs(spark, rows)).count() == found
