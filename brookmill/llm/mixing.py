@@ -7,13 +7,14 @@ draw, made by ranking the node's block tickets by a seeded hash and cutting the
 each shard has its quota of every source, and the shards' quotas follow each other along the source's permutation, so
 their blocks are disjoint. Inside a shard the order is another seeded hash.
 
-The places in the permutation are exact prefix sums over cells of bounded size, so a hot source is no hot task. The
-number of block tickets is fixed by shards and blocks per shard (plus one per source at most), not by the data.
+Documents are taken whole: a document is taken where the target reaches its middle, so a source yields its target to
+within half a document. The places in the permutation are exact prefix sums over cells of bounded size, spread by doc_id and
+text, so a hot source is no hot task. The number of block tickets is fixed by shards and blocks per shard (plus one per
+source at most), not by the data. Sources are named, not hosts: their targets are computed in one task.
 
 Defined cases: null sources are a source of their own, ordered last; documents without words are never drawn; null
 texts have no words; repeated rows count as separate documents; an empty table gives an empty result; a table without
-words gives targets of 0. The last document that a source's target reaches is taken in part, so that each source
-yields its target to the word.
+words gives targets of 0; other columns are not looked at, and pass through the mix unchanged.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NON_WS_RUN)), F.lit(0)).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """Sources (src, source_size) with their targets: the total shared by weight, none above MOST times its source,
     and what is above reshared by weight among the rest.
@@ -84,12 +89,13 @@ def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, draws.
+    """One row per document: doc_id, source, digest (of the text), size, source_size, target, taken, draws.
 
-    ``draws`` lists the takes as (copy, words, shard, at): the copy's number, its words (all of the document, or the
-    first words of the one that the target ends in), the output shard, and the hash by which the shard is ordered.
+    ``draws`` lists the takes of the document as (copy, block, shard, at): the copy's number, its block in the source's
+    stream, the output shard that the tree dealt this block to, and the hash by which the shard is ordered.
     """
-    narrow = Scratch(docs.select("doc_id", "source", source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), hash32(F.col("doc_id"), seed=seed).alias("pos")), "mix-sizes").df
+    narrow = docs.select("doc_id", "source", source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), text_digest(F.col("text")).alias("digest"))
+    narrow = Scratch(narrow.withColumn("pos", hash32(F.col("doc_id"), F.col("digest"), seed=seed)), "mix-sizes").df
     goal = targets(narrow)
     total = F.sum("target").over(Window.partitionBy())
     blocks = F.greatest(F.lit(1), F.round(F.col("target") * (shards * BLOCKS_PER_SHARD) / total).cast("int"))
@@ -97,39 +103,41 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
     goal = Scratch(goal, "mix-goal").df
     quota = split_tree(goal.select("src", "blocks"), shards, seed).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("quota"))
     goal = small_or_plain(Scratch(goal.join(quota, "src"), "mix-quota"))
-    placed = prefix_sums(narrow, ["src"], "pos", [F.col("doc_id"), F.col("size")], F.col("size"), "before", "src_words", "src_rows")
+    placed = prefix_sums(narrow, ["src"], "pos", [F.col("doc_id"), F.col("size"), F.col("digest")], F.col("size"), "before", "src_words", "src_rows")
     d = placed.join(goal, "src")
-    copies = F.transform(
-        F.sequence(F.lit(0), F.lit(MOST - 1)),
-        lambda c: F.struct(c.alias("copy"), F.least(F.col("size"), F.greatest(F.lit(0), F.col("words") - c * F.col("source_size") - F.col("before"))).cast("long").alias("words"), (c * F.col("source_size") + F.col("before")).alias("start")),
-    )
-    d = d.withColumn("copies", F.filter(copies, lambda x: x["words"] > 0))
+    start = lambda c: c * F.col("source_size") + F.col("before")
+    copies = F.filter(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda c: (F.col("size") > 0) & (2 * start(c) + F.col("size") <= 2 * F.col("words")))
+    blocked = F.transform(copies, lambda c: F.struct(c.alias("copy"), F.call_function("div", start(c) * F.col("blocks"), F.col("words")).alias("block")))
     draw = lambda x: F.struct(
         x["copy"].alias("copy"),
-        x["words"].alias("words"),
-        F.array_max(F.filter(F.col("quota"), lambda q: q["first"] <= F.floor(x["start"] * F.col("blocks") / F.greatest(F.col("words"), F.lit(1)))))["shard"].alias("shard"),
-        hash32(F.col("doc_id"), x["copy"], seed=f"{seed}-local").alias("at"),
+        x["block"].alias("block"),
+        F.array_max(F.filter(F.col("quota"), lambda q: q["first"] <= x["block"]))["shard"].alias("shard"),
+        hash32(F.col("doc_id"), F.col("digest"), x["copy"], seed=f"{seed}-local").alias("at"),
     )
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return d.select("doc_id", "source", "size", "source_size", F.col("target"), taken.alias("taken"), F.transform("copies", draw).alias("draws"))
+    d = d.withColumn("draws", F.transform(blocked, draw))
+    return d.select("doc_id", "source", "digest", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws")
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
     """The mix itself with the columns of ``docs``: each document as often as it is drawn, dealt to the shards and
-    shuffled inside them; the last document of a source may be cut after the words that the target still takes.
+    shuffled inside them.
 
-    Rows that agree in doc_id, source and size are repeats of one another; each takes the draws of the first of them.
+    Rows that repeat a doc_id with its source and text are one row here, drawn as often as all of them together.
     """
-    plan = mix(docs, shards, seed).where("taken > 0").select(F.col("doc_id").alias("__bm_id"), F.col("source").alias("__bm_src"), F.col("size").alias("__bm_size"), "draws")
-    plan = Scratch(plan.groupBy("__bm_id", "__bm_src", "__bm_size").agg(F.max("draws").alias("__bm_draws")), "mix-plan").df
-    cond = F.col("doc_id").eqNullSafe(F.col("__bm_id")) & F.col("source").eqNullSafe(F.col("__bm_src")) & (word_count(F.col("text")) == F.col("__bm_size"))
-    hit = docs.join(plan, cond)
-    drawn = hit.withColumn("__bm_d", F.explode("__bm_draws"))
-    words = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), F.lit(1)).otherwise(F.lit(0))
-    cut = F.when(F.col("__bm_d.words") >= F.col("__bm_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), (F.col("__bm_d.words") + lead).cast("int")), ""))
-    out = [cut.alias("text") if c == "text" else (F.length(cut).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
-    dealt = drawn.select(*out, F.col("__bm_d.shard").alias("__bm_shard"), F.col("__bm_d.at").alias("__bm_at"))
+    names = {"doc_id": "__bm_id", "source": "__bm_src", "digest": "__bm_digest"}
+    drawn = mix(docs, shards, seed).select(*[F.col(a).alias(b) for a, b in names.items()], F.explode("draws").alias("__bm_d"))
+    drawn = Scratch(drawn, "mix-draws").df
+    own = docs.withColumn("__bm_key", text_digest(F.col("text")))
+    again = docs.groupBy("doc_id", "source", text_digest(F.col("text")).alias("digest")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    again = Scratch(again.select(*[F.col(a).alias(b) for a, b in names.items()]), "mix-again")
+    same = F.col("doc_id").eqNullSafe(F.col("__bm_id")) & F.col("source").eqNullSafe(F.col("__bm_src")) & (F.col("__bm_key") == F.col("__bm_digest"))
+    if not again.df.isEmpty():
+        twice = small_or_plain(again)
+        many = own.join(twice, same, "left_semi").groupBy(F.col("doc_id").alias("__bm_id"), F.col("source").alias("__bm_src"), F.col("__bm_key").alias("__bm_digest"))
+        many = many.agg(F.any_value(F.struct(*[F.col(c) for c in own.columns])).alias("__bm_row")).select("__bm_row.*")
+        own = own.join(twice, same, "left_anti").unionByName(many)
+    dealt = own.join(drawn, same)
     # A shard is written by up to 64 tasks, each with one range of its order.
+    dealt = dealt.withColumns({"__bm_shard": F.col("__bm_d.shard"), "__bm_at": F.col("__bm_d.at")})
     part = F.shiftright("__bm_at", 26)
     return dealt.repartition(F.col("__bm_shard"), part).sortWithinPartitions("__bm_shard", "__bm_at").select(*docs.columns)

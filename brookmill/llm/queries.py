@@ -83,14 +83,32 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    drawn = lambda c, field: F.get(F.filter("draws", lambda d: d["copy"] == c), F.lit(0))[field].cast("bigint").alias(f"{field}{c}")
+    fields = [drawn(c, field) for c in range(mixing.MOST) for field in ("block", "shard", "at")]
+    return mix.select("doc_id", "size", "source_size", "target", "taken", *fields)
 
 
-OP4_SQL = r"""
+def _tree_sql(shards: int) -> str:
+    """Common table expressions of the splitting tree, one pair a level: the draw's ranks, then the halves."""
+    ctes = [f"d0 AS (SELECT src, unnest(range(0, blocks)) AS ticket, 0 AS lo, {shards} AS hi FROM g)"]
+    for k in range((shards - 1).bit_length()):
+        rank = f"row_number() OVER (PARTITION BY lo, hi ORDER BY ('0x' || substr(md5(concat_ws('|', 'mix-tree{k}', src, ticket::VARCHAR)), 1, 8))::BIGINT, src, ticket)"
+        ctes.append(f"r{k} AS (SELECT *, {rank} AS rank, count(*) OVER (PARTITION BY lo, hi) AS k, lo + (hi - lo) // 2 AS mid FROM d{k})")
+        left = "rank * (hi - lo) <= k * (mid - lo)"
+        ctes.append(f"d{k + 1} AS (SELECT src, ticket, CASE WHEN hi - lo <= 1 OR {left} THEN lo ELSE mid END AS lo, CASE WHEN hi - lo <= 1 OR NOT {left} THEN hi ELSE mid END AS hi FROM r{k})")
+    return ",\n".join(ctes) + f",\nleaf AS (SELECT src, lo AS shard, count(*) AS n FROM d{(shards - 1).bit_length()} GROUP BY ALL)"
+
+
+def _copy_sql(c: int) -> str:
+    start = f"({c} * source_size + ahead)"
+    return f"CASE WHEN size > 0 AND 2 * {start} + size <= 2 * words THEN {start} * blocks // words END AS block{c}"
+
+
+OP4_SQL = rf"""
 WITH n AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, md5(coalesce(text, '')) AS digest,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''))), 1, 8))::BIGINT AS pos FROM documents),
+         ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 8))::BIGINT AS pos FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM n GROUP BY src),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS w FROM s),
 o AS (
@@ -100,10 +118,20 @@ o AS (
 l AS (SELECT *, (everything * 3 / 2 - "full") / w_left AS level FROM o),
 t AS (
   SELECT src, source_size, least(source_size * 2.0::DOUBLE, coalesce((SELECT level FROM l WHERE level * w <= 2 * source_size ORDER BY r, src LIMIT 1) * w, source_size * 2.0::DOUBLE)) AS target FROM l),
-c AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY pos, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM n JOIN t USING (src))
-SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, round(target)::BIGINT - ahead)) + least(size, greatest(0, round(target)::BIGINT - source_size - ahead)))::BIGINT AS taken
-FROM c
+g AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN sum(target) OVER () > 0 THEN greatest(1, round(target * {mixing.SHARDS * mixing.BLOCKS_PER_SHARD} / sum(target) OVER ())::INT) ELSE 1 END AS blocks FROM t),
+{_tree_sql(mixing.SHARDS)},
+quota AS (SELECT src, shard, coalesce(sum(n) OVER (PARTITION BY src ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "first", n FROM leaf),
+c AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY pos, doc_id, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM n JOIN g USING (src)),
+b AS (SELECT *, row_number() OVER () AS id, {_copy_sql(0)}, {_copy_sql(1)} FROM c),
+p AS (
+  SELECT b.*, q0.shard AS shard0, q1.shard AS shard1 FROM b
+  LEFT JOIN quota q0 ON q0.src = b.src AND block0 >= q0."first" AND block0 < q0."first" + q0.n
+  LEFT JOIN quota q1 ON q1.src = b.src AND block1 >= q1."first" AND block1 < q1."first" + q1.n),
+a AS (SELECT *, concat_ws('|', 'mix-local', coalesce(doc_id::VARCHAR, ''), digest) AS local FROM p)
+SELECT doc_id, size, source_size, target, ((CASE WHEN shard0 IS NULL THEN 0 ELSE size END) + (CASE WHEN shard1 IS NULL THEN 0 ELSE size END))::BIGINT AS taken,
+       block0::BIGINT AS block0, shard0::BIGINT AS shard0, CASE WHEN shard0 IS NOT NULL THEN ('0x' || substr(md5(local || '|0'), 1, 8))::BIGINT END AS at0,
+       block1::BIGINT AS block1, shard1::BIGINT AS shard1, CASE WHEN shard1 IS NOT NULL THEN ('0x' || substr(md5(local || '|1'), 1, 8))::BIGINT END AS at1
+FROM a
 """
 
 
@@ -117,7 +145,7 @@ def op6_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marker = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marker).alias("text"))
-    return chat.read_back(chat.format_log(chat.log_of_turns(turns.unionByName(more))))
+    return chat.read_back(chat.format_log(chat.streamed_log(turns.unionByName(more))))
 
 
 OP6_SQL = r"""

@@ -8,7 +8,8 @@ Both rankings are exact prefix sums over cells of about a thousand rows: a sourc
 ranked by as many tasks as its rows need.
 
 Defined cases: null sources form a source of their own, which comes last among equal fractions; null texts hold no
-bytes; repeated rows are placed as separate rows; with fewer rows than shards the last shards stay empty; an empty
+bytes; repeated rows are placed as separate rows, and equal texts are not kept together (a group of a third of all rows would
+break the law ``rows``); with fewer rows than shards the last shards stay empty; an empty
 table gives an empty result; other columns pass through untouched, whatever their names.
 """
 
@@ -27,9 +28,10 @@ def stratified_shards(rows: DataFrame, shards: int = 40, seed: str = "shard", ke
 
     ``rows`` is read several times; give a written table. Columns whose names begin with __bm_ are reserved.
     """
-    keyed = rows.withColumns({"__bm_src": source_key(F.col(source)), "__bm_pos": hash32(F.col(key), seed=seed)})
     others = [F.col(c) for c in rows.columns if c != key and dict(rows.dtypes)[c] in ("bigint", "int", "string", "double")]
     ties = [F.col(key), *others]
+    # Rows of one key, or of none, are spread by their other columns.
+    keyed = rows.withColumns({"__bm_src": source_key(F.col(source)), "__bm_pos": hash32(*ties, seed=seed)})
     one = F.lit(1).cast("long")
     ranked = prefix_sums(keyed, ["__bm_src"], "__bm_pos", ties, one, "__bm_rank", "__bm_n", "__bm_rows").drop("__bm_rows")
     at = ranked.withColumn("__bm_at", (F.col("__bm_rank") + F.lit(0.5)) / F.col("__bm_n")).drop("__bm_n", "__bm_pos")

@@ -51,3 +51,46 @@ def test_conversations_against_a_loop(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert len(got) == 4
     assert chat.read_back(chat.format_log(chat.log_of_turns(df.limit(0)))).count() == 0
+
+
+def test_late_events_of_dropped_messages_stay_dropped():
+    log = [
+        (1, 0, 0, "message", "user", "q"),
+        (1, 1, 1, "message", "assistant", "bad"),
+        (1, 1, 5, "regenerate", None, "good"),
+        (1, 2, 2, "message", "user", "dropped"),
+        (1, 2, 9, "delta", None, "late"),
+        (1, 3, 3, "delta", "user", "dropped, never opened"),
+        (1, 4, 4, "message", "user", "dropped"),
+        (1, 4, 6, "edit", None, "late"),
+        (1, 4, 7, "message", "user", "opened again"),
+        (1, 4, 8, "delta", None, " and on"),
+        (2, 0, 0, "delta", "user", "opens"),
+    ]
+    assert list(chat.fold(iter(log))) == [(1, "user", "q"), (1, "assistant", "good"), (1, "user", "opened again and on"), (2, "user", "opens")]
+
+
+def test_streamed_log_folds_back_to_the_turns(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", None if t == 5 else f"{c} says </s> {t} é😀 " * (t % 4)) for c in range(4) for t in range(12)] + [(0, 3, "assistant", "twice")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.streamed_log(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    plain = {r.conv_id: r for r in chat.read_back(chat.format_log(chat.log_of_turns(df))).collect()}
+    assert {r.conv_id: r for r in chat.read_back(chat.format_log(log)).collect()} == plain
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), texts), max_size=5), st.integers(1, 7))
+def test_output_is_read_wherever_it_is_cut(turns, size):
+    whole, masks = "", []
+    for role, text in turns:
+        turn, a, b = chat.render(role, text)
+        masks.append((len(whole) + a, len(whole) + b))
+        whole += turn
+    reader = chat.Reader()
+    for at in range(0, len(whole), size):
+        reader.add(whole[at : at + size], *(masks.pop(0) if masks and masks[0][0] <= at + size else (0, 0)))
+    for mask in masks:
+        reader.add("", *mask)
+    want = "".join(f"{r}\n{t}\n" for r, t in turns)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    assert reader.result() == (len(turns), hashlib.sha256(want.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
