@@ -29,7 +29,7 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str, tokenizer_file:
 
 
 def op2_url_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.score_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.score_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 OP2_SQL = r"""
@@ -37,41 +37,38 @@ WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         substr(regexp_extract(rest, '(?s)^[^/?#]*[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM u),
+         substr(regexp_extract(rest, '(?s)^[^/?#]*[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path,
+         substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS after FROM u),
 rules(suffix, prefix, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 fit AS (
   SELECT page_id, arg_max({'rule': suffix || prefix, 'says': says}, length(suffix || prefix)) AS r
   FROM (SELECT DISTINCT * FROM h) JOIN rules ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, prefix) GROUP BY page_id),
 t AS (
-  SELECT row_number() OVER () AS id, h.page_id, host, path, r.rule AS rule, r.says AS says,
-         list_concat([0, 0], list_transform(list_filter(string_split(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), lambda c: c <> ''),
-           lambda c: CASE WHEN strpos('abcdefghijklmnopqrstuvwxyz0123456789/.-_', c) > 0 THEN strpos('abcdefghijklmnopqrstuvwxyz0123456789/.-_', c) ELSE 41 END)) AS a
-  FROM h LEFT JOIN fit USING (page_id)),
-g AS (SELECT id, says, a[i - 1] * 1764 + a[i] * 42 + a[i + 1] AS code FROM (SELECT id, says, a, unnest(range(2, len(a))) AS i FROM t)),
-c2 AS (SELECT says, code, count(*) AS n FROM g WHERE says IS NOT NULL GROUP BY ALL),
-c1 AS (SELECT says, code % 1764 AS x, sum(n) AS n FROM c2 GROUP BY ALL),
-c0 AS (SELECT says, x % 42 AS x, sum(n) AS n FROM c1 GROUP BY ALL),
-t2 AS (SELECT says, code // 42 AS ctx, sum(n) AS total, count(*) AS kinds FROM c2 GROUP BY ALL),
-t1 AS (SELECT says, x // 42 AS ctx, sum(n) AS total, count(*) AS kinds FROM c1 GROUP BY ALL),
-t0 AS (SELECT says, sum(n) AS total, count(*) AS kinds FROM c0 GROUP BY ALL),
-need AS (SELECT code, v.says FROM (SELECT DISTINCT code FROM g), (VALUES ('allow'), ('block')) v(says)),
-p AS (
-  SELECT need.code, need.says,
-    CASE WHEN t0.total > 0 THEN (coalesce(c0.n, 0) + t0.kinds * (1.0::DOUBLE / 42)) / (t0.total + t0.kinds) ELSE 1.0::DOUBLE / 42 END AS p0,
-    CASE WHEN t1.total > 0 THEN (coalesce(c1.n, 0) + t1.kinds * p0) / (t1.total + t1.kinds) ELSE p0 END AS p1,
-    CASE WHEN t2.total > 0 THEN (coalesce(c2.n, 0) + t2.kinds * p1) / (t2.total + t2.kinds) ELSE p1 END AS p2
-  FROM need LEFT JOIN t0 ON t0.says = need.says LEFT JOIN c0 ON c0.says = need.says AND c0.x = need.code % 42
-  LEFT JOIN t1 ON t1.says = need.says AND t1.ctx = need.code % 1764 // 42 LEFT JOIN c1 ON c1.says = need.says AND c1.x = need.code % 1764
-  LEFT JOIN t2 ON t2.says = need.says AND t2.ctx = need.code // 42 LEFT JOIN c2 ON c2.says = need.says AND c2.code = need.code),
-m AS (SELECT code, ln(max(CASE WHEN says = 'allow' THEN p2 END)) - ln(max(CASE WHEN says = 'block' THEN p2 END)) AS r FROM p GROUP BY code),
-sc AS (SELECT t.*, coalesce(s, 0) AS score FROM t LEFT JOIN (SELECT id, round(avg(r), 9) AS s FROM g JOIN m USING (code) GROUP BY id) USING (id)),
-hist AS (SELECT greatest(-400, least(400, floor(score * 100))) AS step, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad FROM sc WHERE says IS NOT NULL GROUP BY 1),
+  SELECT row_number() OVER () AS id, h.page_id, host, path, r.rule AS rule, r.says AS says, host || after AS s,
+         ('0x' || substr(md5('url-fold|' || host || after), 1, 8))::BIGINT % 5 = 0 AS held FROM h LEFT JOIN fit USING (page_id)),
+g AS (SELECT id, CASE WHEN NOT held THEN says END AS label, substr(repeat(chr(2), 4) || s, i, 5) AS gram FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t)),
+distinct_grams AS (SELECT gram, count(*) FILTER (label = 'allow') AS n1, count(*) FILTER (label = 'block') AS n0 FROM g GROUP BY gram),
+ks AS (SELECT unnest(range(1, 6)) AS k),
+c AS (SELECT right(gram, k) AS s, sum(n1) AS c1, sum(n0) AS c0 FROM distinct_grams, ks WHERE n1 + n0 > 0 GROUP BY 1),
+x AS (SELECT left(s, length(s) - 1) AS s, sum(c1) AS total1, sum(c0) AS total0, count(*) FILTER (c1 > 0) AS kinds1, count(*) FILTER (c0 > 0) AS kinds0 FROM c GROUP BY 1),
+o AS (
+  SELECT gram, k, coalesce(c1, 0) AS c1, coalesce(c0, 0) AS c0, coalesce(total1, 0) AS total1, coalesce(total0, 0) AS total0, coalesce(kinds1, 0) AS kinds1, coalesce(kinds0, 0) AS kinds0
+  FROM (SELECT gram, k, right(gram, k) AS own, left(right(gram, k), k - 1) AS ctx FROM distinct_grams, ks) LEFT JOIN c ON c.s = own LEFT JOIN x ON x.s = ctx),
+l AS (
+  SELECT gram,
+    list_reduce(list_prepend({'a': 0::DOUBLE, 'b': 1::DOUBLE, 'p': 1.0::DOUBLE / 256}, list({'a': (CASE WHEN total1 > 0 THEN c1 / (total1 + kinds1) ELSE 0 END)::DOUBLE, 'b': (CASE WHEN total1 > 0 THEN kinds1 / (total1 + kinds1) ELSE 1 END)::DOUBLE, 'p': 0::DOUBLE} ORDER BY k)),
+      lambda q, z: {'a': 0::DOUBLE, 'b': 1::DOUBLE, 'p': z.a + z.b * q.p}).p AS p1,
+    list_reduce(list_prepend({'a': 0::DOUBLE, 'b': 1::DOUBLE, 'p': 1.0::DOUBLE / 256}, list({'a': (CASE WHEN total0 > 0 THEN c0 / (total0 + kinds0) ELSE 0 END)::DOUBLE, 'b': (CASE WHEN total0 > 0 THEN kinds0 / (total0 + kinds0) ELSE 1 END)::DOUBLE, 'p': 0::DOUBLE} ORDER BY k)),
+      lambda q, z: {'a': 0::DOUBLE, 'b': 1::DOUBLE, 'p': z.a + z.b * q.p}).p AS p0
+  FROM o GROUP BY gram),
+sc AS (SELECT t.*, coalesce(m, 0) AS score FROM t LEFT JOIN (SELECT id, round(sum(round(ln(p1) - ln(p0), 9)) / count(*), 9) AS m FROM g JOIN l USING (gram) GROUP BY id) USING (id)),
+hist AS (SELECT greatest(-400, least(400, floor(score * 100))) AS step, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad FROM sc WHERE says IS NOT NULL AND held GROUP BY 1),
 cuts AS (
   SELECT k AS step, round((SELECT coalesce(sum(good), 0) FROM hist WHERE hist.step >= k)::DOUBLE / greatest(1, (SELECT sum(good) FROM hist))
     + (SELECT coalesce(sum(bad), 0) FROM hist WHERE hist.step < k)::DOUBLE / greatest(1, (SELECT sum(bad) FROM hist)), 9) AS gain
   FROM range(-400, 401) x(k) WHERE (SELECT count(*) FROM hist) > 0),
 cut AS (SELECT coalesce((SELECT step / 100.0::DOUBLE FROM cuts ORDER BY gain DESC, abs(step), step LIMIT 1), 0) AS cut)
-SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM sc, cut
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM sc, cut
 """
 
 
