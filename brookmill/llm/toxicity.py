@@ -1,9 +1,11 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 A logistic model over the words of a text and the letter sequences in them (what inflected insults share). Beside the
-usual loss it has a term for counterfactuals: where a labelled sentence names a group, the group is swapped for another
-one of its kind, and the squared difference of the two scores before the sigmoid is penalised, so that naming a group
-neither raises nor lowers a score.
+usual loss it has a term for counterfactuals, the squared difference of the scores (before the sigmoid) of two sentences that
+differ only in the group they name. Where a labelled sentence names a group, the other sentence names another one of
+its kind. Where it names none, the sentence is a template: it is paired with itself naming one group and another, or one
+group and none. So there are pairs for any language and any data, and naming a group neither raises nor lowers a score. The
+model carries the mean difference over the pairs with and without the penalty.
 
 Fitting takes a bounded sample: at most POSITIVES_MOST toxic and NEGATIVES_MOST other labelled rows (drawn by a hash of
 the id, then weighted back to the true shares of the labels). Features are screened by a distributed count over the
@@ -11,14 +13,15 @@ sample, and only the FEATURES_MOST strongest reach the driver, with the sampled
 every document and its whole text.
 
 Defined cases: null and empty texts have no features and get the model's base score; null labels and ids are not
-learned from; a doc_id with several labels counts as toxic if one of them says so; repeated documents are scored one by
-one; without any labelled row of both kinds every score is the share of toxic rows (0.0 without labels); other columns
+learned from; a doc_id with several labels counts as toxic if one of them says so; of several texts under a drawn doc_id one
+is learned from; repeated documents are scored one by one; without any labelled row of both kinds every score is the share of toxic rows (0.0 without labels); other columns
 are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -80,6 +83,10 @@ def grams_of(word: str) -> set[str]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     base: float = 0.0
+    #: Counterfactual pairs that the fit saw, and the mean difference of their scores without and with the penalty.
+    pairs: int = 0
+    gap_without: float = 0.0
+    gap: float = 0.0
     cache: dict[str, tuple[tuple[str, float], ...]] = field(default_factory=dict, repr=False)
 
     def hits(self, word: str) -> tuple[tuple[str, float], ...]:
@@ -102,7 +109,7 @@ class Model:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], features: list[str], shares: tuple[int, int], l1: float = 2e-4, fair: float = 1.0, steps: int = 400) -> Model:
+def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], features: list[str], shares: tuple[int, int], l1: float = 2e-4, fair: float = 20.0, steps: int = 400) -> Model:
     """Proximal gradient descent with momentum on: weighted log-loss + l1 * |w| + fair * mean((w.x - w.x')**2).
 
     rows: (label, feature numbers); pairs: feature numbers of a sentence and of its counterfactual; shares: labelled
@@ -114,33 +121,63 @@ def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int
         p = shares[1] / total if total else 0.0
         return Model({}, float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
     m = len(features)
-    at = np.concatenate([np.array(r[1], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+    at = np.concatenate([np.array(r[1], np.int64) for r in rows])
     of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     weight = np.where(y == 1, shares[1] / max(1, y.sum()), shares[0] / max(1, (1 - y).sum())) / total
     # Half the weight to either label: a rare label is learned as well as a common one; the base is set right below.
     balance = np.where(y == 1, total / 2 / max(1, shares[1]), total / 2 / max(1, shares[0])) * weight
-    d_at = np.concatenate([np.array(a + b, np.int64) for a, b in pairs]) if pairs else np.zeros(0, np.int64)
-    d_of = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
-    d_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs]) if pairs else np.zeros(0)
-    w, b, v, c, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
+    # Only what differs between the two sentences of a pair takes part.
+    signed = [(sorted(set(a) - set(b)), sorted(set(b) - set(a))) for a, b in pairs]
+    d_at = np.concatenate([np.array(a + b, np.int64) for a, b in signed]) if pairs else np.zeros(0, np.int64)
+    d_of = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in signed])
+    d_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in signed]) if pairs else np.zeros(0)
+    gaps = lambda w: np.bincount(d_of, d_sign * w[d_at], len(pairs))
     per_row = np.bincount(of, minlength=len(rows)) + 1
-    lipschitz = float(min(0.25 * (balance * per_row).sum(), 0.25 * per_row.max()))
+    smooth = float(min(0.25 * (balance * per_row).sum(), 0.25 * per_row.max()))
+    steep = 0.0
     if pairs:
-        lipschitz += 2 * fair * float((np.bincount(d_of) ** 1).max())
-    for _ in range(steps):
-        z = c + np.bincount(of, v[at], len(rows))
-        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(at, g[of], m)
-        if pairs:
-            gap = np.bincount(d_of, d_sign * v[d_at], len(pairs))
-            grad += 2 * fair / len(pairs) * np.bincount(d_at, d_sign * gap[d_of], m)
-        new = v - grad / lipschitz
-        new = np.sign(new) * np.maximum(0, np.abs(new) - l1 / lipschitz)
-        new_b = c - g.sum() / lipschitz
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
-        w, b, t = new, new_b, t2
-    return Model({f: float(x) for f, x in zip(features, w, strict=True) if x}, float(b))
+        # The largest eigenvalue of the penalty's matrix, from above by a few steps of the power method.
+        x = np.random.default_rng(17).standard_normal(m)
+        for _ in range(30):
+            x = np.bincount(d_at, d_sign * gaps(x / max(np.linalg.norm(x), 1e-300))[d_of], m) if len(d_at) else np.zeros(m)
+        steep = 2.2 * float(np.linalg.norm(x)) / len(pairs)
+
+    def descend(fair: float) -> tuple[np.ndarray, float]:
+        w, b, v, c, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
+        lipschitz = smooth + fair * steep
+        for _ in range(steps):
+            z = c + np.bincount(of, v[at], len(rows))
+            g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            grad = np.bincount(at, g[of], m)
+            if pairs and fair:
+                grad += 2 * fair / len(pairs) * np.bincount(d_at, d_sign * gaps(v)[d_of], m)
+            new = v - grad / lipschitz
+            new = np.sign(new) * np.maximum(0, np.abs(new) - l1 / lipschitz)
+            new_b = c - g.sum() / lipschitz
+            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            v, c = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
+            w, b, t = new, new_b, t2
+        return w, b
+
+    w, b = descend(fair)
+    mean_gap = lambda x: float(np.abs(gaps(x)).mean()) if pairs else 0.0
+    without = mean_gap(descend(0.0)[0]) if pairs and fair else mean_gap(w)
+    return Model({f: float(x) for f, x in zip(features, w, strict=True) if x}, float(b), len(pairs), without, mean_gap(w))
+
+
+def counterfactuals(found: set[str]) -> Iterator[tuple[set[str], set[str]]]:
+    """Pairs of word sets that differ in the group they name, from the words of one labelled sentence or text."""
+    named = sorted(found & SWAPS.keys())
+    for term in named:
+        others = SWAPS[term]
+        yield found, found - {term} | {others[len(found) % len(others)]}
+    if not named:
+        # Which groups a template names follows from its words, so reruns agree.
+        pick = zlib.crc32(" ".join(sorted(found)).encode("utf-8", "surrogatepass"))
+        group = GROUPS[pick % len(GROUPS)]
+        first, second = group[pick // 64 % len(group)], group[(pick // 64 + 1) % len(group)]
+        yield found | {first}, found | {second}
+        yield found | {first}, found
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -155,13 +192,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = known.where(hash32(F.col("doc_id"), seed="toxicity") < keep * F.lit(float(2**32)))
     # The draw is about POSITIVES_MOST + NEGATIVES_MOST rows for any input; it is counted before it is broadcast.
     drawn = small_or_plain(Scratch(drawn, "toxic-drawn"))
-    texts = docs.select("doc_id", "text").join(drawn, "doc_id").select("y", "text")
+    texts = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "y", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words_of(x.as_py())) for x in b.column(1)], pa.list_(pa.string()))], ["y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words_of(x.as_py())) for x in b.column(2)], pa.list_(pa.string()))], ["doc_id", "y", "words"])
 
-    sample = Scratch(map_arrow(texts, bags, "y int, words array<string>"), "toxic-sample")
+    bagged = map_arrow(texts, bags, f"doc_id {kind}, y int, words array<string>")
+    sample = Scratch(bagged.groupBy("doc_id", "y").agg(F.min("words").alias("words")).select("y", "words"), "toxic-sample")
     by_label = [F.sum(F.when(F.col("y") == v, 1).otherwise(0)).alias(f"n{v}") for v in (0, 1)]
     seen = sample.df.agg(*by_label).first()
     words = sample.df.select("y", F.explode("words").alias("word")).groupBy("word").agg(*by_label)
@@ -189,9 +228,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 found = set(bag or ())
                 own = ids(found)
                 rows.append((y, own, None))
-                for term in sorted(found & SWAPS.keys()):
-                    others = SWAPS[term]
-                    rows.append((y, own, ids(found - {term} | {others[len(found) % len(others)]})))
+                rows += [(y, ids(a), ids(b)) for a, b in counterfactuals(found)]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["y", "x", "swapped"])
 

@@ -136,6 +136,30 @@ def test_counterfactual_penalty_evens_out_group_terms():
     assert fair.score("you idiot") > 0.5 > fair.score("women are fine")
 
 
+def test_every_sentence_has_counterfactuals():
+    pairs = list(toxicity.counterfactuals({"the", "women", "sang"}))
+    assert len(pairs) == 1 and pairs[0][0] - pairs[0][1] == {"women"} and pairs[0][1] - pairs[0][0] <= set(toxicity.SWAPS["women"])
+    (a, b), (c, d) = toxicity.counterfactuals({"prose", "invented"})
+    assert a - b < toxicity.SWAPS.keys() and b - a < set(toxicity.SWAPS[min(a - b)]) and c == a and d == {"prose", "invented"}
+
+
+def test_penalty_evens_out_letters_that_insults_and_groups_share(spark):
+    """Group terms of which letters occur in insults: their mentions score alike only with the penalty."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(300):
+        w = ["".join(rng.choice("kptbdg") + rng.choice("aiou") for _ in range(3)) for _ in range(30)]
+        if i % 3 == 0:
+            w[rng.randrange(30)] = rng.choice(["qumusli", "qulesbi"]) + "".join(rng.choice("kptbdg") for _ in range(3))
+        docs.append((i, " ".join(w), "s"))
+        labels.append((i, int(i % 3 == 0)))
+    model = toxicity.train(table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.pairs > 300 and model.gap < 0.6 * model.gap_without
+    scores = [model.score(f"{t} sang well") for t in toxicity.SWAPS]
+    assert max(scores) - min(scores) < 0.3
+    assert sum((model.score(t) >= 0.5) != bool(y) for (_, t, _), (_, y) in zip(docs, labels, strict=True)) <= 60
+
+
 def labelled(n=240):
     rng = random.Random(7)
     vocab = ["".join(rng.choice("aeioutrsn") for _ in range(5)) for _ in range(60)]
