@@ -142,7 +142,7 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _lists(column: pa.Array) -> list:
+def lists_of(column: pa.Array) -> list:
     """Values of an Arrow column; lists as arrays without a copy."""
     if not pa.types.is_list(column.type):
         return column.to_pylist()
@@ -157,7 +157,7 @@ def _hub_links(big: DataFrame, payload: list[str], kernel: Callable, weight: Col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [_lists(c) for c in batch.columns]
+            cols = [lists_of(c) for c in batch.columns]
             rows = list(zip(*cols, strict=True))
             hit = [False] * len(rows)
             at = 0
@@ -231,7 +231,7 @@ def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list,
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(_lists(batch.column(k)) for k in range(len(names))), strict=True):
+            for row in zip(*(lists_of(batch.column(k)) for k in range(len(names))), strict=True):
                 if row[:3] != cell:
                     if len(held) > 1:
                         out += block(held, cell[1], cell[2])

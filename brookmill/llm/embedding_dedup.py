@@ -8,10 +8,11 @@ compared exactly, in double precision. The bound and the number of directions fo
 PER_VECTOR filters a vector (more once filters are rare), and about BACKGROUND vectors a filter by chance.
 
 Identical vectors are compared as one with a multiplicity. Vectors alone in a filter are dropped before any vector is
-moved, and so are those that in a filter of few vectors differ from every other one in more than SIGNS_MOST of 64
-random signs: at a cosine of 0.95 about 6.5 of them differ, and more than SIGNS_MOST with a chance of under 1e-7. A filter with many vectors is cut into chunks, and pairs of chunks are compared as blocks by matrix products: a
-block gives a number of links and a root per vector, never a list of pairs. A pair that shares several filters is
-counted in the first. Components join the roots.
+moved, and so are those that differ from every other one of the filter in more than SIGNS_MOST of 64 random signs: at a
+cosine of 0.95 about 6.5 of them differ, and more than SIGNS_MOST with a chance of under 1e-7. Small filters are checked in one
+expression, large ones in blocks of signs; the outcome is the same. A filter with many vectors is cut into chunks, and pairs of
+chunks are compared as blocks by matrix products: a block gives a number of links and a root per vector, never a list of
+pairs. A pair that shares several filters is counted in the first. Components join the roots.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows without vec_id,
 link with nothing; vectors of different lengths do not link; rows repeated under one vec_id count as vectors of their
@@ -30,14 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookmill.llm._common import Scratch, connected_components, map_arrow
+from brookmill.llm._near import lists_of
 
 THRESHOLD = 0.95
 #: Many rotations with few directions each even out how a vector's length falls to the blocks.
 ROTATIONS = 32
 PER_VECTOR = 64.0
 BACKGROUND = 1.0
-#: Directions get no rarer than this: the rarer, the less surely two near vectors share one.
-RAREST = 1e-6
 CHUNK = 1024
 FEW = 32
 SIGNS_MOST = 22
@@ -86,7 +86,7 @@ class CapFilters:
 def tuned(count: int, dim: int, seed: int = 12, tries: int = 128) -> CapFilters:
     """Filters for so many vectors: directions so rare that BACKGROUND vectors meet in one by chance, as many of them as
     list each vector under PER_VECTOR, and the bound at which random directions on the sphere get lists of that length."""
-    p = min(0.002, max(RAREST, BACKGROUND / max(1, count)))
+    p = min(0.002, BACKGROUND / max(1, count))
     length = PER_VECTOR * max(1.0, -math.log10(p) - 3.7)
     directions = length / ROTATIONS / p
     blocks = max(1, min(dim, math.ceil(math.log(directions) / math.log(WORDS_MOST))))
@@ -139,6 +139,46 @@ def _block(a: dict, b: dict, same: bool, number: int, threshold: float) -> tuple
         ra, rb = na, nb
 
 
+def _cells(spots: DataFrame) -> DataFrame:
+    """``spots`` (rep, chunks, ...) once for each pair (i, j) of chunks that the row's own chunk c is part of."""
+    t = spots.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return t.withColumns({"i": F.least("c", "other"), "j": F.greatest("c", "other")}).drop("other")
+
+
+def _with_near_signs(spots: DataFrame) -> DataFrame:
+    """Of the rows (rep, dim, filter, chunks, signs) of large filters those with another one of nearly the same signs."""
+    names = ["rep", "dim", "filter", "chunks", "signs", "c", "i", "j"]
+    rows = _cells(spots).select(*names).repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(held: list[np.ndarray]) -> pa.RecordBatch:
+            t = np.concatenate(held, axis=1)
+            i, j = t[6][0], t[7][0]
+            a, b = np.flatnonzero(t[5] == i), np.flatnonzero(t[5] == j)
+            x, y = t[4][a].view(np.uint64), t[4][b].view(np.uint64)
+            near = np.bitwise_count(x[:, None] ^ y[None, :]) <= SIGNS_MOST
+            if i == j:
+                np.fill_diagonal(near, False)
+            sure = np.unique(np.concatenate([a[near.any(1)], b[near.any(0)]]))
+            return pa.RecordBatch.from_arrays([pa.array(t[0][sure]), pa.array(t[1][sure], pa.int32()), pa.array(t[2][sure]), pa.array(t[3][sure], pa.int32())], names[:4])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            t = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(names))])
+            cell = t[[1, 2, 6, 7]]
+            edges = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, [t.shape[1]]])
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = t[:, a:b]
+                if held and (held[-1][[1, 2, 6, 7], 0] != part[[1, 2, 6, 7], 0]).any():
+                    yield result(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield result(held)
+
+    return map_arrow(rows, run, "rep bigint, dim int, filter bigint, chunks int").distinct()
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a cosine of at least ``threshold``), component_id, kept."""
     spark = vectors.sparkSession
@@ -157,17 +197,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, CapFilters] = {}
         for batch in batches:
-            reps_, vs = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+            reps_, vs = np.array(batch.column(0).to_pylist(), np.int64), lists_of(batch.column(1))
             for at in range(0, len(vs), 256):
                 part = vs[at : at + 256]
                 for dim in sorted({len(x) for x in part}):
                     rows = [i for i, x in enumerate(part) if len(x) == dim]
-                    x = np.array([part[i] for i in rows])
+                    x = np.array([part[i] for i in rows], float)
                     x /= np.abs(x).max(1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     if dim not in made:
                         made[dim] = tuned(count, dim)
-                    lists = [f.tolist() for f in made[dim].decode(x)]
+                    lists = made[dim].decode(x)
                     plane = np.random.default_rng([13, dim]).standard_normal((dim, 64))
                     signs = np.packbits(x @ plane > 0, axis=1).view(np.int64)[:, 0]
                     yield pa.RecordBatch.from_arrays([pa.array(reps_[at : at + 256][rows]), pa.array([dim] * len(rows), pa.int32()), pa.array(signs), pa.array(lists, pa.list_(pa.int64()))], ["rep", "dim", "signs", "filters"])
@@ -180,14 +220,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     near = lambda x, y: (x["rep"] != y["rep"]) & (F.bit_count(x["signs"].bitwiseXOR(y["signs"])) <= SIGNS_MOST)
     few = shared.where(F.col("n") <= FEW).groupBy("dim", "filter", "chunks").agg(F.collect_list(F.struct("rep", "signs")).alias("all"))
     few = few.select("dim", "filter", "chunks", F.explode(F.filter("all", lambda x: F.exists("all", lambda y: near(x, y)))).alias("x"))
-    shared = few.select("x.rep", "dim", "filter", "chunks").unionByName(shared.where(F.col("n") > FEW).select("rep", "dim", "filter", "chunks"))
+    many = _with_near_signs(shared.where(F.col("n") > FEW).select("rep", "dim", "filter", "chunks", "signs"))
+    shared = few.select("x.rep", "dim", "filter", "chunks").unionByName(many)
     shared = Scratch(shared, "vector-shared").df
     # The filters that a vector shares with another one; of these the first two have in common counts their link.
     own = shared.groupBy("rep").agg(F.sort_array(F.collect_list("filter")).alias("fs"))
     full = Scratch(reps.select("rep", "m", "v").join(own, "rep"), "vector-full").df
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    cells = shared.withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("rep", "dim", "filter", "c", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"))
+    # Chunks anew, as few of a large filter's vectors may be left.
+    left = shared.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = left.select("dim", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    cells = _cells(shared.drop("chunks").join(left, ["dim", "filter"])).select("rep", "dim", "filter", "c", "i", "j")
     rows = cells.join(full, "rep").repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j", "rep")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +242,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 own = [h for h in held if h[3] == c]
                 x = np.array([h[7] for h in own], float).reshape(len(own), cell[0])
                 x = x / np.abs(x).max(1, keepdims=True) if len(own) else x
-                parts.append({"id": np.array([h[0] for h in own], np.int64), "x": x, "n": np.linalg.norm(x, axis=1), "m": np.array([h[6] for h in own], float), "f": [np.array(h[8], np.int64) for h in own]})
+                parts.append({"id": np.array([h[0] for h in own], np.int64), "x": x, "n": np.linalg.norm(x, axis=1), "m": np.array([h[6] for h in own], float), "f": [h[8] for h in own]})
             a, b = parts[0], parts[-1]
             la, lb, ra, rb = _block(a, b, i == j, number, threshold)
             ids, links, roots = (a["id"], la, ra) if i == j else (np.r_[a["id"], b["id"]], np.r_[la, lb], np.r_[ra, rb])
@@ -209,7 +251,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
         cell, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
+            for row in zip(*(lists_of(batch.column(batch.schema.get_field_index(n))) for n in names), strict=True):
                 now = (row[1], row[2], row[4], row[5])
                 if now != cell:
                     if len(held) > 1:

@@ -312,3 +312,10 @@ def test_runs_of_under_fifty_words_are_left_alone(spark):
         run = words(rng, n)
         rows = [(i, words(rng, 60) + " " + run + " " + words(rng, 60)) for i in (1, 2)]
         assert paragraph_dedup.repeated_spans(docs(spark, rows)).count() == found
+
+
+def test_large_filters_lose_no_link(spark, monkeypatch):
+    """With small bounds every filter takes the way of the large ones."""
+    monkeypatch.setattr(embedding_dedup, "FEW", 2)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 7)
+    test_embeddings_equal_all_pairs(spark)
