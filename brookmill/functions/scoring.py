@@ -121,3 +121,33 @@ lcs_f1 = _pairwise(lambda a, b: ordered_f1(grams(normalized(a)), grams(normalize
 window_f1 = _pairwise(lambda a, b: best_window_f1(grams(normalized(a)), grams(normalized(b))), T.DoubleType())
 order_share = _pairwise(lambda a, b: ordered_share(tokens(a), tokens(b)), T.DoubleType())
 same_title = _pairwise(titles_match, T.BooleanType())
+
+
+def subsequence_length(wanted: list[str], source: list[str]) -> int:
+    """How many of the first wanted tokens the source holds one after the other."""
+    rest = iter(source)
+    n = 0
+    for t in wanted:
+        if not any(x == t for x in rest):
+            break
+        n += 1
+    return n
+
+
+def bag_agreement(output: list[str], source: list[str]) -> float:
+    """Share of the output's tokens, with multiplicity, that the source has."""
+    return sum((Counter(output) & Counter(source)).values()) / len(output) if output else 0.0
+
+
+def _on_lists(f: Callable[[list[str], list[str]], float], kind: T.DataType):
+    @F.pandas_udf(kind)
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            yield pd.Series([f([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)])
+
+    return run
+
+
+bag_share = _on_lists(bag_agreement, T.DoubleType())
+order_share_of = _on_lists(ordered_share, T.DoubleType())
+subsequence = _on_lists(subsequence_length, T.LongType())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brookmill.functions import page as G
 from brookmill.functions import patterns as P
 
 
@@ -16,8 +17,8 @@ def strip_boilerplate(text: Column, most_words: int = 10) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Blank-line separated paragraphs of more than 30 characters, trimmed."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: F.length(p) > 30)
+    """Blank-line separated paragraphs of more than 30 characters, without white space around them."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) > 30)
 
 
 def dedup_key(paragraph: Column) -> Column:
@@ -51,6 +52,19 @@ def truncated(text: Column, limit: int = P.TEXT_MOST) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.lit(P.TRUNCATED[:limit]) if limit <= len(P.TRUNCATED) else cut)
 
 
+def missing_code(text: Column, html: Column) -> Column:
+    """Code blocks of the page that no fence of the text has, told by their first 100 characters."""
+    begin = lambda c: F.substring(F.regexp_replace(c, r"^\s+|\s+$", ""), 1, 100)
+    fences = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:\w+)?\n(.*?)```"), F.lit(1)), begin)
+    return F.filter(G.code_blocks(html), lambda c: ~F.array_contains(fences, begin(c)))
+
+
+def with_missing_code(text: Column, html: Column) -> Column:
+    """The text with the page's missing code blocks in fences at its end."""
+    blocks = F.transform(missing_code(text, html), lambda c: F.concat(F.lit("\n```\n"), c, F.lit("\n```\n")))
+    return F.when(F.size(blocks) > 0, F.concat(text, F.lit("\n\n## Extracted Code\n\n"), F.array_join(blocks, "\n"))).otherwise(text)
+
+
 def longest_run(text: Column, char: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"({char}+)")), F.length)), F.lit(0))
 

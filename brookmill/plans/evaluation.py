@@ -29,7 +29,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, items, prepare=lambda text: text) -> DataFrame:
     p = pairs(spark, sf_dir)
-    side = lambda key, text: S.bag(p.select(key, C(text)).distinct().select(key, prepare(C(text)).alias("prepared")), [key], items(C("prepared")))
+    # One text per key: keyed by its id and a hash, so that no text is a key of the shuffle.
+    side = lambda key, text: S.bag(p.select(key, C(text), F.xxhash64(text).alias("h")).dropDuplicates([key, "h"]).select(key, prepare(C(text)).alias("prepared")), [key], items(C("prepared")))
     return S.overlap(p.select("l", "r", "source", "lang"), side("l", "lt"), side("r", "rt"))
 
 
@@ -41,7 +42,8 @@ h AS (SELECT l, r, sum(least(n, m)) AS hit FROM p JOIN lb USING (l) JOIN rb USIN
 s AS (SELECT p.l, p.r, p.source, p.lang, coalesce(hit, 0) AS hit, coalesce((SELECT sum(n) FROM lb WHERE lb.l = p.l), 0) AS nl, coalesce((SELECT sum(m) FROM rb WHERE rb.r = p.r), 0) AS nr FROM p LEFT JOIN h USING (l, r))"""
 
 
-GRAMS = lambda t: f"CASE WHEN length({t}) >= 5 THEN list_transform(range(1, length({t}) - 3), lambda i: substr({t}, i, 5)) ELSE [] END"
+GRAMS = lambda t: f"CASE WHEN len({t}) >= 5 THEN list_transform(range(1, len({t}) - 3), lambda i: array_to_string({t}[i:i + 4], '')) ELSE [] END"
+CHARACTERS = "list_filter(string_split({}, ''), lambda c: c <> '')"
 SHINGLE_WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}_]+')"
 SHINGLES = lambda t: f"CASE WHEN len({t}) > 0 THEN list_transform(range(1, greatest(1, len({t}) - 3) + 1), lambda i: array_to_string({t}[i:i + 3], ' ')) ELSE [] END"
 F1 = "CASE WHEN nl + nr > 0 THEN 2 * hit::DOUBLE / (nl + nr) ELSE 0 END"
@@ -55,20 +57,10 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(C("l").alias("doc_id"), C("r").alias("item_id"), (C("hit") / F.greatest("nl", one)).alias("p"), (C("hit") / F.greatest("nr", one)).alias("r"), S.dice(C("hit"), C("nl"), C("nr")).alias("f1"))
 
 
-@query("gram5_dice", _sql(GRAMS("substr(lt, 1, 4000)"), GRAMS("substr(rt, 1, 4000)")) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS dice FROM s")
+@query("gram5_dice", _sql(GRAMS("lt"), GRAMS("rt"), CHARACTERS) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS dice FROM s")
 def gram5_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-character multiset Dice of the first 4000 characters, as its SQL has it; ``gram5_dice_whole`` scores whole texts."""
-    return _gram5(spark, sf_dir, lambda t: S.characters(F.substring(t, 1, 4000)))
-
-
-@query("gram5_dice_whole")
-def gram5_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-character multiset Dice of whole texts."""
-    return _gram5(spark, sf_dir, S.characters)
-
-
-def _gram5(spark: SparkSession, sf_dir: str, prepare) -> DataFrame:
-    s = _scored(spark, sf_dir, S.char_grams, prepare)
+    s = _scored(spark, sf_dir, S.char_grams, S.characters)
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("dice"))
 
 
@@ -78,23 +70,13 @@ def _positional(chars):
     return tagged
 
 
-POSITIONAL = lambda t: f"CASE WHEN length({t}) >= 5 THEN list_transform(range(1, length({t}) - 3), lambda i: ((i - 1) * 64 // (length({t}) - 4)) || ':' || substr({t}, i, 5)) ELSE [] END"
+POSITIONAL = lambda t: f"CASE WHEN len({t}) >= 5 THEN list_transform(range(1, len({t}) - 3), lambda i: ((i - 1) * 64 // (len({t}) - 4)) || ':' || array_to_string({t}[i:i + 4], '')) ELSE [] END"
 
 
-@query("positional_f1", _sql(POSITIONAL("substr(lt, 1, 4000)"), POSITIONAL("substr(rt, 1, 4000)")) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS f1 FROM s")
+@query("positional_f1", _sql(POSITIONAL("lt"), POSITIONAL("rt"), CHARACTERS) + f" SELECT l AS doc_id, hit::BIGINT AS overlap_grams, {F1} AS f1 FROM s")
 def positional_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-character F1 within 64 position buckets of the first 4000 characters, as its SQL has it; ``positional_f1_whole`` scores whole texts."""
-    return _positional_f1(spark, sf_dir, lambda t: S.characters(F.substring(t, 1, 4000)))
-
-
-@query("positional_f1_whole")
-def positional_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-character F1 within 64 position buckets of whole texts."""
-    return _positional_f1(spark, sf_dir, S.characters)
-
-
-def _positional_f1(spark: SparkSession, sf_dir: str, prepare) -> DataFrame:
-    s = _scored(spark, sf_dir, _positional, prepare)
+    s = _scored(spark, sf_dir, _positional, S.characters)
     return s.select(C("l").alias("doc_id"), C("hit").alias("overlap_grams"), S.dice(C("hit"), C("nl"), C("nr")).alias("f1"))
 
 

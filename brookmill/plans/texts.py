@@ -29,7 +29,7 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(X.strip_boilerplate(C("text"))).alias("kept_md5"))
 
 
-PARAS = "list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: length(p) > 30)"
+PARAS = "list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) > 30)"
 
 
 @query("paragraph_keys", f"SELECT doc_id, len(ps) AS n_paragraphs, md5(array_to_string(list_transform(ps, lambda p: substr(trim(regexp_replace(lower(p), '\\s+', ' ', 'g')), 1, 200)), '|')) AS keys_md5 FROM (SELECT doc_id, {PARAS} AS ps FROM documents)")

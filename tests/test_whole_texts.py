@@ -26,7 +26,7 @@ def placed(text):
     return [(i * 64 // len(g), x) for i, x in enumerate(g)]
 
 
-@pytest.mark.parametrize("name,score,items", [("gram5_dice_whole", "dice", K.grams), ("positional_f1_whole", "f1", placed)])
+@pytest.mark.parametrize("name,score,items", [("gram5_dice", "dice", K.grams), ("positional_f1", "f1", placed)])
 def test_grams_of_whole_texts(spark, small, name, score, items):
     path, texts = small
     got = {r.doc_id: r for r in registry.queries()[name](spark, path).collect()}
