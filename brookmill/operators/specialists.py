@@ -127,6 +127,106 @@ def code_page(html: str | None) -> Iterator[dict]:
         yield {"strategy": "github-readme", "title": title, "text": dom.markdown(body).strip(), "n_items": 1, "truncated": False}
 
 
+# What pages of changes say about themselves.
+SUMMARIES = (re.compile(r"(?i)\b\d[\d,]*\s+commits?\b"), re.compile(r"(?i)\b\d[\d,]*\s+files?\s+changed\b"), re.compile(r"(?i)\bLines changed:\s*\d[\d,]*\s+additions?\s*&\s*\d[\d,]*\s+deletions?\b"))
+UNAVAILABLE = re.compile(r"(?i)(?:can(?:not|'t|’t)|could(?:\s+not|n't|n’t)|unable\s+to)\s+render\s+(?:this\s+)?comparison|comparison\s+is\s+taking\s+too\s+long\s+to\s+generate|error\s+while\s+loading\s+(?:this\s+|the\s+)?comparison")
+DIFF_FILES_MOST, DIFF_LINES_MOST, RELEASES_MOST = 100, 5000, 50
+CHANGE = "page_id bigint, strategy string, title string, text string, n_files bigint, reasons string"
+
+
+def diffs(scope: dom.Node) -> tuple[list[str], list[str]]:
+    """A fenced diff per file of a page of changes, and what was cut."""
+    out: dict[str, str] = {}
+    cut: list[str] = []
+    for t in scope.walk():
+        named = re.match(r"(?i)Diff for:\s*(.+)$", dom.squeeze(t.attrs.get("aria-label", ""))) if t.tag == "table" else None
+        if not named or named[1] in out:
+            continue
+        if len(out) >= DIFF_FILES_MOST:
+            cut.append("github_diff_file_limit")
+            break
+        lines = []
+        for row in t.walk():
+            cells = [c for c in row.children if isinstance(c, dom.Node) and c.tag == "td"] if row.tag == "tr" else []
+            if cells:
+                text = re.sub("[\r\n\u200e\u200f]", "", cells[-1].text())
+                lines.append(text.strip() if "diff-hunk-cell" in cells[-1].attrs.get("class", "").split() else text if text[:1] in tuple("+- @") else " " + text)
+        if len(lines) > DIFF_LINES_MOST:
+            lines = [*lines[:DIFF_LINES_MOST], "... diff truncated at configured line limit ..."]
+            cut.append("github_diff_line_limit")
+        fence = "`" * max(3, max((len(x) for x in re.findall("`+", "\n".join(lines))), default=0) + 1)
+        out[named[1]] = f"{fence}diff\n" + "\n".join(lines) + f"\n{fence}" if lines else "> Diff content was not present in the fetched page."
+        cut += [] if lines else ["github_diff_content_missing"]
+    return [f"### `{path}`\n\n{body}" for path, body in out.items()], list(dict.fromkeys(cut))
+
+
+def change_page(html: str | None, compare: bool) -> Iterator[dict]:
+    """A commit's or comparison's page: title, summary and diffs, marked as partial where something is missing."""
+    root = dom.prune(dom.parse(html))
+    scope = next((n for n in root.walk() if n.tag == "main"), root)
+    title = next((dom.squeeze(n.text()) for n in root.walk() if n.tag == "h1" and dom.squeeze(n.text())), "")
+    shown = " ".join(dom.squeeze(x) for x in _texts(scope) if x.strip())
+    summary = [m[0] for p in SUMMARIES[0 if compare else 1 :] if (m := p.search(shown))]
+    files = SUMMARIES[1].search(shown)
+    sections, reasons = diffs(scope)
+    if compare and UNAVAILABLE.search(shown):
+        reasons.append("github_comparison_diff_unavailable")
+    elif not sections and files is None:
+        return
+    elif not sections and not files[0].startswith("0 "):
+        reasons.append("github_change_diff_unavailable")
+    parts = [f"# {title}" if title else "", "## Summary\n\n" + "\n".join(f"- {x}" for x in summary) if summary else "", "> [!WARNING]\n> Partial result: the page does not hold all diffs." if reasons else "", "## Diff\n\n" + "\n\n".join(sections) if sections else ""]
+    text = "\n\n".join(filter(None, parts)) + (f"\n\n<!-- partial: reasons={','.join(reasons)} -->" if reasons else "")
+    yield {"strategy": f"github-{'compare' if compare else 'commit'}" + ("-partial" if reasons else ""), "title": title, "text": text, "n_files": len(sections), "reasons": ",".join(reasons)}
+
+
+def _texts(n: dom.Node) -> Iterator[str]:
+    for c in n.children:
+        if isinstance(c, str):
+            yield c
+        else:
+            yield from _texts(c)
+
+
+def release_page(html: str | None) -> Iterator[dict]:
+    """Bodies of releases, each once."""
+    root = dom.prune(dom.parse(html))
+    scope = next((n for n in root.walk() if n.tag == "main"), root)
+    title = next((dom.squeeze(n.text()) for want in ("release-title", None) for n in scope.walk() if (n.attrs.get("data-testid") == want if want else n.tag == "h1")), "")
+    marked = [n for n in scope.walk() if n.attrs.get("data-testid") == "release-body" or {"release-body", "markdown-body"} & set(n.attrs.get("class", "").split())]
+    bodies: dict[str, str] = {}
+    for n in marked:
+        if not any(a in marked for a in n.up()) and (text := dom.markdown(n).strip()):
+            bodies.setdefault(" ".join(text.lower().split()), text)
+    if bodies:
+        yield {"strategy": "github-release", "title": title, "text": f"# {title}\n\n" + "\n\n---\n\n".join(list(bodies.values())[:RELEASES_MOST]), "n_items": min(len(bodies), RELEASES_MOST), "truncated": len(bodies) > RELEASES_MOST}
+
+
+def raw_url(html: str | None, blob: str) -> str | None:
+    """The raw file that a blob's page links to, if it is of the same repository and name on a known host over https."""
+    from urllib.parse import urlsplit
+
+    parts = [x for x in urlsplit(blob).path.split("/") if x]
+    if len(parts) < 5 or parts[2] != "blob":
+        return None
+    for n in dom.parse(html).walk():
+        href = n.attrs.get("href", "").strip()
+        marks = n.tag == "a" and (n.attrs.get("data-testid") == "raw-button" or n.attrs.get("id") == "raw-url" or n.attrs.get("data-hotkey") == "r" or n.attrs.get("aria-label") == "Raw" or "raw.githubusercontent.com" in href)
+        if not href or not (marks or (n.tag == "link" and n.attrs.get("rel") == "alternate")):
+            continue
+        try:
+            u = urlsplit("https:" + href if href.startswith("//") else href)
+            sound = u.scheme.lower() == "https" and u.username is None and u.password is None and u.port in (None, 443)
+        except ValueError:
+            continue
+        host, own = (u.hostname or "").lower().rstrip("."), [x for x in u.path.split("/") if x]
+        same = len(own) >= 4 and [own[0].casefold(), own[1].casefold(), own[-1].casefold()] == [parts[0].casefold(), parts[1].casefold(), parts[-1].casefold()]
+        on_site = host in ("github.com", "www.github.com") and len(own) >= 5 and own[2].casefold() == "raw"
+        if sound and same and (on_site or host == "raw.githubusercontent.com"):
+            return f"https://{'github.com' if on_site else host}{u.path}" + (f"?{u.query}" if u.query else "")
+    return None
+
+
 def code_pages(pages: DataFrame) -> DataFrame:
     return per_page(pages, CODE_PAGE, code_page)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("pages", "urls", "texts", "evaluation", "policies", "crawl", "documents", "records", "gates", "bodies", "studies")
+MODULES = ("pages", "urls", "texts", "evaluation", "policies", "crawl", "documents", "records", "gates", "bodies", "studies", "graph", "outputs")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
