@@ -41,7 +41,7 @@ ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body
 MAX_NODES, MAX_DEPTH, MAX_BLOCKS, MAX_BLOCK_TEXT = 100_000, 256, 10_000, 64_000
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmill.functions import page as G
-from brookmill.functions.sqltext import values
 from brookmill.operators import frontier as Fr
 from brookmill.plans.pages import HOST, pages
 from brookmill.plans.registry import query
-from brookmill.sources.tables import literal, table
+from brookmill.sources.tables import table
 
 C = F.col
 ENTRIES = f"SELECT page_id, {HOST} AS host, page_id % 5 AS priority, page_id AS ord, (page_id % 11)::DOUBLE AS ready_at FROM pages"
@@ -49,13 +48,16 @@ def frontier_wake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fr.next_wake(e, delayed, 2.0)
 
 
-GRAPH = [(i, (i * k) % 40) for i in range(28) for k in (2, 3) if (i * k) % 40 != i]
-GRAPH_SQL = values(GRAPH, "src, dst")
+# Pages as nodes that link to two and three times their number, modulo the count.
+LINKS = "SELECT page_id AS src, page_id * k % n AS dst FROM pages, (SELECT count(*) AS n FROM pages), (VALUES (2), (3)) v(k)"
 
 
-@query("bfs_depth", f"WITH RECURSIVE g AS ({GRAPH_SQL}), b(id, depth) AS (SELECT 1, 0 UNION SELECT dst, depth + 1 FROM b JOIN g ON src = id WHERE depth < 5) SELECT id, min(depth) AS depth FROM b GROUP BY id")
+@query("bfs_depth", f"WITH RECURSIVE g AS ({LINKS}), b(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM b JOIN g ON src = id WHERE depth < 5) SELECT id, min(depth) AS depth FROM b GROUP BY id")
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Fr.crawl_depths(spark.range(1, 2), literal(spark, GRAPH_SQL), 5).select(C("id").cast("int").alias("id"), "depth")
+    p = pages(spark, sf_dir).select(C("page_id").alias("src"))
+    n = p.agg(F.count("*").alias("n"))
+    links = p.select("src", F.explode(F.array(F.lit(2), F.lit(3))).alias("k")).select("src", (C("src") * C("k") % n.scalar()).alias("dst"))
+    return Fr.crawl_depths(spark.range(1, 2), links, 5).select("id", "depth")
 
 
 @query("link_priorities", f"SELECT page_id, 7 AS constant, -(page_id % 4) AS breadth_first, (('0x' || substr(sha256('5' || chr(0) || page_id), 1, 16))::UBIGINT % 9223372036854775808)::BIGINT AS random, len(list_intersect(['en', 'page', 'www'], string_split(regexp_replace(lower(url), '[^a-z]+', ' ', 'g'), ' '))) * 1000 - page_id % 4 AS anchor_overlap FROM pages")

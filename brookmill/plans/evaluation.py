@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brookmill.functions import page as G
-from brookmill.functions.sqltext import values
 from brookmill.operators import similarity as S
 from brookmill.operators import statistics as Q
 from brookmill.plans.pages import TOKENS, VISIBLE, pages
 from brookmill.plans.registry import query
-from brookmill.sources.tables import literal, table
+from brookmill.sources.tables import table
 
 C = F.col
 
@@ -181,13 +180,15 @@ def harmonic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(C("l").alias("doc_id"), S.harmonic(p, r).alias("quality"))
 
 
-ORDERS = values([(t, p) for t in range(1, 7) for p in ("alpha", "beta", "gamma")], "task_id, provider")
+ORDERS = "SELECT item_id AS task_id, provider FROM benchmark, (VALUES ('alpha'), ('beta'), ('gamma')) v(provider)"
 
 
 @query("randomized_orders", f"SELECT task_id, provider, row_number() OVER (PARTITION BY task_id ORDER BY sha256(concat_ws(':', 42, task_id, provider))) AS place FROM ({ORDERS})")
 def randomized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of three providers for each benchmark item."""
     w = Window.partitionBy("task_id").orderBy(F.sha2(F.concat_ws(":", F.lit("42"), C("task_id").cast("string"), "provider"), 256))
-    return literal(spark, ORDERS).select("task_id", "provider", F.row_number().over(w).cast("bigint").alias("place"))
+    t = table(spark, sf_dir, "benchmark").select(C("item_id").alias("task_id"), F.explode(F.array(*map(F.lit, ("alpha", "beta", "gamma")))).alias("provider"))
+    return t.select("task_id", "provider", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 @query("hash_sample", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY sha256('seed|' || doc_id), doc_id LIMIT 100)")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmill.functions import page as G
+from brookmill.functions import url as U
 from brookmill.functions.sqltext import values
 from brookmill.operators import robots as R
 from brookmill.operators import sitemap as M
 from brookmill.plans.pages import HOST, pages
 from brookmill.plans.registry import query
+from brookmill.plans.urls import PATH, QUERY
 from brookmill.sources.tables import literal, table
 
 C = F.col
@@ -22,54 +24,69 @@ ROBOTS = values(
     ],
     "origin, body",
 )
-ROBOTS_URLS = values(
-    [(1, "https://a.example/private"), (2, "https://a.example/x1y"), (3, "https://a.example/x22y?z=1"), (4, "https://b.example/no"), (5, "https://b.example/ok/1"), (6, "https://c.example/any"), (7, "https://b.example/robots.txt"), (8, "https://a.example/%7Euser/1"), (9, "https://d.example/")],
-    "case_id, url",
+# Robots files of hosts that the pages' paths are tried on.
+PAGE_ROBOTS = values(
+    [
+        ("https://a.example", "User-agent: *\nDisallow: /\n\nUser-agent: Bot/2\nUser-agent: other\nDisallow: /de/\nAllow: /de/2\nDisallow: /*1*5$\nDisallow: /es/*?page\n"),
+        ("https://b.example", "Disallow: /ignored\nUser-Agent: *\nDisallow: /\nAllow: /en\nAllow:\nnonsense\n"),
+        ("https://c.example", "# nothing\n"),
+    ],
+    "origin, body",
 )
+TRIED = f"SELECT page_id, ['https://a.example', 'https://b.example', 'https://c.example', 'https://d.example'][page_id % 4 + 1] AS origin, CASE WHEN page_id % 50 = 1 THEN '/robots.txt' ELSE {PATH} || CASE WHEN {QUERY} <> '' THEN '?' || {QUERY} ELSE '' END END AS pq FROM pages"
 
 
-@query("robots_rules", f"""
-WITH l AS (SELECT origin, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM ({ROBOTS})),
+RULES_SQL = r"""
+WITH l AS (SELECT origin, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM ({bodies})),
 r AS (SELECT origin, pos, lower(trim(split_part(c, ':', 1))) AS field, trim(substr(c, strpos(c, ':') + 1)) AS value FROM (SELECT origin, pos, trim(split_part(line, '#', 1)) AS c FROM l) WHERE contains(c, ':')),
 k AS (SELECT *, CASE WHEN field = 'user-agent' THEN 'agent' WHEN field IN ('allow', 'disallow') AND starts_with(value, '/') THEN 'rule' END AS kind FROM r),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY origin ORDER BY pos) AS grp FROM (SELECT *, CASE WHEN kind = 'agent' AND coalesce(lag(kind) OVER (PARTITION BY origin ORDER BY pos), 'rule') = 'rule' THEN 1 ELSE 0 END AS opens FROM k WHERE kind IS NOT NULL))
-SELECT a.origin, a.agent, u.field = 'allow' AS allow, regexp_replace(u.value, '\\$$', '') AS pattern, ends_with(u.value, '$') AS anchored, length(replace(regexp_replace(regexp_replace(u.value, '\\$$', ''), '%[0-9A-F][0-9A-F]', 'x', 'g'), '*', '')) AS specificity
-FROM (SELECT DISTINCT origin, grp, CASE WHEN value = '*' THEN value ELSE lower(split_part(value, '/', 1)) END AS agent FROM g WHERE kind = 'agent' AND grp > 0) a JOIN g u ON u.origin = a.origin AND u.grp = a.grp AND u.kind = 'rule'""")
+SELECT a.origin, a.agent, u.field = 'allow' AS allow, regexp_replace(u.value, '\$$', '') AS pattern, ends_with(u.value, '$') AS anchored, length(replace(regexp_replace(regexp_replace(u.value, '\$$', ''), '%[0-9A-F][0-9A-F]', 'x', 'g'), '*', '')) AS specificity
+FROM (SELECT DISTINCT origin, grp, CASE WHEN value = '*' THEN value ELSE lower(split_part(value, '/', 1)) END AS agent FROM g WHERE kind = 'agent' AND grp > 0) a JOIN g u ON u.origin = a.origin AND u.grp = a.grp AND u.kind = 'rule'"""
+
+
+@query("robots_rules", RULES_SQL.replace("{bodies}", ROBOTS))
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.parse(literal(spark, ROBOTS)).where("pattern IS NOT NULL").drop("ord")
 
 
-@query("robots_decide", f"SELECT case_id, [TRUE, TRUE, FALSE, FALSE, TRUE, TRUE, TRUE, FALSE, TRUE][case_id] AS allowed FROM ({ROBOTS_URLS})")
+@query("robots_decide", rf"""WITH u AS ({TRIED}), r AS ({RULES_SQL.replace("{bodies}", PAGE_ROBOTS)}),
+o AS (SELECT * FROM r WHERE agent = 'bot' OR (agent = '*' AND origin NOT IN (SELECT origin FROM r WHERE agent = 'bot'))),
+m AS (SELECT page_id, max((specificity, allow)) AS best FROM u JOIN o ON o.origin = u.origin AND regexp_matches(pq, '^' || replace(regexp_replace(pattern, '([\\.+?^$(){{}}\[\]|])', '\\\1', 'g'), '*', '.*') || CASE WHEN anchored THEN '$' ELSE '' END) GROUP BY page_id)
+SELECT page_id, CASE WHEN pq = '/robots.txt' THEN TRUE ELSE coalesce(best[2], TRUE) END AS allowed FROM u LEFT JOIN m USING (page_id)""")
 def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.decide(literal(spark, ROBOTS_URLS), R.parse(literal(spark, ROBOTS)), "bot").select("case_id", "allowed")
+    """The pages' paths tried on four hosts, for a bot that one of them names."""
+    q = U.query(C("url"))
+    pq = F.when(C("page_id") % 50 == 1, "/robots.txt").otherwise(F.concat(U.path(C("url")), F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+    origin = F.element_at(F.array(*[F.lit(f"https://{x}.example") for x in "abcd"]), (C("page_id") % 4 + 1).cast("int"))
+    urls = table(spark, sf_dir, "pages").select("page_id", F.concat(origin, pq).alias("url"))
+    return R.decide(urls, R.parse(literal(spark, PAGE_ROBOTS)), "bot").select("page_id", "allowed")
 
 
-STATUSES = values([(s,) for s in (200, 204, 301, 401, 403, 404, 408, 410, 425, 429, 500, 503)], "status")
+STATUS = "[200, 204, 301, 401, 403, 404, 408, 410, 425, 429, 500, 503][event_id % 12 + 1]"
 
 
-@query("robots_outcomes", f"SELECT status, CASE WHEN status BETWEEN 200 AND 299 THEN 'parse' WHEN status IN (408, 425, 429) OR status >= 500 THEN 'deny_all' WHEN status BETWEEN 400 AND 499 THEN 'allow_all' ELSE 'deny_all' END AS outcome FROM ({STATUSES})")
-def robots_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, STATUSES).select("status", R.outcome(C("status")).alias("outcome"))
+def status():
+    return F.element_at(F.array(*map(F.lit, (200, 204, 301, 401, 403, 404, 408, 410, 425, 429, 500, 503))), (C("event_id") % 12 + 1).cast("int"))
 
 
-SITE = values(
-    [
-        ("https://a.example/map.xml", "<sitemapindex><sitemap><loc>https://a.example/m1.xml</loc></sitemap><sitemap><loc> /m2.xml </loc></sitemap></sitemapindex>"),
-        ("https://a.example/m1.xml", "<urlset><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/2?a=1&amp;b=2</loc></url></urlset>"),
-        ("https://a.example/m2.xml", "<urlset><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/3</loc></url><loc>https://a.example/map.xml</loc></urlset>"),
-    ],
-    "url, body",
-)
+@query("robots_outcomes", f"SELECT event_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'parse' WHEN status IN (408, 425, 429) OR status >= 500 THEN 'deny_all' WHEN status BETWEEN 400 AND 499 THEN 'allow_all' ELSE 'deny_all' END AS outcome FROM (SELECT event_id, {STATUS} AS status FROM events)")
+def robots_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches of robots files, whose status goes round."""
+    return table(spark, sf_dir, "events").select("event_id", R.outcome(status()).alias("outcome"))
 
 
-@query("sitemap_urls", f"""
-WITH RECURSIVE l AS (SELECT url, contains(lower(body), '<sitemapindex') AS idx, unnest(list_transform(regexp_extract_all(body, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1), lambda x: replace(CASE WHEN starts_with(trim(x), '/') THEN 'https://a.example' || trim(x) ELSE trim(x) END, '&amp;', '&'))) AS loc FROM ({SITE})),
-s AS (SELECT *, idx OR regexp_matches(lower(loc), '\\.xml$') AS is_map FROM l),
-t(url, level) AS (SELECT 'https://a.example/map.xml', 0 UNION SELECT s.loc, t.level + 1 FROM t JOIN s ON s.url = t.url AND s.is_map WHERE t.level < 3)
-SELECT loc, min(level) AS level FROM t JOIN s USING (url) WHERE NOT is_map GROUP BY loc""")
+@query("sitemap_urls", """SELECT 'https://a.example/' || page_id || '?a=1&b=2' AS loc, 1 AS level FROM pages UNION ALL SELECT 'https://a.example/home', 0""")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = literal(spark, SITE)
-    return M.traverse(docs.where("url = 'https://a.example/map.xml'").select("url"), docs).select("loc", "level")
+    """Page addresses in sitemaps of up to a hundred, found from the index that lists these; relative and escaped, with a loop back."""
+    p = table(spark, sf_dir, "pages").select((C("page_id") / 100).cast("bigint").alias("k"), F.concat(F.lit("<url><loc> /"), "page_id", F.lit("?a=1&amp;b=2 </loc></url>")).alias("loc"))
+    name = F.concat(F.lit("https://a.example/m"), "k", F.lit(".xml"))
+    maps = p.groupBy("k").agg(F.concat_ws("", F.collect_list("loc")).alias("locs")).select(name.alias("url"), F.concat(F.lit("<urlset>"), "locs", F.lit("<loc>https://a.example/map.xml</loc></urlset>")).alias("body"))
+    listed = maps.agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))).alias("locs"))
+    index = listed.select(F.lit("https://a.example/all.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), "locs", F.lit("</sitemapindex>")).alias("body"))
+    root = spark.range(1).select(F.lit("https://a.example/map.xml").alias("url"), F.lit("<urlset><url><loc>https://a.example/home</loc></url></urlset>").alias("body"))
+    docs = maps.unionByName(index).unionByName(root)
+    return M.traverse(docs.where("url IN ('https://a.example/all.xml', 'https://a.example/map.xml')").select("url"), docs).select("loc", "level")
 
 
 @query("cache_misses", f"SELECT page_id, sha256('v1|' || url || '|' || {HOST}) AS cache_key, page_id % 3 = 0 AND page_id % 7 < 5 AS fresh FROM pages")
@@ -86,24 +103,28 @@ def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).groupBy(G.host(C("url")).alias("flight_key")).agg(F.min("page_id").alias("leader"), (F.count("*") - 1).alias("n_waiters"))
 
 
-ATTEMPTS = values([(s, n, ra) for s in (200, 404, 429, 503) for n in (1, 2, 3, 5) for ra in (None, 7)], "status, attempt, retry_after")
+ATTEMPTS = f"SELECT event_id, {STATUS} AS status, event_id // 12 % 5 + 1 AS attempt, CASE WHEN event_id % 5 = 0 THEN 7 END AS retry_after FROM events"
 
 
-@query("retry_schedule", f"SELECT status, attempt, retry_after, status IN (408, 425, 429, 500, 502, 503, 504) AND attempt < 3 AS retry, CASE WHEN status IN (408, 425, 429, 500, 502, 503, 504) THEN greatest(least(120.0, pow(2, attempt - 1)), coalesce(retry_after, 0)) END AS delay_s, least(0.25 * pow(2, attempt - 1), 2.0) AS jitter_ceiling FROM ({ATTEMPTS})")
+@query("retry_schedule", f"SELECT event_id, status IN (408, 425, 429, 500, 502, 503, 504) AND attempt < 3 AS retry, CASE WHEN status IN (408, 425, 429, 500, 502, 503, 504) THEN greatest(least(120.0, pow(2, attempt - 1)), coalesce(retry_after, 0)) END AS delay_s, least(0.25 * pow(2, attempt - 1), 2.0) AS jitter_ceiling FROM ({ATTEMPTS})")
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an outcome is tried again, the delay of the frontier, and the ceiling of the fetcher's jitter."""
-    a = literal(spark, ATTEMPTS)
+    """Whether an outcome is tried again, the delay of the frontier, and the ceiling of the fetcher's jitter; events as attempts."""
+    a = table(spark, sf_dir, "events").select("event_id", status().alias("status"), F.expr("event_id div 12 % 5 + 1").alias("attempt"), F.when(C("event_id") % 5 == 0, 7).alias("retry_after"))
     again = C("status").isin(408, 425, 429, 500, 502, 503, 504)
     back = F.pow(F.lit(2.0), C("attempt") - 1)
-    return a.select("status", "attempt", "retry_after", (again & (C("attempt") < 3)).alias("retry"), F.when(again, F.greatest(F.least(F.lit(120.0), back), F.coalesce(C("retry_after").cast("double"), F.lit(0.0)))).alias("delay_s"), F.least(0.25 * back, F.lit(2.0)).alias("jitter_ceiling"))
+    return a.select("event_id", (again & (C("attempt") < 3)).alias("retry"), F.when(again, F.greatest(F.least(F.lit(120.0), back), F.coalesce(C("retry_after").cast("double"), F.lit(0.0)))).alias("delay_s"), F.least(0.25 * back, F.lit(2.0)).alias("jitter_ceiling"))
 
 
-MIME = values([(1, "text/html; charset=x", "<p>frag"), (2, "", "<!DOCTYPE html><html>"), (3, "text/plain", "%PDF-1.7 x"), (4, "application/pdf", "x"), (5, "image/png", "abc"), (6, "text/plain", "hello"), (7, "text/event-stream", "data"), (8, "application/json", "{}")], "case_id, declared, body")
+DECLARED = ("text/html; charset=x", "", "text/plain", "application/pdf", "image/png", "text/plain", "text/event-stream", "application/json")
 
 
-@query("effective_mime", f"SELECT case_id, ['text/html; charset=x', 'text/html', 'application/pdf', 'application/pdf', NULL, 'text/plain', NULL, 'application/json'][case_id] AS mime FROM ({MIME})")
+@query("effective_mime", "SELECT page_id, ['text/html; charset=x', 'text/html', 'application/pdf', 'application/pdf', NULL, 'text/plain', NULL, 'application/json'][page_id % 8 + 1] AS mime FROM pages")
 def effective_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, MIME).select("case_id", G.effective_mime(C("declared"), C("body")).alias("mime"))
+    """Declared types that go round, over each page's html, a signature before it, or its text alone."""
+    k, h = C("page_id") % 8, C("html")
+    body = F.when(k.isin(0, 1), h).when(k == 2, F.concat(F.lit("%PDF-1.7 "), h)).otherwise(F.concat(F.lit("x "), G.raw_text(h)))
+    declared = F.element_at(F.array(*map(F.lit, DECLARED)), (k + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", G.effective_mime(declared, body).alias("mime"))
 
 
 @query("format_projection", "SELECT page_id, md5(html) AS markdown_md5, NULL::VARCHAR AS html, page_id % 2 = 0 AS has_links FROM pages")

@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 from brookmill.functions import page as G
 from brookmill.functions import patterns as P
 from brookmill.functions import text as X
-from brookmill.functions.sqltext import lit, values
+from brookmill.functions.sqltext import lit
 from brookmill.plans.pages import COUNT, HAS
 from brookmill.plans.registry import query
-from brookmill.sources.tables import literal, table
+from brookmill.sources.tables import table
 
 C = F.col
 
@@ -45,32 +45,38 @@ def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
 
 
-CASES = [
-    (1, "Title\nbody text", "Title"), (2, "# Done\nbody", "Title"), (3, "body only", "A title"), (4, "", "A title"), (5, "  title \nrest", "TITLE"), (6, "Use `x` and ``y``\n```py\ncode\n```", ""),
-    (7, "a {color: red} b function (x) cookie", "t"), (8, "## H\n- item\n\n| a | b |\n|---|---|\n| 1 | 2 |\n$x$ and `c`", "t"), (9, "Heading [edit] and [ edit | edit source ]", "t"), (10, "a*b_c <d> [e] & f", "t"),
-]
-CASES_SQL = values(CASES, "case_id, text, title")
+# Documents with a title: another one, their own first line, none, or a heading in place.
+TITLED = "SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN '# ' || text WHEN doc_id % 4 = 3 THEN '  ' || text || chr(10) || '```py' || chr(10) || 'a {color: red} function (x)' || chr(10) || '```' || chr(10) || 'cookie [edit] $x$ `c`' ELSE text END AS text, CASE WHEN doc_id % 4 = 0 THEN 'A title' WHEN doc_id % 4 = 1 THEN ' ' || lower(split_part(text, chr(10), 1)) WHEN doc_id % 4 = 2 THEN 'x' ELSE '' END AS title FROM documents"
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t = C("doc_id") % 4, C("text")
+    more = F.concat(F.lit("  "), t, F.lit("\n```py\na {color: red} function (x)\n```\ncookie [edit] $x$ `c`"))
+    title = F.when(k == 0, "A title").when(k == 1, F.concat(F.lit(" "), F.lower(F.substring_index(t, "\n", 1)))).when(k == 2, "x").otherwise("")
+    return documents(spark, sf_dir).select("doc_id", F.when(k == 2, F.concat(F.lit("# "), t)).when(k == 3, more).otherwise(t).alias("text"), title.alias("title"))
+
+
 BODY = "ltrim(regexp_replace(text, '^\\s+', ''))"
 FIRST = f"trim(split_part({BODY}, chr(10), 1))"
 
 
-@query("title_heading", f"""SELECT case_id, CASE WHEN title = '' OR trim(text) = '' OR starts_with({FIRST}, '#') THEN text WHEN lower({FIRST}) = lower(trim(title)) THEN '# ' || {BODY} ELSE '# ' || trim(title) || chr(10) || chr(10) || {BODY} END AS text FROM ({CASES_SQL})""")
+@query("title_heading", f"""SELECT doc_id, md5(CASE WHEN title = '' OR trim(text) = '' OR starts_with({FIRST}, '#') THEN text WHEN lower({FIRST}) = lower(trim(title)) THEN '# ' || {BODY} ELSE '# ' || trim(title) || chr(10) || chr(10) || {BODY} END) AS text_md5 FROM ({TITLED})""")
 def title_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, CASES_SQL).select("case_id", X.with_title(C("text"), C("title")).alias("text"))
+    return titled(spark, sf_dir).select("doc_id", F.md5(X.with_title(C("text"), C("title"))).alias("text_md5"))
 
 
 CATS = ", ".join(f"CASE WHEN {HAS('text', p)} THEN '{n}' END" for p, n in ((P.MD_HEADING, "heading"), (P.MD_LIST_ITEM, "list"), (P.MD_TABLE, "table"), (P.MD_CODE, "code"), (P.MD_MATH, "math")))
 PROSE = "regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g')"
 
 
-@query("markdown_checks", f"""SELECT case_id, array_to_string(list_filter([{CATS}], lambda x: x IS NOT NULL), ',') AS categories,
+@query("markdown_checks", f"""SELECT doc_id, array_to_string(list_filter([{CATS}], lambda x: x IS NOT NULL), ',') AS categories,
   CASE WHEN length(text) = 0 THEN 0 ELSE greatest(0, 1 - least(1.0::DOUBLE, ({COUNT(PROSE, X.CSS_RULE)} * 4 + {COUNT(PROSE, X.JS_LEAK)} * 2 + {COUNT(PROSE, X.NAVIGATION)}) * 1000.0::DOUBLE / greatest(length(text), 1))) END AS noise,
-  regexp_replace(text, {lit(P.WIKI_EDIT)}, '', 'g') AS no_wiki, regexp_replace(text, '([\\\\`*_\\[\\]<>])', '\\\\\\1', 'g') AS escaped, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html_escaped,
-  repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0) + 1)) AS fence FROM ({CASES_SQL})""")
+  regexp_replace(text, {lit(P.WIKI_EDIT)}, '', 'g').md5() AS no_wiki, md5(regexp_replace(text, '([\\\\`*_\\[\\]<>])', '\\\\\\1', 'g')) AS escaped, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html_escaped,
+  repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0) + 1)) AS fence FROM ({TITLED})""")
 def markdown_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = C("text")
     fence = F.substring_index(X.fenced(t, F.lit("")), "\n", 1)
-    return literal(spark, CASES_SQL).select("case_id", F.array_join(G.markdown_categories(t), ",").alias("categories"), X.noise_score(t).alias("noise"), X.strip_wiki(t).alias("no_wiki"), X.escape_markdown(t).alias("escaped"), X.escape_html(t).alias("html_escaped"), fence.alias("fence"))
+    return titled(spark, sf_dir).select("doc_id", F.array_join(G.markdown_categories(t), ",").alias("categories"), X.noise_score(t).alias("noise"), F.md5(X.strip_wiki(t)).alias("no_wiki"), F.md5(X.escape_markdown(t)).alias("escaped"), F.md5(X.escape_html(t)).alias("html_escaped"), fence.alias("fence"))
 
 
 @query("truncate_boundary", """SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE
@@ -92,12 +98,15 @@ def response_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("run", inner).join(before, "part").select("doc_id", F.when(C("run") + C("before") > 400000, "response output budget exceeded").alias("error"))
 
 
-LANG_CASES = values([(1, "https://x.example/a/b.py?raw=1"), (2, "https://x.example/Dockerfile"), (3, "https://x.example/q.SQL#L1"), (4, "https://x.example/none"), (5, "https://x.example/m.cc")], "case_id, url")
+NAMES = ("b.py?raw=1", "Dockerfile", "q.SQL#L1", "none", "m.cc")
 
 
-@query("source_languages", f"SELECT case_id, ['python', 'dockerfile', 'sql', '', 'cpp'][case_id] AS language FROM ({LANG_CASES})")
+@query("source_languages", "SELECT page_id, ['python', 'dockerfile', 'sql', '', 'cpp'][page_id % 5 + 1] AS language FROM pages")
 def source_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, LANG_CASES).select("case_id", X.source_language(C("url")).alias("language"))
+    """Languages of files whose names go round, in folders named by page numbers."""
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (C("page_id") % 5 + 1).cast("int"))
+    url = F.concat(F.lit("https://x.example/"), C("page_id").cast("string"), F.lit("/"), name)
+    return table(spark, sf_dir, "pages").select("page_id", X.source_language(url).alias("language"))
 
 
 @query("text_sections", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

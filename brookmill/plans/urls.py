@@ -8,10 +8,9 @@ from pyspark.sql.window import Window
 
 from brookmill.functions import page as G
 from brookmill.functions import url as U
-from brookmill.functions.sqltext import lit, values
+from brookmill.functions.sqltext import lit
 from brookmill.plans.pages import HOST, ORIGIN, pages
 from brookmill.plans.registry import query
-from brookmill.sources.tables import literal
 
 C = F.col
 PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -67,7 +66,17 @@ TRAP_CASES = [
     (6, "https://a.example/p?" + "&".join(f"k{i}={i}" for i in range(25))), (7, "https://a.example/p?" + "&".join("k=1" for _ in range(7))), (8, "https://a.example/p?" + "&".join(f"{k}=1" for k in U.FACET_PARTS[:9])),
     (9, "https://a.example/calendar/1850/01"), (10, "https://a.example/calendar/2024/01"), (11, "https://a.example/p?date=2199-01-01"), (12, "https://a.example/" + "/".join(f"s{i}" for i in range(97))), (13, "https://a.example/plain?x=1"), (14, "https://a.example/a/A/a/b"),
 ]
-URL_CASES = values(TRAP_CASES, "case_id, url")
+def cased(cases: list[tuple], column: str = "page_id") -> str:
+    """SQL for the URL of a case, going round by the column's number."""
+    return f"[{', '.join(lit(u) for _, u in cases)}][{column} % {len(cases)} + 1]"
+
+
+def case_url(cases: list[tuple]):
+    return F.element_at(F.array(*[F.lit(u) for _, u in cases]), (C("page_id") % len(cases) + 1).cast("int"))
+
+
+# Odd pages keep their URL, even ones get one that is likely to be a trap.
+URL_CASES = f"SELECT page_id, CASE WHEN page_id % 2 = 1 THEN url ELSE {cased(TRAP_CASES, '(page_id // 2)')} END AS url FROM pages"
 SEGMENTS = f"list_transform(list_filter(string_split({PATH}, '/'), lambda s: s <> ''), lambda s: lower(s))"
 REPEATS = lambda a: f"coalesce(list_max(list_transform(list_distinct({a}), lambda x: len(list_filter({a}, lambda y: y = x)))), 0)"
 KEYS = f"list_transform({PAIRS}, lambda p: {TOKEN('p.key')})"
@@ -77,7 +86,7 @@ YEAR_TEXT = f"' ' || {PATH} || ' ' || array_to_string(list_transform(list_filter
 
 
 @query("trap_reasons", f"""
-SELECT case_id, CASE WHEN len({SEGMENTS}) > 96 THEN 'path_too_deep' WHEN {REPEATS(SEGMENTS)} > 3 THEN 'trap_repeated_path'
+SELECT page_id, CASE WHEN len({SEGMENTS}) > 96 THEN 'path_too_deep' WHEN {REPEATS(SEGMENTS)} > 3 THEN 'trap_repeated_path'
   WHEN regexp_matches({PATH}, {lit(U.PATH_SESSION)}) OR regexp_matches({QUERY}, {lit(U.QUERY_SESSION)}) THEN 'trap_session' WHEN len({PAIRS}) > 24 THEN 'trap_query_parameters'
   WHEN len(list_filter({PAIRS}, lambda p: {INS(TOKEN('p.key'), U.SESSION_KEYS)} OR ({INS(TOKEN('p.key'), U.MAYBE_SESSION_KEYS)} AND regexp_matches(p.value, {lit(U.SESSION_VALUE)})))) > 0 THEN 'trap_session'
   WHEN {REPEATS(KEYS)} > 6 THEN 'trap_query_parameters'
@@ -85,7 +94,8 @@ SELECT case_id, CASE WHEN len({SEGMENTS}) > 96 THEN 'path_too_deep' WHEN {REPEAT
   WHEN {IS_CAL} AND len(list_filter(regexp_extract_all({YEAR_TEXT}, '[^0-9]([0-9]{{4}})[^0-9]', 1), lambda y: y::INT < 1990 OR y::INT > 2100)) > 0 THEN 'trap_calendar' END AS reason
 FROM ({URL_CASES})""")
 def trap_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, URL_CASES).select("case_id", U.trap(C("url")).alias("reason"))
+    trap = F.element_at(F.array(*[F.lit(u) for _, u in TRAP_CASES]), (F.expr("page_id div 2") % len(TRAP_CASES) + 1).cast("int"))
+    return pages(spark, sf_dir).select("page_id", F.when(C("page_id") % 2 == 1, C("url")).otherwise(trap).alias("url")).select("page_id", U.trap(C("url")).alias("reason"))
 
 
 @query("query_variant_budget", f"""
@@ -103,41 +113,46 @@ def query_variant_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(r, ["host", "place", "q"]).select("page_id", (C("nth") > 1).alias("over_budget"))
 
 
-CALENDAR_CASES = values([(1, "https://a.example/events/2024/05/x1"), (2, "https://a.example/p?date=2024-01-01&v=7"), (3, "https://a.example/plain/12"), (4, "https://a.example/Archive/9")], "case_id, url")
-
-
-@query("calendar_signatures", f"""SELECT case_id, CASE case_id WHEN 1 THEN '/events/{{n}}/{{n}}/x1?' WHEN 2 THEN '/p?date={{calendar}}&v=7' WHEN 4 THEN '/archive/{{n}}?' END AS signature FROM ({CALENDAR_CASES})""")
+@query("calendar_signatures", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/events/{n}/{n}/x1?' WHEN 1 THEN '/p?date={calendar}&v=7' WHEN 3 THEN '/archive/{n}?' END AS signature FROM pages""")
 def calendar_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, CALENDAR_CASES).select("case_id", U.calendar_signature(C("url")).alias("signature"))
+    """Signatures of calendar URLs made of page numbers."""
+    k, i = C("page_id") % 4, C("page_id").cast("string")
+    u = F.when(k == 0, F.concat(F.lit("https://a.example/events/"), i, F.lit("/05/x1"))).when(k == 1, F.lit("https://a.example/p?date=2024-01-01&v=7")).when(k == 2, F.concat(F.lit("https://a.example/plain/"), i)).otherwise(F.concat(F.lit("https://a.example/Archive/"), i))
+    return pages(spark, sf_dir).select("page_id", U.calendar_signature(u).alias("signature"))
 
 
 GITHUB_CASES = [
     (1, "https://github.com/o/r"), (2, "https://github.com/o/r.git"), (3, "https://github.com/o/r/issues/12"), (4, "https://github.com/o/r/pull/3/files"), (5, "https://github.com/o/r/tree/main/x"), (6, "https://github.com/settings/x"), (7, "https://github.com"),
     (8, "https://evilgithub.com/o/r"), (9, "https://raw.githubusercontent.com/o/r/main/a.py"), (10, "https://raw.githubusercontent.com/o/r"), (11, "https://github.com/o/r/wiki"), (12, "https://github.com/-o/r/issues"), (13, "https://www.github.com/o/r/releases/tag/v1"),
 ]
-GITHUB_SQL = values(GITHUB_CASES, "case_id, url")
+GITHUB_SQL = f"SELECT page_id, replace({cased(GITHUB_CASES)}, '/o/', '/o' || page_id || '/') AS url FROM pages"
 
 
 @query("github_routes", f"""
-WITH p AS (SELECT case_id, {HOST} AS host, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM ({GITHUB_SQL})),
+WITH p AS (SELECT page_id, {HOST} AS host, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM ({GITHUB_SQL})),
 q AS (SELECT *, coalesce(parts[1], '') AS o, regexp_replace(coalesce(parts[2], ''), '\\.git$', '') AS r, lower(coalesce(parts[3], '')) AS route, coalesce(parts[4], '') AS nr FROM p WHERE host IN ('github.com', 'www.github.com', 'raw.githubusercontent.com')),
 k AS (SELECT *, regexp_full_match(o, '[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?') AND regexp_full_match(r, '[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?') AND length(o) <= 39 AND length(r) <= 100 AS named FROM q),
 t AS (SELECT *, CASE WHEN host = 'raw.githubusercontent.com' THEN CASE WHEN len(parts) >= 4 AND named THEN 'raw' ELSE 'other' END WHEN len(parts) < 2 OR {INS('lower(o)', U.GITHUB_RESERVED)} THEN 'root' WHEN NOT named THEN 'other' WHEN len(parts) = 2 THEN 'repo' WHEN {INS('route', U.GITHUB_ROUTES)} THEN route ELSE 'other' END AS kind FROM k),
 w AS (SELECT *, kind NOT IN ('root', 'other') OR (kind = 'other' AND named AND len(parts) > 2 AND host <> 'raw.githubusercontent.com') AS whole FROM t)
-SELECT case_id, kind, CASE WHEN whole THEN o ELSE '' END AS owner, CASE WHEN whole THEN r ELSE '' END AS repo, CASE WHEN kind IN ('issues', 'pull', 'discussions') THEN try_cast(nr AS BIGINT) END AS number FROM w""")
+SELECT page_id, kind, CASE WHEN whole THEN o ELSE '' END AS owner, CASE WHEN whole THEN r ELSE '' END AS repo, CASE WHEN kind IN ('issues', 'pull', 'discussions') THEN try_cast(nr AS BIGINT) END AS number FROM w""")
 def github_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, GITHUB_SQL).select("case_id", U.github_route(C("url")).alias("g")).where("g IS NOT NULL").select("case_id", "g.*")
+    url = F.replace(case_url(GITHUB_CASES), F.lit("/o/"), F.concat(F.lit("/o"), C("page_id").cast("string"), F.lit("/")))
+    return pages(spark, sf_dir).select("page_id", U.github_route(url).alias("g")).where("g IS NOT NULL").select("page_id", "g.*")
 
 
-ACADEMIC_CASES = values([(1, "https://arxiv.org/abs/2401.01234v2"), (2, "https://pubmed.ncbi.nlm.nih.gov/12345/"), (3, "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC77/"), (4, "https://doi.org/10.1000/x.y"), (5, "https://github.com/o/r"), (6, "https://www.nature.com/articles/x"), (7, "https://notarxiv.org/abs/2401.01234"), (8, "https://ieeexplore.ieee.org/document/99"), (9, "https://dl.acm.org/doi/abs/10.1145/1.2"), (10, "https://www.sciencedirect.com/science/article/pii/S0123456789012345X"[:-1])], "case_id, url")
+ACADEMIC_CASES = [
+    (1, "https://arxiv.org/abs/2401.01234v2"), (2, "https://pubmed.ncbi.nlm.nih.gov/12345/"), (3, "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC77/"), (4, "https://doi.org/10.1000/x.#"), (5, "https://github.com/o/r"), (6, "https://www.nature.com/articles/#"),
+    (7, "https://notarxiv.org/abs/2401.01234"), (8, "https://ieeexplore.ieee.org/document/#"), (9, "https://dl.acm.org/doi/abs/10.1145/1.#"), (10, "https://www.sciencedirect.com/science/article/pii/S0123456789012345"),
+]
 
 
-@query("academic_ids", f"""
-SELECT case_id, ['arxiv', 'pubmed', 'pmc', 'doi', 'github', 'journal', NULL, 'journal', 'journal', 'journal'][case_id] AS source,
-  [NULL, NULL, NULL, 'crossref', NULL, NULL, NULL, 'ieee', 'crossref', 'elsevier'][case_id] AS provider, [NULL, NULL, NULL, '10.1000/x.y', NULL, NULL, NULL, '99', '10.1145/1.2', 'S0123456789012345'][case_id] AS target FROM ({ACADEMIC_CASES})""")
+@query("academic_ids", """SELECT page_id, ['arxiv', 'pubmed', 'pmc', 'doi', 'github', 'journal', NULL, 'journal', 'journal', 'journal'][k] AS source, [NULL, NULL, NULL, 'crossref', NULL, NULL, NULL, 'ieee', 'crossref', 'elsevier'][k] AS provider,
+  [NULL, NULL, NULL, '10.1000/x.' || page_id, NULL, NULL, NULL, page_id::VARCHAR, '10.1145/1.' || page_id, 'S0123456789012345'][k] AS target FROM (SELECT page_id, page_id % 10 + 1 AS k FROM pages)""")
 def academic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = literal(spark, ACADEMIC_CASES).select("case_id", U.academic_source(C("url")).alias("source"), U.publisher_target(C("url")).alias("t"))
-    return t.select("case_id", "source", C("t.provider").alias("provider"), C("t.id").alias("target"))
+    """Ten kinds of scholarly URLs, with the page's number in their identifiers."""
+    url = F.replace(case_url(ACADEMIC_CASES), F.lit("#"), C("page_id").cast("string"))
+    t = pages(spark, sf_dir).select("page_id", U.academic_source(url).alias("source"), U.publisher_target(url).alias("t"))
+    return t.select("page_id", "source", C("t.provider").alias("provider"), C("t.id").alias("target"))
 
 
 @query("sorted_query_identity", f"SELECT page_id, 'https://' || {HOST} || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split({QUERY}, '&')), '&') END AS identity FROM pages")
