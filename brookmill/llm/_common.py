@@ -123,9 +123,10 @@ BROADCAST_ROWS = 20_000
 IDS_MOST = 200_000
 
 
-def small_or_plain(table: Scratch, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast only if it has at most ``most`` rows; else joins on it are ordinary ones."""
-    return F.broadcast(table.df) if table.df.count() <= most else table.df
+def small_or_plain(table: Scratch | DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table (or a filter of a written one), marked for broadcast only if it has at most ``most`` rows; else joins on it are ordinary ones."""
+    df = table.df if isinstance(table, Scratch) else table
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def prefix_sums(
@@ -180,8 +181,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     mark = None
     for _ in range(max_rounds):
         e = now.df
-        parent = Scratch(e.groupBy("hi").agg(F.min("lo").alias("p")), f"{name}-p")
-        p = parent.df
+        p = e.groupBy("hi").agg(F.min("lo").alias("p"))
         j = e.join(p, "hi")
         low = j.select(F.explode(F.array(F.struct("hi", F.col("p").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("p").alias("lo")))).alias("e")).select("e.*")
         low = low.where(F.col("hi") != F.col("lo")).distinct()
@@ -189,7 +189,6 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         nxt = Scratch(low.join(up, "lo", "left").select("hi", F.coalesce("q", "lo").alias("lo")).distinct(), name)
         row = nxt.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         now.drop()
-        parent.drop()
         now = nxt
         if mark == tuple(row):
             break

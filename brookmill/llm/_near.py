@@ -184,11 +184,11 @@ def compare_groups(rows: DataFrame, payload: list[str], kernel: Callable[[list,
     it must yield every link.
     """
     size = Scratch(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"), F.min("id").alias("hub")).where("n > 1"), f"{name}-sizes")
-    large = Scratch(size.df.where(F.col("w") > chunk).select("grp", "hub"), f"{name}-large")
+    large = size.df.where(F.col("w") > chunk).select("grp", "hub")
     few = rows.join(small_or_plain(size, IDS_MOST).where(F.col("w") <= chunk).select("grp"), "grp", "left_semi")
     few = few.select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("c"), "id", *payload)
     cells, found = few, None
-    if not large.df.isEmpty():
+    if not large.isEmpty():
         big = rows.join(small_or_plain(large, IDS_MOST), "grp")
         faced = _hub_links(big, payload, kernel, weight, f"{name}-hub")
         found = faced.where("settled").select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -329,8 +329,7 @@ def near_classes(sketches: DataFrame, labels_of: Callable[[DataFrame], DataFrame
     """
     copies = Scratch(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), f"{name}-copies")
     reps = Scratch(sketches.select("id", "digest").join(small_or_plain(copies, IDS_MOST), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")), f"{name}-reps").df
-    others = Scratch(reps.where("id <> rep").select("id"), f"{name}-others")
-    spots = sketches.join(small_or_plain(others, IDS_MOST), "id", "left_anti").select("id", F.explode(F.array_distinct("keys")).alias("grp"))
+    spots = sketches.join(small_or_plain(reps.where("id <> rep").select("id"), IDS_MOST), "id", "left_anti").select("id", F.explode(F.array_distinct("keys")).alias("grp"))
     met = spots.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     shared = Scratch(spots.join(met, "grp", "left_semi"), f"{name}-spots")
     holders = Scratch(shared.df.select("id").distinct(), f"{name}-holders")
@@ -342,7 +341,7 @@ def near_classes(sketches: DataFrame, labels_of: Callable[[DataFrame], DataFrame
     rows = Scratch(candidates.df.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(labels, "id"), f"{name}-labels")
     tight = compare_groups(rows.df, ["labels"], by_labels(similarity, close), F.size("labels") + ROW_LABELS, LABELS, f"{name}-tight")
     classes = connected_components(tight, f"{name}-cls").df.select(F.col("node").alias("rep"), F.col("component").alias("cls"))
-    for table in (shared, holders, held, rows, others):
+    for table in (shared, holders, held, rows):
         table.drop()
     return reps.join(classes, "rep", "left").select("id", F.coalesce("cls", "rep").alias("cls"))
 

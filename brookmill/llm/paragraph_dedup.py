@@ -186,8 +186,7 @@ def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     ends = hits.select("key", F.max("at").over(w.rangeBetween(-WINDOW, -REACH)).isNull().alias("left"), F.max("at").over(w.rangeBetween(REACH, WINDOW)).isNull().alias("right"))
     wanted = ends.groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")).where("left OR right")
     wanted = small_or_plain(Scratch(wanted, "window-ends"), IDS_MOST)
-    by_doc = hits.join(wanted, "key").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("hits"))
-    by_doc = small_or_plain(Scratch(by_doc, "window-wanted"))
+    by_doc = hits.join(wanted, "key").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "at", "left", "right")).alias("hits"))
     rows = map_arrow(texts.join(by_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "hits"), _context_rows, CONTEXT_ROWS)
     now = Scratch(rows.withColumn("step", F.lit(0)), "window-contexts").df
     out = None
@@ -198,7 +197,6 @@ def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
         rows = now.withColumn("beside", beside.cast("bigint"))
         head = F.min(F.struct("doc_id", "text_hash", "at", "start", "end", "words", "edges")).alias("head")
         heads = rows.groupBy(*group).agg(head, F.max("doc_id").alias("last")).where("head.doc_id <> last").drop("last")
-        heads = Scratch(heads, "window-heads").df
         same = F.array_position(F.zip_with("words", "head.words", lambda x, y: x.eqNullSafe(y)), False)
         met = rows.join(heads, group).withColumn("same", F.when(same > 0, same - 1).otherwise(F.size("words")).cast("int"))
         met = Scratch(met.where("doc_id <> head.doc_id OR text_hash <> head.text_hash OR start <> head.start"), "window-met").df
@@ -211,10 +209,10 @@ def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
             return [of("doc_id").alias("doc_id"), of("text_hash").alias("text_hash"), start.alias("start"), end.alias("end"), at.alias("at"), (n + WINDOW).cast("bigint").alias("words"), F.col("head.doc_id").alias("first_doc")]
 
         others = met.where("doc_id <> head.doc_id AND same > 0")
-        most = others.groupBy(*group).agg(F.max("same").alias("most")).join(heads, group)
+        most = others.groupBy(*group).agg(F.max(F.struct("same", "head")).alias("m")).select("left", F.col("m.same").alias("most"), F.col("m.head").alias("head"))
         found = others.select(*unit("", F.col("same"))).unionByName(most.select(*unit("head.", F.col("most"))))
         out = found if out is None else out.unionByName(found)
-        now = Scratch(met.where("same < size(words)").select(*now.columns[:-1], (F.col("same") + 1).alias("step")), "window-contexts").df
+        now = met.where("same < size(words)").select(*now.columns[:-1], (F.col("same") + 1).alias("step"))
         if now.isEmpty():
             break
     return out
@@ -317,26 +315,26 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, least_words:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id IS NOT NULL")
     units = map_arrow(texts, _unit_rows(max(SHINGLE, least_words)), UNIT_ROWS)
     units = Scratch(units.withColumn("id", F.monotonically_increasing_id()), "units").df
-    paras = units.where("digest IS NOT NULL")
     place = ["doc_id", "text_hash", "start", "end", "at", "words"]
+    # Few of the units are paragraphs; read once, they are a small table of their own.
+    paras = Scratch(units.where("digest IS NOT NULL").select("id", *place, "digest", "n", "keys", "signature"), "paragraphs").df
 
     def labels_of(ids: DataFrame) -> DataFrame:
         spots = paras.select("id", *place).join(ids, "id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "at", "words")).alias("wanted"))
         spots = small_or_plain(Scratch(spots, "para-wanted"))
         return map_arrow(texts.join(spots, ["doc_id", "text_hash"]).select("text", "wanted"), _label_rows, "id bigint, labels array<bigint>").dropDuplicates(["id"])
 
-    sketches = Scratch(paras.select("id", "digest", "n", "keys", "signature"), "para-sketches").df
-    classes = near_classes(sketches, labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
+    classes = near_classes(paras.select("id", "digest", "n", "keys", "signature"), labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
     placed = Scratch(classes.join(paras.select("id", *place), "id"), "para-classes").df
     shared = placed.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     near = placed.join(small_or_plain(Scratch(shared, "para-shared"), IDS_MOST), "cls").select(*place, "first_doc", F.lit(NEAR).alias("kind"))
 
     # Read twice: to find keys of more than one document, then their places.
-    rows = units.where("key IS NOT NULL").select(*place, "key")
+    rows = units.where("key IS NOT NULL").select(*place[:-1], F.lit(WINDOW).cast("bigint").alias("words"), "key")
     twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
     hits = Scratch(rows.join(small_or_plain(Scratch(twice, "window-keys"), IDS_MOST), "key"), "window-hits").df
     exact = hits.select(*place, "first_doc", F.lit(EXACT).alias("kind"))
-    runs = extended(texts, hits.select("doc_id", "text_hash", "key", "at").distinct()).withColumn("kind", F.lit(RUN))
+    runs = extended(texts, hits.select("doc_id", "text_hash", "key", "at")).withColumn("kind", F.lit(RUN))
     return near.unionByName(exact).unionByName(runs)
 
 
@@ -346,6 +344,6 @@ def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY, least_words:
     A unit is removed where its first_doc is another document. Overlapping or touching removed units are one span, whose
     first_doc is the smallest of theirs; units first held by the document itself are kept whole, in spans of their own.
     """
-    units = repeated_units(docs, similarity, least_words).distinct().groupBy("doc_id", "text_hash")
-    units = units.agg(F.collect_list(F.struct("start", "end", "first_doc", "kind", "at", "words")).alias("units"))
+    units = repeated_units(docs, similarity, least_words).groupBy("doc_id", "text_hash")
+    units = units.agg(F.collect_set(F.struct("start", "end", "first_doc", "kind", "at", "words")).alias("units"))
     return map_arrow(units, _span_rows, "doc_id bigint, text_hash bigint, start bigint, end bigint, first_doc bigint, removed boolean")
