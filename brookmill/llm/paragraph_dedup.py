@@ -9,7 +9,7 @@ at least one equal window; for these, a single band over the whole window is exa
 
 A window that stands in more than one document is extended word by word to the ends of the run that its documents share.
 Only the windows near the ends of a chain of them need that; a run of LEAST_WORDS words has a window within REACH words
-of either end. The holders of a window are walked like a trie: all are compared with the smallest doc_id's, those that
+of either end. Those documents whose chains end there, and the first and last that hold the window, are walked like a trie: all are compared with the smallest doc_id's, those that
 part from it after the same words and go on alike are a group that is compared again, until no group has two documents.
 
 Chains of overlapping windows and runs of fewer than LEAST_WORDS words are not reported: short phrases recur in unrelated texts.
@@ -152,42 +152,58 @@ def _unit_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-CONTEXT_ROWS = "doc_id bigint, text_hash bigint, key bigint, left boolean, at bigint, start bigint, end bigint, words array<bigint>, edges array<bigint>"
+CONTEXT_ROWS = "doc_id bigint, text_hash bigint, key bigint, left boolean, at bigint, start bigint, end bigint, words array<int>, edges array<int>"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the wanted windows of each document, what stands beside them: up to REACH words outward, and where each ends."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
         for doc, text_hash, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             text = text.as_py() or ""
             begin, end = word_spans(text)
-            hashes = word_hashes(text.lower().split())
+            # 32 bits of each word's hash tell neighbours apart well enough.
+            hashes = (word_hashes(text.lower().split()) >> np.uint64(33)).astype(np.int32)
+            begin, end = begin.astype(np.int32), end.astype(np.int32)
             for hit in hits:
                 a, b = hit["at"], hit["at"] + WINDOW
                 place = (a, int(begin[a]), int(end[b - 1]))
                 if hit["left"]:
                     low = max(0, a - REACH)
-                    rows.append((doc, text_hash, hit["key"], True, *place, np.flip(hashes[low:a]).copy().view(np.int64), np.flip(begin[low:a]).copy()))
+                    rows.append((doc, text_hash, hit["key"], True, *place, np.flip(hashes[low:a]).copy(), np.flip(begin[low:a]).copy()))
                 if hit["right"]:
-                    rows.append((doc, text_hash, hit["key"], False, *place, hashes[b : b + REACH].view(np.int64), end[b : b + REACH]))
+                    rows.append((doc, text_hash, hit["key"], False, *place, hashes[b : b + REACH], end[b : b + REACH]))
         cols = zip(*rows, strict=True) if rows else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "text_hash", "key", "left", "at", "start", "end", "words", "edges"])
 
 
+def of_texts(texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """``texts`` joined with ``wanted`` (doc_id, text_hash, ...); where few documents are wanted, the others' texts are not moved."""
+    wanted = Scratch(wanted, name).df
+    ids = Scratch(wanted.select("doc_id").distinct(), f"{name}-ids").df
+    if ids.count() <= IDS_MOST:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts.join(wanted, ["doc_id", "text_hash"])
+
+
 def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Windows ``hits`` (doc_id, text_hash, key, at) with the words beside them that other documents share: the columns UNIT.
+    """Windows ``hits`` (doc_id, text_hash, key, at, first_doc, last) with the words beside them that other documents share: the columns of units.
 
-    The first document of a group gets a row too, with the most that it shares with one of the others.
+    A chain of windows is extended at its ends only, against the other documents whose chains end at the same window and
+    the smallest and largest that hold it. The first document of a group gets a row too, with the most that it shares
+    with one of the others.
     """
     w = Window.partitionBy("doc_id", "text_hash").orderBy("at")
     # Where another window overlaps this one and reaches REACH words further, the two cover all that this one can gain.
-    ends = hits.select("key", F.max("at").over(w.rangeBetween(-WINDOW, -REACH)).isNull().alias("left"), F.max("at").over(w.rangeBetween(REACH, WINDOW)).isNull().alias("right"))
-    wanted = ends.groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")).where("left OR right")
-    wanted = small_or_plain(Scratch(wanted, "window-ends"), IDS_MOST)
-    by_doc = hits.join(wanted, "key").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "at", "left", "right")).alias("hits"))
-    rows = map_arrow(texts.join(by_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "hits"), _context_rows, CONTEXT_ROWS)
+    flags = {"left": F.max("at").over(w.rangeBetween(-WINDOW, -REACH)).isNull(), "right": F.max("at").over(w.rangeBetween(REACH, WINDOW)).isNull()}
+    cols = ["doc_id", "text_hash", "key", "at", "left", "right"]
+    own = Scratch(hits.withColumns(flags).where("left OR right").select(*cols), "window-ends").df
+    wanted = Scratch(own.groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")), "window-end-keys")
+    outer = hits.where("doc_id = first_doc OR doc_id = last").join(small_or_plain(wanted, IDS_MOST), "key").select(*cols)
+    by_doc = own.unionByName(outer).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "at", "left", "right")).alias("hits"))
+    found = of_texts(texts, by_doc, "window-wanted").select("doc_id", "text_hash", "text", "hits")
+    rows = map_arrow(found, _context_rows, CONTEXT_ROWS)
     now = Scratch(rows.withColumn("step", F.lit(0)), "window-contexts").df
     out = None
     # The step of a row grows each round and ends at REACH.
@@ -309,10 +325,21 @@ def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "labels"])
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text; the hash is 0 for a doc_id with one text alone, and so takes no room where ids are unique."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id IS NOT NULL")
+    several = texts.groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("several"))
+    several = Scratch(several, "ids-of-several-texts")
+    if several.df.isEmpty():
+        return texts.withColumn("text_hash", F.lit(0).cast("bigint"))
+    told = texts.join(small_or_plain(several, IDS_MOST), "doc_id", "left")
+    return told.select("doc_id", F.when(F.col("several"), F.col("text_hash")).otherwise(0).alias("text_hash"), "text")
+
+
 def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """Units that stand in more than one document: doc_id, text_hash, start, end (code points), at, words (their place and number
     in words), first_doc (the smallest doc_id of the class) and kind."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id IS NOT NULL")
+    texts = identified(docs)
     units = map_arrow(texts, _unit_rows(max(SHINGLE, least_words)), UNIT_ROWS)
     units = Scratch(units.withColumn("id", F.monotonically_increasing_id()), "units").df
     place = ["doc_id", "text_hash", "start", "end", "at", "words"]
@@ -321,8 +348,7 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, least_words:
 
     def labels_of(ids: DataFrame) -> DataFrame:
         spots = paras.select("id", *place).join(ids, "id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "at", "words")).alias("wanted"))
-        spots = small_or_plain(Scratch(spots, "para-wanted"))
-        return map_arrow(texts.join(spots, ["doc_id", "text_hash"]).select("text", "wanted"), _label_rows, "id bigint, labels array<bigint>").dropDuplicates(["id"])
+        return map_arrow(of_texts(texts, spots, "para-wanted").select("text", "wanted"), _label_rows, "id bigint, labels array<bigint>").dropDuplicates(["id"])
 
     classes = near_classes(paras.select("id", "digest", "n", "keys", "signature"), labels_of, lambda a, b: True, MATCHES_LEAST, "para", similarity)
     placed = Scratch(classes.join(paras.select("id", *place), "id"), "para-classes").df
@@ -331,10 +357,10 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, least_words:
 
     # Read twice: to find keys of more than one document, then their places.
     rows = units.where("key IS NOT NULL").select(*place[:-1], F.lit(WINDOW).cast("bigint").alias("words"), "key")
-    twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last").drop("last")
+    twice = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc <> last")
     hits = Scratch(rows.join(small_or_plain(Scratch(twice, "window-keys"), IDS_MOST), "key"), "window-hits").df
     exact = hits.select(*place, "first_doc", F.lit(EXACT).alias("kind"))
-    runs = extended(texts, hits.select("doc_id", "text_hash", "key", "at")).withColumn("kind", F.lit(RUN))
+    runs = extended(texts, hits.select("doc_id", "text_hash", "key", "at", "first_doc", "last")).withColumn("kind", F.lit(RUN))
     return near.unionByName(exact).unionByName(runs)
 
 
