@@ -9,8 +9,8 @@ at least one equal window; for these, a single band over the whole window is exa
 
 A window that stands in more than one document is extended word by word to the ends of the run that its documents share.
 Only the windows near the ends of a chain of them need that; a run of LEAST_WORDS words has a window within REACH words
-of either end. Those documents whose chains end there, and the first and last that hold the window, are walked like a trie: all are compared with the smallest doc_id's, those that
-part from it after the same words and go on alike are a group that is compared again, until no group has two documents.
+of either end. Of the documents whose chains end there, and the first and last that hold the window, the words beside it are sorted: each
+shares most with a neighbour in that order, which tells how far its run goes.
 
 Chains of overlapping windows and runs of fewer than LEAST_WORDS words are not reported: short phrases recur in unrelated texts.
 Units that stand in more than one document are repeats. The smallest doc_id of a unit's class keeps it, the others remove
@@ -204,36 +204,74 @@ def extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     by_doc = own.unionByName(outer).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "at", "left", "right")).alias("hits"))
     found = of_texts(texts, by_doc, "window-wanted").select("doc_id", "text_hash", "text", "hits")
     rows = map_arrow(found, _context_rows, CONTEXT_ROWS)
-    now = Scratch(rows.withColumn("step", F.lit(0)), "window-contexts").df
-    out = None
-    # The step of a row grows each round and ends at REACH.
-    for _ in range(REACH + 1):
-        group = ["key", "left", "step", "beside"]
-        beside = F.when(F.col("step") > 0, F.xxhash64(F.slice("words", 1, F.col("step")))).otherwise(F.lit(0))
-        rows = now.withColumn("beside", beside.cast("bigint"))
-        head = F.min(F.struct("doc_id", "text_hash", "at", "start", "end", "words", "edges")).alias("head")
-        heads = rows.groupBy(*group).agg(head, F.max("doc_id").alias("last")).where("head.doc_id <> last").drop("last")
-        same = F.array_position(F.zip_with("words", "head.words", lambda x, y: x.eqNullSafe(y)), False)
-        met = rows.join(heads, group).withColumn("same", F.when(same > 0, same - 1).otherwise(F.size("words")).cast("int"))
-        met = Scratch(met.where("doc_id <> head.doc_id OR text_hash <> head.text_hash OR start <> head.start"), "window-met").df
-
-        def unit(p: str, n: Column) -> list[Column]:
-            of = lambda c: F.col(p + c)
-            start = F.when((n > 0) & F.col("left"), F.get(of("edges"), n - 1)).otherwise(of("start"))
-            end = F.when((n > 0) & ~F.col("left"), F.get(of("edges"), n - 1)).otherwise(of("end"))
-            at = F.when(F.col("left"), of("at") - n).otherwise(of("at"))
-            return [of("doc_id").alias("doc_id"), of("text_hash").alias("text_hash"), start.alias("start"), end.alias("end"), at.alias("at"), (n + WINDOW).cast("bigint").alias("words"), F.col("head.doc_id").alias("first_doc")]
-
-        others = met.where("doc_id <> head.doc_id AND same > 0")
-        most = others.groupBy(*group).agg(F.max(F.struct("same", "head")).alias("m")).select("left", F.col("m.same").alias("most"), F.col("m.head").alias("head"))
-        found = others.select(*unit("", F.col("same"))).unionByName(most.select(*unit("head.", F.col("most"))))
-        out = found if out is None else out.unionByName(found)
-        now = met.where("same < size(words)").select(*now.columns[:-1], (F.col("same") + 1).alias("step"))
-        if now.isEmpty():
-            break
+    # Contexts that share nothing need not meet: the first word beside the window deals them out, which splits a window that very many hold.
+    rows = rows.where(F.size("words") > 0).withColumn("next", F.get("words", F.lit(0)))
+    rows = rows.repartition("key", "left", "next").sortWithinPartitions("key", "left", "words", "doc_id").drop("next")
+    return map_arrow(rows, _shared_rows, SHARED_ROWS)
+
+
+SHARED_ROWS = "doc_id bigint, text_hash bigint, start bigint, end bigint, at bigint, words bigint, first_doc bigint"
+
+
+def _matrix(column: pa.Array, fill: int) -> np.ndarray:
+    """A column of lists as a matrix of REACH columns."""
+    offsets = column.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    out = np.full((len(column), REACH), fill, np.int64)
+    out[np.repeat(np.arange(len(column)), sizes), np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], sizes)] = column.values.to_numpy()[offsets[0] : offsets[-1]]
     return out
 
 
+#: Contexts of one group that are compared at a time, and rows that wait for the rest of their group.
+HELD_MOST, HELD_LEAST = 200_000, 4096
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From contexts in the order of (key, left, words, doc_id): how far each goes on like another document's, and the smallest of these.
+
+    In this order the contexts that begin with the same words stand together: the run goes on as far as they are of more
+    than one document. Of a group with more than HELD_MOST contexts so many are compared at a time: then words beside
+    a window may stay in several documents, and are lost in none.
+    """
+    none = np.iinfo(np.int64).min
+
+    def result(flat: np.ndarray, words: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+        docs, n = flat[:, 0], len(flat)
+        same = (words[1:] == words[:-1]) & (words[1:] != none) & (flat[1:, 2:4] == flat[:-1, 2:4]).all(1)[:, None]
+        alike = np.concatenate([[0], np.cumprod(same, axis=1).sum(1)])
+        most, first = np.zeros(n, np.int64), docs.copy()
+        for length in range(1, REACH + 1):
+            begins = alike < length
+            at, block = np.flatnonzero(begins), np.cumsum(begins) - 1
+            low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
+            several = (low != high)[block]
+            if not several.any():
+                break
+            most[several], first[several] = length, low[block][several]
+        keep = np.flatnonzero(most > 0)
+        f, m = flat[keep], most[keep]
+        edge, left = edges[keep, m - 1], f[:, 3] == 1
+        cols = [f[:, 0], f[:, 1], np.where(left, edge, f[:, 5]), np.where(left, f[:, 6], edge), np.where(left, f[:, 4] - m, f[:, 4]), m + WINDOW, first[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_hash", "start", "end", "at", "words", "first_doc"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        flat = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
+        new = [flat, _matrix(batch.column(7), none), _matrix(batch.column(8), 0)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        n = len(held[0])
+        if n < HELD_LEAST:
+            continue
+        group = np.concatenate([held[0][:, 2:4], held[1][:, :1]], axis=1)
+        ends = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
+        cut = int(ends[-1]) if len(ends) else n if n > HELD_MOST else 0
+        if cut:
+            yield result(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield result(*held)
+
+
 #: Kinds of units: near-equal paragraphs, windows, and windows extended to the run that is shared.
 NEAR, EXACT, RUN = 0, 1, 2
 
@@ -288,19 +326,36 @@ def doc_spans(doc: int, units: list[tuple[int, int, int, int]]) -> list[tuple[in
     return [(a, b, first, removed) for a, b, first, removed in out if a < b]
 
 
-def long_enough(units: list[tuple], least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
-    """(start, end, first_doc, kind) of the units (start, end, first_doc, kind, at, words) of one text, without those windows and
-    runs whose chain of overlapping ones has fewer than ``least`` words."""
-    out = [u[:4] for u in units if u[3] == NEAR]
-    chain, reach = [], -1
-    for u in [*sorted((u for u in units if u[3] != NEAR), key=lambda u: u[4]), None]:
-        if u is None or u[4] > reach:
-            if chain and reach - chain[0][4] >= least:
-                out += [x[:4] for x in chain]
-            chain, reach = [], -1
-        if u is not None:
-            chain.append(u)
-            reach = max(reach, u[4] + u[5])
+def long_enough(units: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
+    """Rows (start, end, first_doc, kind, at, words) without those windows and runs whose chain of overlapping ones has fewer than ``least`` words."""
+    near = units[:, 3] == NEAR
+    u = units[~near]
+    if not len(u):
+        return units
+    u = u[np.argsort(u[:, 4], kind="stable")]
+    reach = np.maximum.accumulate(u[:, 4] + u[:, 5])
+    begins = np.concatenate([[True], u[1:, 4] > reach[:-1]])
+    chain = np.cumsum(begins) - 1
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(u)) - 1
+    return np.concatenate([units[near], u[(reach[last] - u[first, 4] >= least)[chain]]])
+
+
+def merged(doc: int, units: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Rows (start, end, first_doc, kind) with those of one other first document that overlap as one: they cover the same text."""
+    mine = (units[:, 2] == doc) | (units[:, 3] == NEAR)
+    out = list(map(tuple, units[mine].tolist()))
+    u = units[~mine]
+    u = u[np.lexsort((u[:, 0], u[:, 2]))]
+    if len(u):
+        reach = np.empty(len(u), np.int64)
+        change = np.flatnonzero(u[1:, 2] != u[:-1, 2]) + 1
+        for a, b in zip([0, *change], [*change, len(u)], strict=True):
+            reach[a:b] = np.maximum.accumulate(u[a:b, 1])
+        begins = np.concatenate([[True], (u[1:, 2] != u[:-1, 2]) | (u[1:, 0] >= reach[:-1])])
+        at = np.flatnonzero(begins)
+        last = np.append(at[1:], len(u)) - 1
+        out += [(a, b, f, EXACT) for a, b, f in zip(u[at, 0].tolist(), reach[last].tolist(), u[at, 2].tolist(), strict=True)]
     return out
 
 
@@ -308,8 +363,12 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for batch in batches:
         rows = []
-        for doc, text_hash, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            rows += [(doc, text_hash, *span) for span in doc_spans(doc, long_enough([tuple(u.values()) for u in units.as_py()]))]
+        lists = batch.column(2)
+        offsets = lists.offsets.to_numpy()
+        every = np.stack([f.to_numpy(zero_copy_only=False).astype(np.int64) for f in lists.values.flatten()], axis=1)
+        for k, (doc, text_hash) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            units = long_enough(every[offsets[k] : offsets[k + 1]])
+            rows += [(doc, text_hash, *span) for span in doc_spans(doc, merged(doc, units[:, :4]))]
         cols = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "text_hash", "start", "end", "first_doc", "removed"])
 
