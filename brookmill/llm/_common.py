@@ -54,13 +54,18 @@ def _clean_own() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+#: A scratch table needs neither checksum files nor a success mark beside its data, in a folder on a mounted disk least of all:
+#: there every file costs Hadoop a process of its own that sets its permissions.
+SCRATCH_OPTIONS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 class Scratch:
     """A written table: ``.df`` reads it again, with its lineage cut; ``.drop()`` removes the files."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
+        df.write.options(**SCRATCH_OPTIONS).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
