@@ -98,16 +98,16 @@ def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def bands(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and signature of a set of shingles."""
-    # Seeds in one step for ordinary paragraphs, one by one for very long ones.
+def bands(grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (a row per paragraph) and signatures of paragraphs whose shingles stand in ``grams`` from ``starts`` on."""
+    # All seeds in one step for ordinary documents, one by one for very long ones.
     parts = np.split(SEEDS, len(SEEDS) if len(grams) > 50_000 else 1)
-    low = np.concatenate([mix64(grams[None, :] ^ s[:, None]).min(1) for s in parts])
-    key = SEEDS[:BANDS]
+    low = np.concatenate([np.minimum.reduceat(mix64(grams[None, :] ^ s[:, None]), starts, axis=1) for s in parts])
+    key = np.broadcast_to(SEEDS[:BANDS, None], (BANDS, len(starts)))
     with np.errstate(over="ignore"):
-        for x in low.reshape(BANDS, ROWS).T:
-            key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + x)
-    return key.view(np.int64), (low >> np.uint64(33)).astype(np.int32)
+        for k in range(ROWS):
+            key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + low.reshape(BANDS, ROWS, -1)[:, k])
+    return np.ascontiguousarray(key.T).view(np.int64), np.ascontiguousarray((low >> np.uint64(33)).T).astype(np.int32)
 
 
 UNIT_ROWS = "doc_id bigint, text_hash bigint, start bigint, end bigint, at bigint, words bigint, key bigint, digest binary, n int, keys array<bigint>, signature array<int>"
@@ -124,30 +124,46 @@ def paragraphs(text: str, begin: np.ndarray, least: int) -> np.ndarray:
 
 def _unit_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of passage windows (with a key) and of paragraphs (with a digest and a sketch) from one reading of each text."""
-    int_names = ["doc_id", "text_hash", "start", "end", "at", "words"]
-    sketch_types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", "text_hash", "start", "end", "at", "words", "key", "digest", "n", "keys", "signature"]
+    own = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def lists(rows: list[np.ndarray], width: int, kind: pa.DataType) -> pa.Array:
+        flat = np.concatenate(rows).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys, sketches = [], [], []
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
-            for doc, text_hash, text in ids:
+            found, keys = [], []
+            paras, digests, counts, band_keys, signatures = [], [], [], [], []
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 begin, end = word_spans(text)
                 hashes = word_hashes(text.lower().split())
                 at, windowed = windows(hashes)
                 n = len(at)
-                found.append(np.stack([np.full(n, doc), np.full(n, text_hash), begin[at], end[at + WINDOW - 1] if n else at, at, np.full(n, WINDOW)]).astype(np.int64))
-                keys += windowed.view(np.int64).tolist()
-                sketches += [None] * n
-                for a, b in paragraphs(text, begin, least).tolist():
-                    grams = np.unique(shingles(hashes[a:b]))
-                    found.append(np.array([[doc], [text_hash], [begin[a]], [end[b - 1]], [a], [b - a]], np.int64))
-                    keys.append(None)
-                    sketches.append((digest(hashes[a:b]), len(grams), *bands(grams)))
-            whole = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
-            parts = [pa.array([x and x[k] for x in sketches] if k < 2 else [None if x is None else x[k] for x in sketches], t) for k, t in enumerate(sketch_types)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(keys, pa.int64()), *parts], [*int_names, "key", "digest", "n", "keys", "signature"])
+                if n:
+                    found.append(np.stack([np.full(n, doc), np.full(n, text_hash), begin[at], end[at + WINDOW - 1], at, np.full(n, WINDOW)]).astype(np.int64))
+                    keys.append(windowed.view(np.int64))
+                spots = paragraphs(text, begin, least)
+                if not len(spots):
+                    continue
+                # A paragraph's shingles are those of the whole text that lie in it.
+                whole = shingles(hashes)
+                parts = [whole[a : b - SHINGLE + 1] for a, b in spots.tolist()]
+                k, s = bands(np.concatenate(parts), np.cumsum([0, *(len(x) for x in parts[:-1])]))
+                m = len(spots)
+                paras.append(np.stack([np.full(m, doc), np.full(m, text_hash), begin[spots[:, 0]], end[spots[:, 1] - 1], spots[:, 0], spots[:, 1] - spots[:, 0]]).astype(np.int64))
+                digests += [digest(hashes[a:b]) for a, b in spots.tolist()]
+                counts += [len(np.unique(x)) for x in parts]
+                band_keys.append(k)
+                signatures.append(s)
+            if found:
+                flat = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(np.concatenate(keys)), *(pa.nulls(flat.shape[1], t) for t in own)], names)
+            if paras:
+                flat = np.concatenate(paras, axis=1)
+                sketch = [pa.array(digests, own[0]), pa.array(counts, own[1]), lists(band_keys, BANDS, pa.int64()), lists(signatures, BANDS * ROWS, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.nulls(flat.shape[1], pa.int64()), *sketch], names)
 
     return run
 
@@ -157,25 +173,34 @@ CONTEXT_ROWS = "doc_id bigint, text_hash bigint, key bigint, left boolean, at bi
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the wanted windows of each document, what stands beside them: up to REACH words outward, and where each ends."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["doc_id", "text_hash", "key", "left", "at", "start", "end", "words", "edges"]
+    steps = np.arange(REACH)
     for batch in batches:
-        rows = []
-        for doc, text_hash, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+        offsets = batch.column(3).offsets.to_numpy()
+        keys, places, lefts, rights = (f.to_numpy(zero_copy_only=False) for f in batch.column(3).values.flatten())
+        plain, words, edges, sizes = [], [], [], []
+        for k, (doc, text_hash, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
             text = text.as_py() or ""
             begin, end = word_spans(text)
             # 32 bits of each word's hash tell neighbours apart well enough.
             hashes = (word_hashes(text.lower().split()) >> np.uint64(33)).astype(np.int32)
-            begin, end = begin.astype(np.int32), end.astype(np.int32)
-            for hit in hits:
-                a, b = hit["at"], hit["at"] + WINDOW
-                place = (a, int(begin[a]), int(end[b - 1]))
-                if hit["left"]:
-                    low = max(0, a - REACH)
-                    rows.append((doc, text_hash, hit["key"], True, *place, np.flip(hashes[low:a]).copy(), np.flip(begin[low:a]).copy()))
-                if hit["right"]:
-                    rows.append((doc, text_hash, hit["key"], False, *place, hashes[b : b + REACH], end[b : b + REACH]))
-        cols = zip(*rows, strict=True) if rows else [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "text_hash", "key", "left", "at", "start", "end", "words", "edges"])
+            own = slice(offsets[k], offsets[k + 1])
+            for is_left, wanted, edge in ((True, lefts[own], begin), (False, rights[own], end)):
+                at, key = places[own][wanted], keys[own][wanted]
+                if not len(at):
+                    continue
+                beside = at[:, None] - 1 - steps if is_left else at[:, None] + WINDOW + steps
+                there = (beside >= 0) & (beside < len(hashes))
+                words.append(hashes[beside[there]])
+                edges.append(edge[beside[there]].astype(np.int32))
+                sizes.append(there.sum(1))
+                n = len(at)
+                plain.append(np.stack([np.full(n, doc), np.full(n, text_hash), key, np.full(n, is_left), at, begin[at], end[at + WINDOW - 1]]).astype(np.int64))
+        if plain:
+            flat = np.concatenate(plain, axis=1)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x))) for x in (words, edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2]), pa.array(flat[3].astype(bool)), *map(pa.array, flat[4:]), *lists], names)
 
 
 def of_texts(texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
