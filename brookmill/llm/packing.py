@@ -36,7 +36,7 @@ from brookmill.llm._common import cache_of_task, map_arrow
 WINDOW = 4096
 CLOSING_ID = 2
 OPEN_MOST = 2048
-CACHE_MOST = 60_000
+CACHE_MOST = 300_000
 CHUNK_KEPT = 64
 BYTES_OUT, ROWS_OUT = 4 << 20, 500
 
