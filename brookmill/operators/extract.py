@@ -42,8 +42,9 @@ def per_page(pages: DataFrame, schema: str, rows_of: Callable[[str], Iterator[di
     return pages.select(F.col("page_id").cast("bigint"), "html").mapInArrow(run, schema)
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    return per_page(pages, BLOCKS, dom.blocks)
+def blocks(pages: DataFrame, schema: str = BLOCKS) -> DataFrame:
+    """The pages' blocks; a schema of fewer columns keeps the others in the Python worker."""
+    return per_page(pages, schema, dom.blocks)
 
 
 def candidates(pages: DataFrame) -> DataFrame:

@@ -130,6 +130,6 @@ def text_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lattice_best_path")
 def lattice_best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best paths over spans made from each page's blocks."""
-    b = E.blocks(pages(spark, sf_dir)).where("selectable")
+    b = E.blocks(pages(spark, sf_dir), "page_id bigint, block_id string, ord bigint, parent_id string, role string, selectable boolean, word_count bigint, text_density double, link_density double").where("selectable")
     spans = b.select(C("page_id").alias("doc_id"), C("block_id").alias("source"), (C("ord") * 10).alias("s"), (C("ord") * 10 + F.least(C("word_count"), F.lit(14))).alias("e"), C("block_id").alias("block"), C("role").alias("type"), (C("text_density") - C("link_density")).alias("score"), F.array_compact(F.array("parent_id")).alias("ancestors"))
     return L.decode(spans, L.Weights(coverage=0.01, gap=0.001, fragment=0.1, contiguous=8, heading_body=0.2))
