@@ -21,14 +21,15 @@ CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 def normalized(text: str | None) -> str:
     """NFKC, case-folded, NFKC again; ignorable and control characters dropped, white space collapsed."""
     t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
-    t = re.sub(r"\s+", " ", t)
-    return "".join(c for c in t if not unicodedata.category(c).startswith("C")).strip()
+    t = " ".join(t.split())
+    dropped = {ord(c): None for c in set(t) if unicodedata.category(c).startswith("C")}
+    return (t.translate(dropped) if dropped else t).strip()
 
 
 def tokens(text: str | None) -> list[str]:
     """Runs of letters, digits, marks and underscores with apostrophes inside; symbols and CJK characters alone."""
     t = unicodedata.normalize("NFKC", text or "").casefold()
-    return re.findall(rf"[{CJK}]|(?:(?![{CJK}])\w)+(?:['’](?:(?![{CJK}])\w)+)*|[^\w\s]", t)
+    return re.findall(rf"[{CJK}]|[^\W{CJK}]+(?:['’][^\W{CJK}]+)*|[^\w\s]", t)
 
 
 def grams(text: str, size: int = GRAM) -> list[str]:
@@ -84,7 +85,9 @@ def ordered_share(output: list[str], source: list[str]) -> float:
         at.setdefault(t, []).append(i)
     cursor, found = -1, 0
     for t in output:
-        places = at.get(t, ())
+        places = at.get(t)
+        if places is None:
+            continue
         k = bisect_right(places, cursor)
         if k < len(places):
             cursor, found = places[k], found + 1
