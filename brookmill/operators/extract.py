@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brookmill.functions import dom
+from brookmill.functions import grams as N
 from brookmill.functions import patterns as P
 from brookmill.functions import text as X
 
@@ -105,20 +107,53 @@ def union(found: DataFrame, news: bool = False) -> DataFrame:
     return b.select("page_id", label.alias("strategy"), text.alias("text"), F.regexp_count(text, F.lit(P.WORD)).alias("word_count"))
 
 
-def medoid(grams: DataFrame, roles: DataFrame, least_ppm: int = 100_000) -> DataFrame:
-    """The candidate most like the other lineages: per candidate the best Dice similarity to each other lineage; eligible
-    with at least two of at least ``least_ppm``; then the best mean, the best minimum, the first role, the smallest key.
+MEDOID = pa.schema([("page_id", pa.int64()), ("key", pa.string()), ("mean", pa.float64()), ("low", pa.float64())])
 
-    grams: page_id, key, item, n; roles: page_id, key, lineage, priority. Ratios are compared as doubles of integers.
+
+def medoid(pages: DataFrame, least_ppm: int = 100_000) -> DataFrame:
+    """The candidate most like the other lineages: per candidate the best five-character Dice similarity to each other
+    lineage; eligible with at least two of at least ``least_ppm``; then the best mean, the best minimum, the first role, the
+    smallest key. Candidates without grams count for nothing; ratios are compared as doubles of integers.
+
+    pages: page_id, candidates (array of key, lineage, priority, text). A page's candidates are compared where they are;
+    only ids are counted over all rows, and those of rows that share one are put together, texts of one key as one bag.
     """
-    size = grams.groupBy("page_id", "key").agg(F.sum("n").alias("size"))
-    b = grams.select("page_id", F.col("key").alias("other"), "item", F.col("n").alias("m"))
-    hits = grams.join(b, ["page_id", "item"]).where("key <> other").groupBy("page_id", "key", "other").agg(F.sum(F.least("n", "m")).alias("hit"))
-    r = roles.join(size, ["page_id", "key"], "left").fillna(0, ["size"])
-    o = r.select("page_id", F.col("key").alias("other"), F.col("lineage").alias("their"), F.col("size").alias("osize"))
-    pairs = r.join(o, "page_id").where("lineage <> their").join(hits, ["page_id", "key", "other"], "left").fillna(0, ["hit"])
-    sim = F.when(F.col("size") + F.col("osize") > 0, 2 * F.col("hit") / (F.col("size") + F.col("osize"))).otherwise(0.0)
-    best = pairs.groupBy("page_id", "key", "priority", "their").agg(F.max(sim).alias("s"))
-    sums = best.groupBy("page_id", "key", "priority").agg(F.avg("s").alias("mean"), F.min("s").alias("low"), F.sum(F.when(F.col("s") * 1_000_000 >= least_ppm, 1).otherwise(0)).alias("good"))
-    w = Window.partitionBy("page_id").orderBy(F.desc("mean"), F.desc("low"), "priority", "key")
-    return sums.where("good >= 2").withColumn("place", F.row_number().over(w)).where("place = 1").select("page_id", "key", "mean", "low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, found in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                best = _medoid(found.as_py() or [], least_ppm)
+                if best:
+                    out.append({"page_id": page, **best})
+            yield pa.RecordBatch.from_pylist(out, schema=MEDOID)
+
+    p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "candidates")
+    shared = p.groupBy("page_id").count().where("count > 1").select("page_id")
+    if not shared.isEmpty():
+        together = p.join(shared, "page_id", "left_semi").groupBy("page_id").agg(F.flatten(F.collect_list("candidates")).alias("candidates"))
+        p = p.join(shared, "page_id", "left_anti").unionByName(together)
+    return p.mapInArrow(run, "page_id bigint, key string, mean double, low double")
+
+
+def _medoid(candidates: list[dict], least_ppm: int) -> dict | None:
+    texts: dict[str, list[str]] = {}
+    roles = {c["key"]: c for c in candidates}
+    for c in candidates:
+        if len(c["text"] or "") >= N.GRAM:
+            texts.setdefault(c["key"], []).append(c["text"])
+    keys = list(texts)
+    if len({roles[k]["lineage"] for k in keys}) < 3:
+        return None
+    counts = N.bags([texts[k] for k in keys])
+    size = counts.sum(axis=0).tolist()
+    places = []
+    for i, k in enumerate(keys):
+        best: dict[str, float] = {}
+        for j, other in enumerate(keys):
+            if (their := roles[other]["lineage"]) != roles[k]["lineage"]:
+                best[their] = max(best.get(their, 0.0), 2 * int(np.minimum(counts[:, i], counts[:, j]).sum()) / (size[i] + size[j]))
+        if sum(s * 1_000_000 >= least_ppm for s in best.values()) >= 2:
+            mean, low = sum(best.values()) / len(best), min(best.values())
+            places.append(((-mean, -low, roles[k]["priority"], k), {"key": k, "mean": mean, "low": low}))
+    return min(places, key=lambda x: x[0])[1] if places else None
\ No newline at end of file

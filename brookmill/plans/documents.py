@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from brookmill.functions.sqltext import values
 from brookmill.operators import extract as E
 from brookmill.operators import lattice as L
-from brookmill.operators import similarity as S
 from brookmill.plans.pages import pages as scan
 from brookmill.plans.registry import query
 from brookmill.sources.tables import literal, spread
@@ -122,9 +121,7 @@ def text_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("a", "native", 0, strip(F.regexp_extract(h, "(?is)<article[^>]*>(.*?)</article>", 1))), one("b", "density", 1, strip(F.regexp_extract(h, "(?is)<p>(.*)</p>", 1))),
         one("c", "dump", 2, strip(h)), one("d", "density", 3, F.lit("unrelated words only " * 3)),
     )
-    m = pages(spark, sf_dir).select("page_id", F.explode(found).alias("c")).select("page_id", "c.*")
-    grams = S.bag(m.select("page_id", "key", S.characters(C("text")).alias("ch")), ["page_id", "key"], S.char_grams(C("ch")))
-    return E.medoid(grams, m.select("page_id", "key", "lineage", "priority")).withColumns({c: F.round(c, 12) for c in ("mean", "low")})
+    return E.medoid(pages(spark, sf_dir).select("page_id", found.alias("candidates"))).withColumns({c: F.round(c, 12) for c in ("mean", "low")})
 
 
 @query("lattice_best_path")
