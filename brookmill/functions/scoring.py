@@ -120,9 +120,6 @@ def _pairwise(f: Callable[[str, str], float], kind: T.DataType):
     return run
 
 
-lcs_f1 = _pairwise(lambda a, b: ordered_f1(grams(normalized(a)), grams(normalized(b))), T.DoubleType())
-window_f1 = _pairwise(lambda a, b: best_window_f1(grams(normalized(a)), grams(normalized(b))), T.DoubleType())
-order_share = _pairwise(lambda a, b: ordered_share(tokens(a), tokens(b)), T.DoubleType())
 same_title = _pairwise(titles_match, T.BooleanType())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brookmill.functions import grams as N
 from brookmill.functions import page as G
 from brookmill.functions import scoring as K
 from brookmill.operators import studies as U
@@ -127,23 +128,8 @@ def example_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = b.agg(F.count("*")).first()[0]
     lie = lambda k: b.select(((C("item_id") + n - k) % n).alias("r"), C("text").alias(f"lie{k}"))
     t = p.join(F.broadcast(lie(1)) if n <= 10_000 else lie(1), "r").join(F.broadcast(lie(2)) if n <= 10_000 else lie(2), "r")
-    f1s = four_scores("text", "truth")
-    t = t.select("doc_id", f1s.alias("f"), F.array(K.window_f1("text", "lie1"), K.window_f1("text", "lie2")).alias("leaks"))
-    return t.select("doc_id", U.example_score(C("f.whole"), C("f.positional"), C("f.ordered"), C("f.best_window"), C("leaks")).alias("s")).select("doc_id", "s.*")
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("whole", "positional", "ordered", "best_window")]))
-def four_scores(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for a, b in parts:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            u, v = K.grams(K.normalized(x)), K.grams(K.normalized(y))
-            rows.append((K.multiset_f1(u, v), K.multiset_f1(placed(u), placed(v)), K.ordered_f1(u, v), K.best_window_f1(u, v)))
-        yield pd.DataFrame(rows, columns=["whole", "positional", "ordered", "best_window"])
-
-
-def placed(grams: list[str]) -> list[tuple[int, str]]:
-    return [(i * 64 // len(grams), g) for i, g in enumerate(grams)]
+    t = t.select("doc_id", N.example_parts("text", "truth", F.array("lie1", "lie2")).alias("f"))
+    return t.select("doc_id", U.example_score(C("f.whole"), C("f.positional"), C("f.ordered"), C("f.best_window"), C("f.leaks")).alias("s")).select("doc_id", "s.*")
 
 
 @query("clustered_bootstrap")
