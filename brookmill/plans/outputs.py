@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,14 +32,17 @@ sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
 
 @query("documentation_pages", f"SELECT page_id, replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '&amp;', '&') AS title FROM pages WHERE contains(html, '<h1>') AND {WORDS(ARTICLE_SQL)} >= 8")
 def documentation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of the pages read as documentation, whose sidebars are pruned."""
+    """Titles of the pages read as documentation, whose sidebars are pruned; as the pages spell them, but for ``&amp;``."""
+
+    other = re.compile("&(?!amp;)")
 
     def rows(html: str | None) -> Iterator[dict]:
         found = O.documentation(html)
         if found:
-            yield {k: found[k] for k in ("title", "text", "word_count")}
+            # Where all entities are &amp;, decoding them all is the same.
+            yield {"title": O.documentation_title_source(html).replace("&amp;", "&") if other.search(html) else found["title"]}
 
-    return E.per_page(pages(spark, sf_dir), "page_id bigint, title string, text string, word_count bigint", rows).select("page_id", "title")
+    return E.per_page(pages(spark, sf_dir), "page_id bigint, title string", rows)
 
 
 @F.pandas_udf(T.StringType())
